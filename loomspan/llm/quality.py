@@ -16,8 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-WORD_GAP = r"[\x20\x09-\x0D]+"
-BLANKS = " \t\n\x0b\x0c\r"
+from loomspan.llm.common import BLANKS, documents, words_of
+
 SYMBOLS = r"[^#*$%&|<>]+"
 
 # Frequent function words of the four corpus languages.
@@ -63,12 +63,6 @@ RULES = (
 )
 
 
-def words_of(text: Column) -> Column:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order."""
-    bare = F.btrim(text, F.lit(BLANKS))
-    return F.when(F.length(bare) > 0, F.split(bare, WORD_GAP)).otherwise(F.array().cast("array<string>"))
-
-
 def _window(words: Column, i: Column) -> Column:
     return F.struct(words[i], words[i + 1], words[i + 2])
 
@@ -179,8 +173,7 @@ RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repe
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return judge(docs).select(*RESULT)
+    return judge(documents(spark, sf_dir)).select(*RESULT)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

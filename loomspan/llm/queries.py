@@ -1,11 +1,17 @@
 """Registry of this subpackage's queries and of their DuckDB SQL."""
 
-from loomspan.llm import quality
+from loomspan.llm import chat, decontam, quality, secret_scan
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_secret_ledger": secret_scan.op3_secret_ledger,
+    "op8_preference_format": chat.op8_preference_format,
+    "op9_decontamination": decontam.op9_decontamination,
 }
 
 SQL = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op3_secret_ledger": secret_scan.OP3_SQL,
+    "op8_preference_format": chat.OP8_SQL,
+    "op9_decontamination": decontam.OP9_SQL,
 }
