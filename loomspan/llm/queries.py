@@ -1,11 +1,12 @@
 """Registry of this subpackage's queries and of their DuckDB SQL."""
 
-from loomspan.llm import bpe, chat, decontam, hilbert, quality, secret_scan, simhash, token_files
+from loomspan.llm import bpe, chat, decontam, hilbert, quality, secret_scan, simhash, substring_dedup, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_secret_ledger": secret_scan.op3_secret_ledger,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_simhash_groups": simhash.op6_simhash_groups,
     "op7_hilbert_shards": hilbert.op7_hilbert_shards,
     "op8_preference_format": chat.op8_preference_format,
@@ -16,6 +17,7 @@ QUERIES = {
 SQL = {
     "op1_quality_rules": quality.OP1_SQL,
     "op3_secret_ledger": secret_scan.OP3_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op8_preference_format": chat.OP8_SQL,
     "op9_decontamination": decontam.OP9_SQL,
 }
