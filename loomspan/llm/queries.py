@@ -1,9 +1,10 @@
 """Registry of this subpackage's queries and of their DuckDB SQL."""
 
-from loomspan.llm import bpe, chat, decontam, hilbert, quality, secret_scan, simhash, substring_dedup, token_files
+from loomspan.llm import bpe, chat, decontam, hilbert, pii, quality, secret_scan, simhash, substring_dedup, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_pii_bootstrap": pii.op2_pii_bootstrap,
     "op3_secret_ledger": secret_scan.op3_secret_ledger,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
