@@ -59,7 +59,9 @@ class ChunkCoder:
 
     The tokenizer drops white space and no merge crosses it, so a text's ids
     are its chunks' ids in order. Chunks that the cache lacks are encoded by
-    the library in one batch.
+    the library in one batch. The cache has two generations of half its bound:
+    when the young one is full it becomes the old one, and chunks that are met
+    again come back from there.
     """
 
     def __init__(self, spec: str, dtype: str):
@@ -69,17 +71,18 @@ class ChunkCoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype, self.known = np.dtype(dtype), {}
+        self.dtype, self.known, self.old = np.dtype(dtype), {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [t.encode().split() if t else [] for t in texts]
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        known, wanted = self.known, set()
+        if len(self.known) > CACHED_CHUNKS // 2:
+            self.old, self.known = self.known, {}
+        known, old, wanted = self.known, self.old, set()
         for c in chunks:
             wanted.update(c)
-        wanted.difference_update(known.keys())
-        fresh = list(wanted)
+        wanted.difference_update(known)
+        known.update((c, old[c]) for c in wanted & old.keys())
+        fresh = list(wanted - old.keys())
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
             coded = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
@@ -87,6 +90,17 @@ class ChunkCoder:
         return [b"".join(map(known.__getitem__, c)) for c in chunks]
 
 
+_CODERS: dict[tuple[str, str], ChunkCoder] = {}
+
+
+def coder_for(spec: str, dtype: str) -> ChunkCoder:
+    """The coder of this Python worker; its cache outlives the task."""
+    if (spec, dtype) not in _CODERS:
+        _CODERS.clear()
+        _CODERS[spec, dtype] = ChunkCoder(spec, dtype)
+    return _CODERS[spec, dtype]
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, key: str = "doc_id", text: str = "text") -> dict:
     """Encode and write ``docs`` in ascending ``key`` order; returns the manifest."""
     with open(tokenizer, encoding="utf-8") as file:
@@ -99,7 +113,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, key:
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def run(batches):
-        coder, part = ChunkCoder(shipped.value, layout.dtype), TaskContext.get().partitionId()
+        coder, part = coder_for(shipped.value, layout.dtype), TaskContext.get().partitionId()
         end = b"" if layout.end_id is None else np.array([layout.end_id], layout.dtype).tobytes()
         width, offsets, keys, total = np.dtype(layout.dtype).itemsize, [0], [], 0
         store, path = _store(folder)
