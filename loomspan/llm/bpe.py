@@ -66,16 +66,24 @@ class Tables:
 
 
 class Cache(dict):
-    """A memo of ``make(key)`` that starts afresh when it is full."""
+    """A memo of ``make(key)`` in two generations of half its bound.
+
+    When the young one is full it becomes the old one; keys that are met again
+    come back from there.
+    """
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most // 2, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        found = self[key] = self.make(key)
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
         return found
 
 
@@ -149,20 +157,34 @@ class Coder:
         return b"".join(map(self.token.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
+_CODERS: dict[str, Coder] = {}
+
+
+def coder_for(tables) -> Coder:
+    """The coder of this Python worker; its caches outlive the task."""
+    name = tables[0]
+    if name not in _CODERS:
+        _CODERS.clear()
+        _CODERS[name] = Coder(tables[1].value)
+    return _CODERS[name]
+
+
 def code(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """Add ``token_ids`` (little-endian uint32) and ``decoded`` to the rows."""
     return _map(docs, tokenizer, text, lambda raw, back: (raw, back), "token_ids binary, decoded string")
 
 
 def _map(docs: DataFrame, tokenizer: str, text: str, shape, columns: str) -> DataFrame:
-    tables = docs.sparkSession.sparkContext.broadcast(Tables(tokenizer))
+    with open(tokenizer, "rb") as file:
+        name = hashlib.sha256(file.read()).hexdigest()
+    tables = name, docs.sparkSession.sparkContext.broadcast(Tables(tokenizer))
     keep = [c for c in docs.columns if c not in re.findall(r"(\w+) \w+", columns)]
     source = docs.select(*(f"`{c}`" for c in keep), docs[text].alias("__text"))
     added = [x.strip().split(" ") for x in columns.split(",")]
     kinds = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
 
     def run(batches):
-        coder = Coder(tables.value)
+        coder = coder_for(tables)
         for batch in batches:
             rows = []
             for value in batch.column(batch.num_columns - 1):
