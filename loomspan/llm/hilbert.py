@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomspan.llm.common import cut, documents
+from loomspan.llm.common import cut, documents, ship
 
 BITS = 4
 
@@ -82,6 +82,7 @@ def assign(rows: DataFrame, cells: list[Column], ties: list[str], shards: int, b
     def curve(*grid: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.column_stack([g.to_numpy() for g in grid]), bits))
 
+    ship(rows.sparkSession)
     placed = rows.withColumn("curve", curve(*cells))
     ordered = cut(placed.repartitionByRange("curve", *ties).sortWithinPartitions("curve", *ties))
     marked = ordered.withColumn("_id", F.monotonically_increasing_id())

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from loomspan.llm.common import cut, documents
+from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 2
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 [batch.column(0), pa.array(content, pa.int64()), pa.array(base, span), pa.array(slots, slot)], names=["key", "content", "base", "slots"]
             )
 
-    return rows.mapInArrow(run, f"key {kind}, content long, base array<{SPAN}>, slots array<{SLOT}>")
+    return map_batches(rows, run, f"key {kind}, content long, base array<{SPAN}>, slots array<{SLOT}>", BATCH_ROWS)
 
 
 def discover(slots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -255,7 +255,7 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), *batch.columns[2:]], names=[text, *kept])
 
     schema = rows.drop("_added").withColumnRenamed("_text", text).schema
-    return rows.mapInArrow(run, schema).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return map_batches(rows, run, schema, BATCH_ROWS).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

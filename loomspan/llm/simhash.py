@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from loomspan.llm.common import cut, documents
+from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches
 from loomspan.llm.graph import components
 
 SEED = 42
@@ -112,7 +112,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.fingerprints().view(">i8").ravel().astype(np.int64))], names=["key", "fp"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, fp long")
+    return map_batches(rows, run, f"key {kind}, fp long", BATCH_ROWS)
 
 
 # ---- BK-trees -----------------------------------------------------------
@@ -240,7 +240,7 @@ def link_blocks(distinct: DataFrame, radius: int = 2, hot: int = HOT) -> DataFra
                 a, b = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(points[b]), pa.array(points[a])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return map_batches(dealt, run, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
@@ -259,3 +259,140 @@ def op6_simhash_groups(spark, sf_dir: str) -> DataFrame:
     return out.select(
         F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+# ---- near-duplicate texts -----------------------------------------------
+
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
+#: Bits of 128 within which a pair is verified: 0.8 gives 19 expected, so that few are missed.
+NEAR_RADIUS = 30
+#: Odd multipliers of the MinHash permutations (fixed values; any odd numbers serve).
+PERMUTATIONS = (
+    0x9E3779B97F4A7C15,
+    0xBF58476D1CE4E5B9,
+    0x94D049BB133111EB,
+    0xD6E8FEB86659FD93,
+    0xA0761D6478BD642F,
+    0xE7037ED1A0B428DB,
+)
+BLOCK = 4_096
+
+
+def nearest_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Each point's nearest earlier point within the radius, and spanning links besides.
+
+    Shards above ``BLOCK`` points go block by block: a block meets the points
+    before it that were not themselves linked to an earlier one.
+    """
+    links, kept = [], np.empty(0, np.int64)
+    parent = list(range(len(points)))
+    for at in range(0, len(points), BLOCK):
+        block = np.arange(at, min(at + BLOCK, len(points)))
+        members = np.concatenate([kept, block])
+        best: dict[int, tuple[int, int]] = {}
+        tree = BkTree(points, members)
+        loose = []
+        for q, m, far in tree.search(points, radius, block):
+            for x, y, d in zip(q.tolist(), m.tolist(), far.tolist()):
+                if y < x:
+                    if x not in best or (d, y) < best[x]:
+                        best[x] = (d, y)
+                    loose.append((d, x, y))
+        for x, (_, y) in best.items():
+            links.append((x, y))
+            parent[max(_root(parent, x), _root(parent, y))] = min(_root(parent, x), _root(parent, y))
+        for _, x, y in sorted(loose):
+            if (p := _root(parent, x)) != (q := _root(parent, y)):
+                parent[max(p, q)] = min(p, q)
+                links.append((x, y))
+        kept = np.concatenate([kept, [x for x in block.tolist() if x not in best]]).astype(np.int64)
+    return links
+
+
+def signatures(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
+    """key, content (hash of the words), 128-bit fingerprint (a, b) and MinHash values."""
+    kind = docs.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            bits = Majority(batch.num_rows, 16, PERMUTATIONS)
+            content = []
+            for i, value in enumerate(batch.column(1)):
+                text = value.as_py() or ""
+                bits.add(i, shingle_digests(text, size, xxhash.xxh3_128_digest))
+                content.append(xxhash.xxh3_128_hexdigest(b" ".join(text.encode().lower().split())))
+            prints = bits.fingerprints().view(">i8").astype(np.int64)
+            least = np.where(bits.totals[:, None] > 0, bits.least, 0).astype(np.uint64).view(np.int64)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(least.ravel()), len(PERMUTATIONS)).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(content, pa.string()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), lists],
+                names=["key", "content", "a", "b", "least"],
+            )
+
+    return map_batches(docs, run, f"key {kind}, content string, a long, b long, least array<long>", BATCH_ROWS)
+
+
+def _verified(links: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links whose shingle sets have the Jaccard similarity or more."""
+    ends = links.select(F.explode(F.array("x", "y")).alias("key")).distinct()
+    texts = docs.join(ends, "key").select("key", "text")
+    kind = docs.schema["key"].dataType.simpleString()
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(np.frombuffer(shingle_digests(v.as_py(), size, xxhash.xxh64_digest), "<i8")) for v in batch.column(1)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            flat = pa.array(np.concatenate([*found, np.empty(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["key", "shingles"])
+
+    held = cut(map_batches(texts, sets, f"key {kind}, shingles array<long>", BATCH_ROWS).dropDuplicates(["key"]))
+    left = links.join(held.withColumnsRenamed({"key": "x", "shingles": "sx"}), "x")
+    both = left.join(held.withColumnsRenamed({"key": "y", "shingles": "sy"}), "y")
+    common = F.size(F.array_intersect("sx", "sy"))
+    return both.filter(common >= similarity * (F.size("sx") + F.size("sy") - common)).select("x", "y")
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, hot: int = HOT) -> DataFrame:
+    """(key, component) of all rows: the least key of texts linked by the similarity or equal words.
+
+    Equal word sequences are one content under their least key. Contents meet
+    in shards of equal MinHash values, hot shards in pairs of them; a shard's
+    BK-tree gives links within the radius, and links are verified.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull())
+    marked = cut(signatures(rows, size))
+    owners = cut(marked.groupBy("content").agg(F.min("key").alias("owner")))
+    chosen = marked.join(owners, "content").filter("key = owner").dropDuplicates(["key"])
+    keyed = cut(
+        chosen.select("key", "a", "b", "least", F.posexplode("least").alias("n", "value")).select(
+            "key", "a", "b", "n", "least", F.xxhash64("n", "value").alias("shard")
+        )
+    )
+    large = keyed.groupBy("shard").count().filter(F.col("count") > hot).select("shard", F.lit(True).alias("large"))
+    others = F.transform(
+        F.filter(F.transform("least", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda s: s["i"] != F.col("n")),
+        lambda s: F.xxhash64("shard", s["i"], s["v"]),
+    )
+    dealt = keyed.join(large, "shard", "left").select(F.explode(F.when(F.col("large"), others).otherwise(F.array("shard"))).alias("shard"), "key", "a", "b")
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "key")
+
+    def run(batches):
+        for keys, a, b in by_shard(batches, 3):
+            points = np.stack([a, b], axis=1).astype(np.int64).view(np.uint64)
+            if found := nearest_links(points, radius):
+                x, y = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(keys[x]), pa.array(keys[y])], names=["x", "y"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    links = cut(map_batches(dealt, run, f"x {kind}, y {kind}").distinct())
+    good = _verified(links, rows, size, similarity)
+    roots = components(good.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    named = owners.join(roots, F.col("owner") == F.col("node"), "left").select("content", F.coalesce("root", "owner").alias("component"))
+    return marked.join(named, "content").select("key", "component")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each group of near-duplicates stays, the one with the least key."""
+    groups = near_groups(docs)
+    gone = groups.filter("key > component").select(F.col("key").alias("_key")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_key"), "left_anti").dropDuplicates(docs.columns)

@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from loomspan.llm.common import cut, documents
+from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches
 
 DEPTH, PREFIX = 13, 5
 SAMPLE_DOCS, HEAVY_SHARE, HEAVY_LEAST = 5_000, 0.01, 50
@@ -132,7 +132,9 @@ def _anchors(docs: DataFrame, heavy) -> DataFrame:
                 names=["key", "content", "n_words", "sha", "anchors", "has_heavy"],
             )
 
-    return docs.mapInArrow(run, f"key {kind}, content long, n_words long, sha string, anchors array<long>, has_heavy boolean")
+    return map_batches(
+        docs, run, f"key {kind}, content long, n_words long, sha string, anchors array<long>, has_heavy boolean", BATCH_ROWS
+    )
 
 
 def heavy_anchors(docs: DataFrame) -> list[int]:
@@ -191,7 +193,7 @@ def _windows(candidates: DataFrame, heavy, want_heavy: bool) -> DataFrame:
                     [pa.array(five), pa.array(path), batch.column(0).take(owner), pa.array(at.astype(np.int32))], names=["prefix", "path", "key", "at"]
                 )
 
-    return candidates.select("key", "text", "shared").mapInArrow(run, f"prefix long, path long, key {kind}, at int")
+    return map_batches(candidates.select("key", "text", "shared"), run, f"prefix long, path long, key {kind}, at int", BATCH_ROWS)
 
 
 def _later(batches):
@@ -219,7 +221,7 @@ def covered_windows(candidates: DataFrame, heavy) -> DataFrame:
     """(key, at) of windows that also start under a smaller key."""
     kind = candidates.schema["key"].dataType.simpleString()
     light = _windows(candidates, heavy, False).repartition("prefix").sortWithinPartitions("prefix", "path", "key", "at")
-    out = light.mapInArrow(_later, f"key {kind}, at int")
+    out = map_batches(light, _later, f"key {kind}, at int")
     if heavy.value:
         nodes = cut(_windows(candidates, heavy, True))
         least = nodes.groupBy("prefix", "path").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most")
@@ -244,7 +246,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     marked = cut(_anchors(rows, heavy))
     kind = rows.schema["key"].dataType.simpleString()
     pairs = marked.filter(F.col("key").isNotNull()).select(F.explode("anchors").alias("anchor"), "content")
-    shared = pairs.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_shared, "content long, anchor long")
+    shared = map_batches(pairs.repartition("anchor").sortWithinPartitions("anchor", "content"), _shared, "content long, anchor long")
     shared = shared.groupBy("content").agg(F.collect_list("anchor").alias("shared"))  # at most a document's anchors
     meta = marked.drop("anchors")
     owners = cut(meta.filter(F.col("key").isNotNull()).groupBy("sha").agg(F.min("key").alias("least"), F.first("content").alias("content"), F.first("has_heavy").alias("has_heavy")))
@@ -266,7 +268,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["key", "n", "left", "kept"])
 
     changed = candidates.select("key", "text").join(covered, "key").select("key", "text", "at")
-    changed = changed.mapInArrow(run, f"key {kind}, n long, left string, kept string").dropDuplicates(["key"]).withColumnRenamed("key", "_key")
+    changed = map_batches(changed, run, f"key {kind}, n long, left string, kept string", BATCH_ROWS).dropDuplicates(["key"]).withColumnRenamed("key", "_key")
     owned = meta.join(owners.select("sha", "least"), "sha", "left")
     out = owned.join(changed, F.col("key") == F.col("_key"), "left")
     copy = F.coalesce((F.col("key") > F.col("least")) & (F.col("n_words") >= DEPTH), F.lit(False))
