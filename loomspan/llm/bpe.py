@@ -27,11 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loomspan.llm.common import documents
+from loomspan.llm.common import BATCH_ROWS, documents, map_batches
 
 SHORT = 128
 CACHED_CHUNKS = 300_000
-CACHED_PIECES = 150_000
+CACHED_PIECES = 600_000
+LONGEST_CACHED = 64
 NO_RANK = 1 << 60
 
 # Unicode's White_Space characters.
@@ -83,6 +84,8 @@ class Cache(dict):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+            if len(key) > LONGEST_CACHED:
+                return found
         self[key] = found
         return found
 
@@ -140,7 +143,7 @@ class Coder:
             if k % 2:
                 made.append(array("I", [self.tables.special[part]]).tobytes())
             else:
-                made += [pieces[p] if len(p) < 64 else self._piece_ids(p) for p in self.piece.findall(part)]
+                made += map(pieces.__getitem__, self.piece.findall(part))
         return b"".join(made)
 
     def encode(self, text: str) -> bytes:
@@ -148,10 +151,7 @@ class Coder:
         if not text:
             return b""
         chunks = self.safe_gap.split(text) if self.unsafe.search(text) else text.split(" ")
-        if text[0] == " " and not chunks[0]:  # the text begins with a safe gap
-            return b"".join(map(self.after_space.__getitem__, chunks[1:]))
-        known = self.after_space
-        return self._chunk_ids(chunks[0]) + b"".join([known[c] if len(c) < 64 else self._chunk_ids(" " + c) for c in chunks[1:]])
+        return self._chunk_ids(chunks[0]) + b"".join(map(self.after_space.__getitem__, chunks[1:]))
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.token.__getitem__, array("I", ids))).decode("utf-8", "replace")
@@ -196,7 +196,7 @@ def _map(docs: DataFrame, tokenizer: str, text: str, shape, columns: str) -> Dat
     schema = source.drop("__text").schema
     for name, kind in added:
         schema = schema.add(name, kind)
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema, BATCH_ROWS)
 
 
 def digests(raw: bytes, back: str):
