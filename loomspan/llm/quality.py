@@ -166,7 +166,8 @@ def judge(docs: DataFrame, rules=RULES, text: str = "text", min_words: int = 50,
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     failed = F.array_compact(F.array(*(F.when(~r.verdict(), F.lit(r.name)) for r in rules)))
     out = out.withColumns({"base_failed": base, "failed_rules": failed})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    # the row id keeps a filter on ``kept`` above this projection: pushed below, it would repeat every signal
+    return out.withColumn("kept", (F.monotonically_increasing_id() >= 0) & ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
