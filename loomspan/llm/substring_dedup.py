@@ -15,8 +15,9 @@ the tree is worked on in groups by prefix:
    node; its least document keeps the words, the others are covered.
 3. Heavy prefixes (in at least ``HEAVY_SHARE`` of a bounded sample) would make
    large groups. They are known to be shared, so they skip step 1, and take the
-   full 13 words as prefix in step 2, with a node's least document found by a
-   pre-aggregated minimum instead of in one task.
+   full 13 words as prefix in step 2: a node's least document is a minimum that
+   tasks combine before the shuffle, and covered windows are looked up where
+   the text is, or joined if there are more nodes than may be broadcast.
 
 Neighbouring covered windows unite to maximal repeats. Paths are named by two
 64-bit hashes (of the prefix and of the whole path), so nodes are told apart by
@@ -41,6 +42,8 @@ from pyspark.sql import DataFrame, functions as F
 from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches
 
 DEPTH, PREFIX = 13, 5
+#: Heavy windows a task holds to combine them; heavy nodes up to which they are broadcast, not joined.
+COMBINED_ROWS, BROADCAST_NODES = 300_000, 500_000
 SAMPLE_DOCS, HEAVY_SHARE, HEAVY_LEAST = 5_000, 0.01, 50
 
 # Odd multipliers of the rolling hashes (any odd numbers serve) and their inverses.
@@ -168,24 +171,21 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array([last[1]]), pa.array([last[0]])], names=["content", "anchor"])
 
 
-def _windows(candidates: DataFrame, heavy, want_heavy: bool) -> DataFrame:
-    """prefix, path, key, at of the windows whose anchor is shared (or, alone, heavy)."""
+def _windows(candidates: DataFrame) -> DataFrame:
+    """prefix, path, key, at of the windows whose (not heavy) anchor is shared."""
     kind = candidates.schema["key"].dataType.simpleString()
 
     def run(batches):
-        known = np.sort(np.array(heavy.value, np.int64))
         for batch in batches:
             columns, owners = [], []
             for i, (text, shared) in enumerate(zip(batch.column(1), batch.column(2))):
                 doc = Words(text.as_py())
-                if doc.n < DEPTH:
+                if doc.n < DEPTH or not shared.is_valid:
                     continue
                 five, path, anchor = doc.hashes()
-                asked = known if want_heavy else np.array(shared.values.to_numpy() if shared.is_valid else [], np.int64)
-                at = np.flatnonzero(np.isin(anchor, asked))
-                if len(at):
-                    columns.append((five[at], path[at], at))
-                    owners.append(np.full(len(at), i))
+                at = np.flatnonzero(np.isin(anchor, shared.values.to_numpy()))
+                columns.append((five[at], path[at], at))
+                owners.append(np.full(len(at), i))
             if columns:
                 five, path, at = (np.concatenate(x) for x in zip(*columns))
                 owner = pa.array(np.concatenate(owners))
@@ -196,6 +196,100 @@ def _windows(candidates: DataFrame, heavy, want_heavy: bool) -> DataFrame:
     return map_batches(candidates.select("key", "text", "shared"), run, f"prefix long, path long, key {kind}, at int", BATCH_ROWS)
 
 
+NODE = np.dtype([("prefix", np.int64), ("path", np.int64)])
+
+
+def _heavy_windows(text: str | None, known: np.ndarray):
+    """(nodes, positions) of a text's windows under heavy anchors."""
+    doc = Words(text)
+    if doc.n < DEPTH:
+        return np.empty(0, NODE), np.empty(0, np.int64)
+    five, path, anchor = doc.hashes()
+    at = np.flatnonzero(np.isin(anchor, known))
+    nodes = np.empty(len(at), NODE)
+    nodes["prefix"], nodes["path"] = five[at], path[at]
+    return nodes, at
+
+
+def _heavy_nodes(candidates: DataFrame, heavy) -> DataFrame:
+    """prefix, path and least key of the heavy nodes with two keys; tasks combine before the shuffle."""
+    kind = candidates.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        known, held = np.array(heavy.value, np.int64), []
+
+        def combined():
+            nodes, keys = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((keys, nodes["path"], nodes["prefix"]))
+            nodes, keys = nodes[order], keys[order]
+            new = np.ones(len(nodes), bool)
+            new[1:] = nodes[1:] != nodes[:-1]
+            starts = np.flatnonzero(new)
+            ends = np.concatenate([starts[1:], [len(nodes)]]) - 1
+            arrays = [pa.array(x) for x in (nodes["prefix"][starts].copy(), nodes["path"][starts].copy(), keys[starts], keys[ends])]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["prefix", "path", "least", "most"])
+
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                nodes, _ = _heavy_windows(text.as_py(), known)
+                if len(nodes):
+                    held.append((nodes, np.full(len(nodes), key, np.int64)))
+            if sum(len(k) for _, k in held) > COMBINED_ROWS:
+                yield combined()
+        if held:
+            yield combined()
+
+    rows = map_batches(candidates.select("key", "text"), run, f"prefix long, path long, least {kind}, most {kind}", BATCH_ROWS)
+    return rows.groupBy("prefix", "path").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").drop("most")
+
+
+def _heavy_covered(candidates: DataFrame, heavy) -> DataFrame:
+    """(key, at as an array) of covered windows under heavy anchors."""
+    context, kind = candidates.sparkSession.sparkContext, candidates.schema["key"].dataType.simpleString()
+    nodes = cut(_heavy_nodes(candidates, heavy))
+    if nodes.count() > BROADCAST_NODES:
+
+        def every(batches):
+            known = np.array(heavy.value, np.int64)
+            for batch in batches:
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    found, at = _heavy_windows(text.as_py(), known)
+                    arrays = [pa.array(found["prefix"].copy()), pa.array(found["path"].copy()), pa.array(np.full(len(at), key, np.int64)), pa.array(at.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["prefix", "path", "key", "at"])
+
+        rows = map_batches(candidates.select("key", "text"), every, f"prefix long, path long, key {kind}, at int", BATCH_ROWS)
+        return rows.join(nodes, ["prefix", "path"]).filter("key > least").groupBy("key").agg(F.collect_list("at").alias("at"))
+    table = nodes.toArrow()
+    sent = np.empty(table.num_rows, NODE)
+    sent["prefix"], sent["path"] = table.column("prefix").to_numpy(), table.column("path").to_numpy()
+    order = np.argsort(sent, order=("prefix", "path"))
+    shipped = context.broadcast((sent[order], table.column("least").to_numpy()[order]))  # BROADCAST_NODES rows at most
+
+    def run(batches):
+        known = np.array(heavy.value, np.int64)
+        nodes, least = shipped.value
+        paths, by_path = np.sort(nodes["path"]), np.argsort(nodes["path"], kind="stable")
+        for batch in batches:
+            keys, lists = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found, at = _heavy_windows(text.as_py(), known)
+                if not len(at) or not len(paths):
+                    continue
+                first, last = np.searchsorted(paths, found["path"], "left"), np.searchsorted(paths, found["path"], "right")
+                late = np.zeros(len(at), bool)
+                for step in range(int((last - first).max(initial=0))):  # nodes of one path hash differ in prefix: one step, or a few
+                    row = by_path[np.minimum(first + step, len(paths) - 1)]
+                    late |= (first + step < last) & (nodes["prefix"][row] == found["prefix"]) & (least[row] < key)
+                if late.any():
+                    keys.append(key)
+                    lists.append(at[late].astype(np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["key", "at"])
+
+    return map_batches(candidates.select("key", "text"), run, f"key {kind}, at array<int>", BATCH_ROWS)
+
+
 def _later(batches):
     """Of a stream sorted by (prefix, path, key, at): rows after a node's least key."""
     node = least = None
@@ -218,14 +312,12 @@ def _later(batches):
 
 
 def covered_windows(candidates: DataFrame, heavy) -> DataFrame:
-    """(key, at) of windows that also start under a smaller key."""
+    """(key, at as an array) of the windows that also start under a smaller key."""
     kind = candidates.schema["key"].dataType.simpleString()
-    light = _windows(candidates, heavy, False).repartition("prefix").sortWithinPartitions("prefix", "path", "key", "at")
-    out = map_batches(light, _later, f"key {kind}, at int")
+    light = _windows(candidates).repartition("prefix").sortWithinPartitions("prefix", "path", "key", "at")
+    out = map_batches(light, _later, f"key {kind}, at int").groupBy("key").agg(F.collect_list("at").alias("at"))  # at most its windows
     if heavy.value:
-        nodes = cut(_windows(candidates, heavy, True))
-        least = nodes.groupBy("prefix", "path").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most")
-        out = out.union(nodes.join(least, ["prefix", "path"]).filter("key > least").select("key", "at"))
+        out = out.union(_heavy_covered(candidates, heavy)).groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"))
     return out
 
 
@@ -253,7 +345,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     chosen = owners.join(shared, "content", "left").filter(F.col("has_heavy") | F.col("shared").isNotNull())
     chosen = chosen.select(F.col("least").alias("key"), "shared").dropDuplicates(["key"])
     candidates = cut(keyed.join(chosen, "key").select("key", "text", "shared"))
-    covered = covered_windows(candidates, heavy).groupBy("key").agg(F.collect_list("at").alias("at"))  # at most its windows
+    covered = covered_windows(candidates, heavy)
 
     def run(batches):
         for batch in batches:
