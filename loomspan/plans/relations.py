@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import lineage, ordering as o
 from loomspan.plans.registry import query
-from loomspan.plans.samples import K, SPLIT
+from loomspan.plans.samples import arg_k, SPLIT
 
 
 @query("SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
@@ -60,7 +60,7 @@ u AS (SELECT a.user_id, a.arm, list_distinct(list(k)) AS ks FROM a JOIN e ON e.u
 SELECT x.user_id, count(*) AS n_relevant FROM u x JOIN u y ON x.arm = y.arm AND x.user_id <> y.user_id AND len(list_intersect(x.ks, y.ks)) > 0 GROUP BY x.user_id""")
 def patch_relevance_join(t):
     """Patches (users) relevant to an episode (user): equal target, overlapping parameters."""
-    day = t.events.filter(DAY).select("user_id", "event_type", K.alias("k"))
+    day = t.events.filter(DAY).select("user_id", "event_type", arg_k().alias("k"))
     counts = day.groupBy("user_id", "event_type").count()
     arms = counts.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("count"), "event_type")).alias("arm"))
     pairs = day.select("user_id", "k").distinct().join(arms, "user_id")

@@ -137,13 +137,15 @@ def bijection_check(t):
     return counts.withColumn("bijective", F.col("n_keys") == F.col("n_codes"))
 
 
-K = F.get_json_object("props", "$.k").cast("int")
+def arg_k():
+    """The argument k of an event."""
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 @query("""
 SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(DISTINCT (props->>'k')::INT) AS n_k FROM events GROUP BY event_type""")
 def distinct_counts(t):
-    rows = t.events.withColumn("k", K)
+    rows = t.events.withColumn("k", arg_k())
     return rows.groupBy("event_type").agg(F.count("*").alias("n_rows"), F.countDistinct("user_id").alias("n_users"), F.countDistinct("k").alias("n_k"))
 
 
@@ -174,7 +176,7 @@ WITH s AS (SELECT user_id, list_sort(list_distinct(list((props->>'k')::INT) FILT
 SELECT user_id, CASE WHEN a = b THEN 'equal' WHEN len(list_intersect(a, b)) = 0 THEN 'different' ELSE 'ambiguous' END AS identity
 FROM s WHERE a IS NOT NULL AND b IS NOT NULL""")
 def output_identity(t):
-    rows = t.events.withColumn("k", K)
+    rows = t.events.withColumn("k", arg_k())
     of = lambda arm: F.array_sort(F.collect_set(F.when(F.col("event_type") == arm, F.col("k"))))
     sets = rows.groupBy("user_id").agg(of("click").alias("a"), of("view").alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
     label = F.when(F.col("a") == F.col("b"), "equal").when(~F.arrays_overlap("a", "b"), "different").otherwise("ambiguous")
