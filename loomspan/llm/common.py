@@ -2,45 +2,21 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import weakref
-import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loomspan.shipping import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-#: Bytes of an Arrow batch on its way to Python, and rows of a batch as the text operators see it.
-BATCH_BYTES = 8 << 20
+#: Rows of a batch as the text operators see it.
 BATCH_ROWS = 512
 
-_SHIPPED: weakref.WeakSet = weakref.WeakSet()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package to the session's Python workers (once), and bound their batches."""
-    context = spark.sparkContext
-    if context in _SHIPPED:
-        return
-    _SHIPPED.add(context)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if not os.path.isdir(package):  # it came from an archive that the workers have as well
-        return
-    archive = os.path.join(tempfile.mkdtemp(prefix="loomspan-"), "loomspan-source.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
-    context.addPyFile(archive)
-
 
 def map_batches(df: DataFrame, run: Callable, schema, rows: int | None = None) -> DataFrame:
     """``mapInArrow`` with this package at hand; ``rows`` bounds the batches that ``run`` sees."""
