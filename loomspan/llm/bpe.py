@@ -222,4 +222,4 @@ def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: adds the token ids; the text is what they decode to."""
     out = code(docs, byte_bpe_path())
-    return out.drop("text").withColumnRenamed("decoded", "text").select(*docs.columns, "token_ids")
+    return out.drop("text").withColumnRenamed("decoded", "text").select(*(c for c in docs.columns if c != "token_ids"), "token_ids")

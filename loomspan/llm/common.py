@@ -36,14 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only where it is unset and the session is local (tests) a temporary
     folder takes its place; on a cluster that would lose data, so it fails.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="loomspan-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomspan-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
