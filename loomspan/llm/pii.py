@@ -232,10 +232,10 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """The rows of ``docs`` with personal data in ``text`` masked."""
     added = cut(added_spans(cut(scan(docs, key, text))))
     found = added.select(F.col("key").alias("_key"), F.col("content").alias("_content"), F.col("added").alias("_added"))
-    if added.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
     # one row for every (key, content): rows of one key with other texts are told apart below
     per_key = found.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_content", "_added"))).alias("_added"))
+    if added.count() <= BROADCAST_ROWS:
+        per_key = F.broadcast(per_key)
     joined = docs.join(per_key, F.col(key).eqNullSafe(F.col("_key")), "left")
     rows = joined.select(F.col(text).alias("_text"), F.col("_added"), *(F.col(f"`{c}`") for c in docs.columns if c != text))
     kept = [c for c in docs.columns if c != text]

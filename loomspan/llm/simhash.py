@@ -11,7 +11,9 @@ or almost surely (MinHash keys) hold every such pair together:
 * ``near_groups``: a Jaccard similarity of 0.8 over five-word shingles is 15 %
   of the bits, too many for blocks, so shards are keyed by MinHash values (six,
   one of which such a pair shares with probability 0.9999), hot shards by pairs
-  of them, and links are verified on the shingles.
+  of them and salted, and links are verified on the shingles. A point of a
+  large shard links to its nearest earlier one; in shards above ``BLOCK``
+  points and in salted ones, later points meet only those that had no link.
 
 A shard's BK-tree keys children by their integer Hamming distance to the
 parent and a search follows only edges within the radius. The tree is built in
@@ -226,7 +228,8 @@ def link_blocks(distinct: DataFrame, radius: int = 2, hot: int = HOT) -> DataFra
         raise ValueError("blocks hold pairs within two bits together; use near_groups")
     fp, pairs = F.col("fp"), list(_block_keys(F.col("fp")))
     keyed = distinct.select("fp", F.posexplode(F.array(*(k for k, _ in pairs))).alias("block", "key"))
-    large = keyed.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("large"))
+    # cut, so that the join below has its own exchanges and adaptive execution may split hot keys
+    large = cut(keyed.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("large")))
     finer = F.array(*(F.array(*(F.xxhash64("key", k) for k in _finer_keys(fp, bits))) for _, bits in pairs))
     keyed = keyed.join(large, "key", "left").select(
         F.explode(F.when(F.col("large"), finer[F.col("block")]).otherwise(F.array("key"))).alias("key"), "fp"
@@ -276,37 +279,82 @@ PERMUTATIONS = (
     0xE7037ED1A0B428DB,
 )
 BLOCK = 4_096
+SALTS = 32
 
 
-def nearest_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Each point's nearest earlier point within the radius, and spanning links besides.
+class Shard:
+    """One shard's stream: each point's nearest earlier point within the radius, and spanning links.
 
-    Shards above ``BLOCK`` points go block by block: a block meets the points
-    before it that were not themselves linked to an earlier one.
+    Points come in blocks. A block meets itself and the earlier points that
+    were not linked themselves, so what is held does not grow with a group of
+    near-copies, however large.
     """
-    links, kept = [], np.empty(0, np.int64)
-    parent = list(range(len(points)))
-    for at in range(0, len(points), BLOCK):
-        block = np.arange(at, min(at + BLOCK, len(points)))
-        members = np.concatenate([kept, block])
+
+    def __init__(self, radius: int):
+        self.radius = radius
+        self.keys, self.points = np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+
+    def block(self, keys: np.ndarray, points: np.ndarray) -> list[tuple[int, int]]:
+        """Links (later key, earlier key) of the next block."""
+        old = len(self.keys)
+        keys, points = np.concatenate([self.keys, keys]), np.concatenate([self.points, points])
         best: dict[int, tuple[int, int]] = {}
-        tree = BkTree(points, members)
-        loose = []
-        for q, m, far in tree.search(points, radius, block):
-            for x, y, d in zip(q.tolist(), m.tolist(), far.tolist()):
-                if y < x:
-                    if x not in best or (d, y) < best[x]:
-                        best[x] = (d, y)
-                    loose.append((d, x, y))
-        for x, (_, y) in best.items():
-            links.append((x, y))
-            parent[max(_root(parent, x), _root(parent, y))] = min(_root(parent, x), _root(parent, y))
-        for _, x, y in sorted(loose):
+        near = []
+        for q, m, far in BkTree(points).search(points, self.radius, np.arange(old, len(points))):
+            earlier = m < q
+            for x, y, d in zip(q[earlier].tolist(), m[earlier].tolist(), far[earlier].tolist()):
+                if x not in best or (d, y) < best[x]:
+                    best[x] = (d, y)
+                near.append((d, x, y))
+        parent, links = list(range(len(points))), []
+        for d, x, y in sorted((d, x, y) for x, (d, y) in best.items()) + sorted(near):
             if (p := _root(parent, x)) != (q := _root(parent, y)):
                 parent[max(p, q)] = min(p, q)
-                links.append((x, y))
-        kept = np.concatenate([kept, [x for x in block.tolist() if x not in best]]).astype(np.int64)
-    return links
+                links.append((int(keys[x]), int(keys[y])))
+        kept = np.array([i for i in range(len(points)) if i not in best], np.int64)
+        self.keys, self.points = keys[kept], points[kept]
+        return links
+
+
+def _shard_links(batches, radius: int):
+    """Links of shard-sorted rows (shard, salt, key, a, b).
+
+    Where the salt is not 0, points that were not linked follow with a null y.
+    """
+
+    def out(links, kept):
+        rows = [(x, y, None, None, None) for x, y in links] + kept
+        if rows:
+            x, y, s, a, b = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (x, y, s, a, b)], names=["x", "y", "shard", "a", "b"])
+
+    now, shard = None, None
+
+    def rest():
+        if shard is not None and now[1] and len(shard.keys):
+            signed = shard.points.view(np.int64)
+            return [(int(k), None, now[0], int(p), int(q)) for k, (p, q) in zip(shard.keys, signed)]
+        return []
+
+    for batch in batches:
+        ids, salts, keys, a, b = (c.to_numpy() for c in batch.columns)
+        if not len(ids):
+            continue
+        points = np.stack([a, b], axis=1).view(np.uint64)
+        edges = np.flatnonzero((ids[1:] != ids[:-1]) | (salts[1:] != salts[:-1])) + 1
+        found, kept = [], []
+        for i, j in zip([0, *edges], [*edges, len(ids)]):
+            if now != (int(ids[i]), int(salts[i])):
+                kept += rest()
+                now, shard = (int(ids[i]), int(salts[i])), Shard(radius)
+            if j - i == 1 and not len(shard.keys):
+                shard.keys, shard.points = keys[i:j].copy(), points[i:j].copy()
+                continue
+            for at in range(i, j, BLOCK):
+                end = min(j, at + BLOCK)
+                found += shard.block(keys[at:end], points[at:end])
+        yield from out(found, kept)
+    yield from out([], rest())
 
 
 def signatures(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
@@ -368,23 +416,28 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
             "key", "a", "b", "n", "least", F.xxhash64("n", "value").alias("shard")
         )
     )
-    large = keyed.groupBy("shard").count().filter(F.col("count") > hot).select("shard", F.lit(True).alias("large"))
+    # cut, so that the join below has its own exchanges and adaptive execution may split hot shards
+    large = cut(keyed.groupBy("shard").count().filter(F.col("count") > hot).select("shard", F.lit(True).alias("large")))
     others = F.transform(
         F.filter(F.transform("least", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda s: s["i"] != F.col("n")),
         lambda s: F.xxhash64("shard", s["i"], s["v"]),
     )
-    dealt = keyed.join(large, "shard", "left").select(F.explode(F.when(F.col("large"), others).otherwise(F.array("shard"))).alias("shard"), "key", "a", "b")
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "key")
-
-    def run(batches):
-        for keys, a, b in by_shard(batches, 3):
-            points = np.stack([a, b], axis=1).astype(np.int64).view(np.uint64)
-            if found := nearest_links(points, radius):
-                x, y = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(keys[x]), pa.array(keys[y])], names=["x", "y"])
-
-    kind = rows.schema["key"].dataType.simpleString()
-    links = cut(map_batches(dealt, run, f"x {kind}, y {kind}").distinct())
+    marked_large = keyed.join(large, "shard", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    # a hot shard's finer shards may be hot again (near-copies of one text): they are salted, and what
+    # the salts leave unlinked meets in a second pass
+    salt = F.when(F.col("large"), F.pmod(F.xxhash64("key", "shard"), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long"))
+    dealt = marked_large.select(F.explode(F.when(F.col("large"), others).otherwise(F.array("shard"))).alias("shard"), salt.alias("salt"), "key", "a", "b")
+    kind = "x long, y long, shard long, a long, b long"
+
+    def linked(rows: DataFrame) -> DataFrame:
+        rows = rows.select("shard", "salt", F.col("key").cast("long").alias("key"), "a", "b")
+        rows = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "key")
+        return map_batches(rows, lambda batches: _shard_links(batches, radius), kind)
+
+    first = cut(linked(dealt))
+    second = first.filter("y is null").select("shard", F.lit(0).cast("long").alias("salt"), F.col("x").alias("key"), "a", "b")
+    links = first.filter("y is not null").union(linked(second))
+    links = cut(links.select("x", "y").distinct())
     good = _verified(links, rows, size, similarity)
     roots = components(good.select(F.col("x").alias("a"), F.col("y").alias("b")))
     named = owners.join(roots, F.col("owner") == F.col("node"), "left").select("content", F.coalesce("root", "owner").alias("component"))
