@@ -47,7 +47,7 @@ def records_of(spark: SparkSession, path, schema, field: str = "records") -> Dat
     return docs.select(F.explode(field).alias("r"), F.col("_metadata.file_name").alias("file_name")).select("r.*", "file_name")
 
 
-def category(file_name: Column | str = "file_name", prefix: str = "BFCL_v[0-9]+_") -> Column:
+def category(file_name: Column | str = "file_name", prefix: str = "[A-Za-z]+_v[0-9]+_") -> Column:
     """The category in a data file's name."""
     return F.regexp_extract(file_name, rf"{prefix}(.*)\.jsonl?$", 1)
 

@@ -112,9 +112,9 @@ def test_text(spark):
 def test_sources(spark, tmp_path):
     question = [{"id": "a", "question": [[{"role": "user", "content": "hi"}, {"content": "yo"}]], "function": [{"name": "f"}]}, {"id": "b", "question": "plain", "function": []}]
     (tmp_path / "q").mkdir(), (tmp_path / "p").mkdir()
-    (tmp_path / "q" / "BFCL_v4_simple.json").write_text("\n\n".join(map(json.dumps, question)) + "\n")
-    (tmp_path / "p" / "BFCL_v4_simple.json").write_text("\n".join(json.dumps({"id": i, "ground_truth": [{"f": {"x": [1]}}]}) for i in "ab"))
-    q, p = (records.jsonl(spark, f"file://{tmp_path}/{d}", name_pattern="BFCL_*.json") for d in "qp")
+    (tmp_path / "q" / "DATA_v4_simple.json").write_text("\n\n".join(map(json.dumps, question)) + "\n")
+    (tmp_path / "p" / "DATA_v4_simple.json").write_text("\n".join(json.dumps({"id": i, "ground_truth": [{"f": {"x": [1]}}]}) for i in "ab"))
+    q, p = (records.jsonl(spark, f"file://{tmp_path}/{d}", name_pattern="DATA_*.json") for d in "qp")
     rows = {r.episode_id: r for r in records.episodes(q, p).select("episode_id", "query", "category").collect()}
     assert rows["a"].query == "hi\nyo" and rows["b"].query == "plain" and rows["a"].category == "simple"
     with pytest.raises(Exception, match="no answer for b"):
