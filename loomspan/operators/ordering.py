@@ -83,11 +83,14 @@ def staged_fill(df: DataFrame, tier: str, key: str, n: int, seed: int, label: st
 
 
 def stratified_sample(df: DataFrame, group: str, order: list[str], per_group: int, n: int) -> DataFrame:
-    """``per_group`` rows of each group, filled to n by (group, order)."""
-    best = df.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order)))
-    core = best.filter(F.col("_n") <= per_group)
-    left = best.filter(F.col("_n") > per_group).orderBy(group, *order).limit(max(0, n - core.count()))
-    return core.unionByName(left).drop("_n")
+    """``per_group`` rows of each group, filled to n by (group, order); the last of ``order`` is a unique key.
+
+    The rank filter is a per-group limit that tasks apply before the shuffle.
+    """
+    rank = F.row_number().over(W.partitionBy(group).orderBy(*order))
+    core = df.withColumn("_n", rank).filter(F.col("_n") <= per_group).drop("_n")
+    rest = df.join(core.select(order[-1]), order[-1], "left_anti")
+    return core.unionByName(rest.orderBy(group, *order).limit(max(0, n - core.count())).select(*core.columns))
 
 
 def shard_items(df: DataFrame, key: str, shards: int) -> DataFrame:
