@@ -54,6 +54,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """``df`` (cheap to count: read or cut) to be broadcast if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order (null: none)."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

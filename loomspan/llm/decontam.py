@@ -25,7 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomspan.llm.common import cut, documents
+from loomspan.llm.common import cut, documents, sized
 
 SHINGLE = 5
 LEAST = 0.8
@@ -102,10 +102,8 @@ def leaks(
     ) if len(classes) > 1 else F.lit(classes[0]["top"] if classes else None).cast("long")
     low = hashes.withColumn("top", top).select("doc", F.explode(F.filter("hashes", lambda h: h <= F.col("top"))).alias("hash"))
     candidates = cut(low.join(probe, "hash").select("doc", "item").distinct())
-    pairs = candidates
-    if candidates.count() <= broadcast_rows:
-        pairs = F.broadcast(pairs)
-    met = rows.join(pairs.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc"))).drop("_doc")
+    pairs = sized(candidates.withColumnRenamed("doc", "_doc"), broadcast_rows)
+    met = rows.join(pairs, F.col("doc").eqNullSafe(F.col("_doc"))).drop("_doc")
     met = met.select("doc", "item", plain_words(F.col("text")).alias("words"))
     met = met.select("doc", "item", shingle_texts(F.col("words"), size).alias("found"))
     few = held.select(F.col("item").alias("_item"), "shingles", "n")
@@ -124,7 +122,7 @@ def op9_decontamination(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that leak a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = leaks(docs.select("doc_id", "text"), items).select(F.col("doc").alias("_doc")).distinct()
+    found = sized(cut(leaks(docs.select("doc_id", "text"), items).select(F.col("doc").alias("_doc")).distinct()), BROADCAST_ROWS)
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches
+from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches, sized
 from loomspan.llm.graph import components
 
 SEED = 42
@@ -279,6 +279,8 @@ PERMUTATIONS = (
     0xE7037ED1A0B428DB,
 )
 BLOCK = 4_096
+#: Keys up to which a list of documents is broadcast to where the texts are.
+BROADCAST_KEYS = 500_000
 SALTS = 32
 
 
@@ -382,7 +384,7 @@ def signatures(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
 
 def _verified(links: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links whose shingle sets have the Jaccard similarity or more."""
-    ends = links.select(F.explode(F.array("x", "y")).alias("key")).distinct()
+    ends = sized(cut(links.select(F.explode(F.array("x", "y")).alias("key")).distinct()), BROADCAST_KEYS)
     texts = docs.join(ends, "key").select("key", "text")
     kind = docs.schema["key"].dataType.simpleString()
 
@@ -447,5 +449,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near-duplicates stays, the one with the least key."""
     groups = near_groups(docs)
-    gone = groups.filter("key > component").select(F.col("key").alias("_key")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_key"), "left_anti").dropDuplicates(docs.columns)
+    gone = sized(cut(groups.filter("key > component").select(F.col("key").alias("__key")).distinct()), BROADCAST_KEYS)
+    kept = docs.join(gone, F.col("doc_id") == F.col("__key"), "left_anti")
+    # rows with one key are repeats of one document; without any, no text needs to move
+    twice = sized(cut(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__key"))), BROADCAST_KEYS)
+    if twice.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("__key"))
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(docs.columns))
