@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from loomspan.llm.common import BATCH_ROWS, documents, map_batches
 
 SHORT = 128
-CACHED_CHUNKS = 300_000
-CACHED_PIECES = 600_000
+CACHED_CHUNKS = 120_000
+CACHED_PIECES = 200_000
 LONGEST_CACHED = 64
 NO_RANK = 1 << 60
 

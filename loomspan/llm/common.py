@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomspan.shipping import ship
@@ -27,7 +28,11 @@ def map_batches(df: DataFrame, run: Callable, schema, rows: int | None = None) -
             for at in range(0, batch.num_rows, rows):
                 yield batch.slice(at, rows)
 
-    return df.mapInArrow((lambda batches: run(sliced(batches))) if rows else run, schema)
+    def task(batches):
+        yield from run(sliced(batches) if rows else batches)
+        pa.default_memory_pool().release_unused()  # the worker lives on, other tasks need the memory
+
+    return df.mapInArrow(task, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -42,7 +42,7 @@ from loomspan.llm.graph import components
 SEED = 42
 HOT = 2_000
 LEAF = 48
-FLUSH = 150_000
+FLUSH = 60_000
 
 
 # ---- fingerprints -------------------------------------------------------
