@@ -31,7 +31,7 @@ from loomspan.llm.common import BATCH_ROWS, documents, map_batches
 
 SHORT = 128
 CACHED_CHUNKS = 120_000
-CACHED_PIECES = 200_000
+CACHED_PIECES = 320_000
 LONGEST_CACHED = 64
 NO_RANK = 1 << 60
 
@@ -157,34 +157,20 @@ class Coder:
         return b"".join(map(self.token.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
-_CODERS: dict[str, Coder] = {}
-
-
-def coder_for(tables) -> Coder:
-    """The coder of this Python worker; its caches outlive the task."""
-    name = tables[0]
-    if name not in _CODERS:
-        _CODERS.clear()
-        _CODERS[name] = Coder(tables[1].value)
-    return _CODERS[name]
-
-
 def code(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """Add ``token_ids`` (little-endian uint32) and ``decoded`` to the rows."""
     return _map(docs, tokenizer, text, lambda raw, back: (raw, back), "token_ids binary, decoded string")
 
 
 def _map(docs: DataFrame, tokenizer: str, text: str, shape, columns: str) -> DataFrame:
-    with open(tokenizer, "rb") as file:
-        name = hashlib.sha256(file.read()).hexdigest()
-    tables = name, docs.sparkSession.sparkContext.broadcast(Tables(tokenizer))
+    tables = docs.sparkSession.sparkContext.broadcast(Tables(tokenizer))
     keep = [c for c in docs.columns if c not in re.findall(r"(\w+) \w+", columns)]
     source = docs.select(*(f"`{c}`" for c in keep), docs[text].alias("__text"))
     added = [x.strip().split(" ") for x in columns.split(",")]
     kinds = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
 
     def run(batches):
-        coder = coder_for(tables)
+        coder = Coder(tables.value)  # its caches end with the task
         for batch in batches:
             rows = []
             for value in batch.column(batch.num_columns - 1):
