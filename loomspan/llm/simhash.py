@@ -11,9 +11,8 @@ or almost surely (MinHash keys) hold every such pair together:
 * ``near_groups``: a Jaccard similarity of 0.8 over five-word shingles is 15 %
   of the bits, too many for blocks, so shards are keyed by MinHash values (six,
   one of which such a pair shares with probability 0.9999), hot shards by pairs
-  of them and salted, and links are verified on the shingles. A point of a
-  large shard links to its nearest earlier one; in shards above ``BLOCK``
-  points and in salted ones, later points meet only those that had no link.
+  of them and salted. Candidates are verified on the shingle sets in the
+  shard's task, and only verified links join points there.
 
 A shard's BK-tree keys children by their integer Hamming distance to the
 parent and a search follows only edges within the radius. The tree is built in
@@ -176,9 +175,9 @@ def spanning_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def by_shard(batches, columns: int):
-    """Groups of a key-sorted stream (key first) as lists of column arrays, of two rows or more."""
-    held = None
+def by_shard(batches, columns: int, named: bool = False):
+    """Groups of a key-sorted stream (key first, given only if ``named``) as lists of column arrays, of two rows or more."""
+    held, first = None, 0 if named else 1
     for batch in batches:
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if held is not None:
@@ -189,10 +188,10 @@ def by_shard(batches, columns: int):
         edges = np.concatenate([[0], cuts])
         for a, b in zip(edges[:-1], edges[1:]):
             if b - a > 1:
-                yield [c[a:b] for c in now[1:]]
+                yield [c[a:b] for c in now[first:]]
         held = [c[edges[-1] :] for c in now]
     if held is not None and len(held[0]) > 1:
-        yield held[1:]
+        yield held[first:]
 
 
 # ---- links within two bits ----------------------------------------------
@@ -278,85 +277,94 @@ PERMUTATIONS = (
     0xA0761D6478BD642F,
     0xE7037ED1A0B428DB,
 )
-BLOCK = 4_096
+#: Points that search a shard's tree at once.
+BLOCK = 256
 #: Keys up to which a list of documents is broadcast to where the texts are.
 BROADCAST_KEYS = 500_000
 SALTS = 32
 
 
-class Shard:
-    """One shard's stream: each point's nearest earlier point within the radius, and spanning links.
+def _candidates(points: np.ndarray, radius: int):
+    """Blocks of pairs (later, earlier, bits) within the radius; a block has all pairs of its later points."""
+    tree = BkTree(points)
+    for at in range(0, len(points), BLOCK):
+        found = [(q[e], m[e], far[e]) for q, m, far in tree.search(points, radius, np.arange(at, min(len(points), at + BLOCK))) if (e := m < q).any()]
+        if found:
+            yield tuple(map(np.concatenate, zip(*found)))
 
-    Points come in blocks. A block meets itself and the earlier points that
-    were not linked themselves, so what is held does not grow with a group of
-    near-copies, however large.
-    """
 
-    def __init__(self, radius: int):
-        self.radius = radius
-        self.keys, self.points = np.empty(0, np.int64), np.empty((0, 2), np.uint64)
-
-    def block(self, keys: np.ndarray, points: np.ndarray) -> list[tuple[int, int]]:
-        """Links (later key, earlier key) of the next block."""
-        old = len(self.keys)
-        keys, points = np.concatenate([self.keys, keys]), np.concatenate([self.points, points])
-        best: dict[int, tuple[int, int]] = {}
-        near = []
-        for q, m, far in BkTree(points).search(points, self.radius, np.arange(old, len(points))):
-            earlier = m < q
-            for x, y, d in zip(q[earlier].tolist(), m[earlier].tolist(), far[earlier].tolist()):
-                if x not in best or (d, y) < best[x]:
-                    best[x] = (d, y)
-                near.append((d, x, y))
-        parent, links = list(range(len(points))), []
-        for d, x, y in sorted((d, x, y) for x, (d, y) in best.items()) + sorted(near):
-            if (p := _root(parent, x)) != (q := _root(parent, y)):
-                parent[max(p, q)] = min(p, q)
-                links.append((int(keys[x]), int(keys[y])))
-        kept = np.array([i for i in range(len(points)) if i not in best], np.int64)
-        self.keys, self.points = keys[kept], points[kept]
-        return links
+def _words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.stack([a, b], axis=1).astype(np.int64).view(np.uint64)
 
 
-def _shard_links(batches, radius: int):
-    """Links of shard-sorted rows (shard, salt, key, a, b).
+def _met(batches, radius: int):
+    """Rows (shard, key, a, b, component) of shard-sorted points that have a candidate of another component.
 
-    Where the salt is not 0, points that were not linked follow with a null y.
+    A pair that shares the value of an earlier permutation is left to that
+    one's shard, except in shards with ``all``.
     """
+    for shard, n, key, a, b, least, whole, component in by_shard(batches, 8, True):
+        met = np.zeros(len(key), bool)
+        values = np.stack(least)[:, : n[0]]
+        for q, m, _ in _candidates(_words(a, b), radius):
+            own = component[q] != component[m]
+            if not whole[0]:
+                own &= ~(values[q] == values[m]).any(axis=1)
+            met[q[own]] = met[m[own]] = True
+        if met.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in (shard, key, a, b, component)], names=["shard", "key", "a", "b", "component"])
+
+
+def verified_links(points: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (later, earlier) of verified pairs that connect all such pairs of a shard.
+
+    A pair is left out only where verified links, or equal labels at the
+    start, join its ends; a pair that fails joins nothing.
+    """
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, labels, links = np.zeros(len(names), bool), np.unique(labels, return_inverse=True)[1], []
+
+    def common(some: np.ndarray) -> np.ndarray:
+        lengths = sizes[some]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[some] - (ends - lengths), lengths)
+        total = np.concatenate([[0], np.cumsum(mark[ids[at]])])
+        return total[ends] - total[ends - lengths]
+
+    for q, m, far in _candidates(points, radius):
+        apart = labels[q] != labels[m]
+        q, m, far = q[apart], m[apart], far[apart]
+        order = np.lexsort((m, far, q))
+        q, m = q[order], m[order]
+        for some in np.split(m, np.flatnonzero(q[1:] != q[:-1]) + 1) if len(q) else []:
+            x = int(q[0])
+            q = q[len(some) :]
+            some, step = some[labels[some] != labels[x]], 1
+            if not len(some):
+                continue
+            own = ids[starts[x] : starts[x] + sizes[x]]
+            mark[own] = True
+            while len(some):
+                part, some = some[:step], some[step:]
+                shared = common(part)
+                for y in part[shared >= similarity * (sizes[x] + sizes[part] - shared)].tolist():
+                    if labels[x] != labels[y]:
+                        labels[labels == labels[y]] = labels[x]
+                        links.append((x, y))
+                some, step = some[labels[some] != labels[x]], min(4 * step, 1_024)
+            mark[own] = False
+    return links
 
-    def out(links, kept):
-        rows = [(x, y, None, None, None) for x, y in links] + kept
-        if rows:
-            x, y, s, a, b = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (x, y, s, a, b)], names=["x", "y", "shard", "a", "b"])
-
-    now, shard = None, None
-
-    def rest():
-        if shard is not None and now[1] and len(shard.keys):
-            signed = shard.points.view(np.int64)
-            return [(int(k), None, now[0], int(p), int(q)) for k, (p, q) in zip(shard.keys, signed)]
-        return []
 
-    for batch in batches:
-        ids, salts, keys, a, b = (c.to_numpy() for c in batch.columns)
-        if not len(ids):
-            continue
-        points = np.stack([a, b], axis=1).view(np.uint64)
-        edges = np.flatnonzero((ids[1:] != ids[:-1]) | (salts[1:] != salts[:-1])) + 1
-        found, kept = [], []
-        for i, j in zip([0, *edges], [*edges, len(ids)]):
-            if now != (int(ids[i]), int(salts[i])):
-                kept += rest()
-                now, shard = (int(ids[i]), int(salts[i])), Shard(radius)
-            if j - i == 1 and not len(shard.keys):
-                shard.keys, shard.points = keys[i:j].copy(), points[i:j].copy()
-                continue
-            for at in range(i, j, BLOCK):
-                end = min(j, at + BLOCK)
-                found += shard.block(keys[at:end], points[at:end])
-        yield from out(found, kept)
-    yield from out([], rest())
+def _shard_links(batches, radius: int, similarity: float):
+    """Verified links (x later, y earlier) of shard-sorted rows (shard, key, a, b, shingles, component)."""
+    for _, key, a, b, shingles, component in by_shard(batches, 6, True):
+        found = verified_links(_words(a, b), [np.frombuffer(s, "<i8") for s in shingles], component, radius, similarity)
+        if found:
+            x, y = np.array(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y])], names=["x", "y"])
 
 
 def signatures(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
@@ -382,24 +390,17 @@ def signatures(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
     return map_batches(docs, run, f"key {kind}, content string, a long, b long, least array<long>", BATCH_ROWS)
 
 
-def _verified(links: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links whose shingle sets have the Jaccard similarity or more."""
-    ends = sized(cut(links.select(F.explode(F.array("x", "y")).alias("key")).distinct()), BROADCAST_KEYS)
-    texts = docs.join(ends, "key").select("key", "text")
+def shingle_sets(keys: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """key, shingles (sorted distinct hashes, packed) of the texts with these distinct ``keys`` (cut)."""
+    texts = docs.join(sized(keys, BROADCAST_KEYS), "key").select("key", "text")
     kind = docs.schema["key"].dataType.simpleString()
 
     def sets(batches):
         for batch in batches:
-            found = [np.unique(np.frombuffer(shingle_digests(v.as_py(), size, xxhash.xxh64_digest), "<i8")) for v in batch.column(1)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = pa.array(np.concatenate([*found, np.empty(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["key", "shingles"])
+            found = [np.unique(np.frombuffer(shingle_digests(v.as_py(), size, xxhash.xxh64_digest), "<i8")).tobytes() for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "shingles"])
 
-    held = cut(map_batches(texts, sets, f"key {kind}, shingles array<long>", BATCH_ROWS).dropDuplicates(["key"]))
-    left = links.join(held.withColumnsRenamed({"key": "x", "shingles": "sx"}), "x")
-    both = left.join(held.withColumnsRenamed({"key": "y", "shingles": "sy"}), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    return both.filter(common >= similarity * (F.size("sx") + F.size("sy") - common)).select("x", "y")
+    return cut(map_batches(texts, sets, f"key {kind}, shingles binary", BATCH_ROWS).dropDuplicates(["key"]))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, hot: int = HOT) -> DataFrame:
@@ -407,10 +408,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     Equal word sequences are one content under their least key. Contents meet
     in shards of equal MinHash values, hot shards in pairs of them; a shard's
-    BK-tree gives links within the radius, and links are verified.
+    BK-tree gives candidates within the radius. Rows that have one meet again
+    with their shingle sets, and verified pairs link.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull())
-    marked = cut(signatures(rows, size))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull())
+    marked = cut(signatures(texts, size))
     owners = cut(marked.groupBy("content").agg(F.min("key").alias("owner")))
     chosen = marked.join(owners, "content").filter("key = owner").dropDuplicates(["key"])
     keyed = cut(
@@ -425,23 +427,24 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         lambda s: F.xxhash64("shard", s["i"], s["v"]),
     )
     marked_large = keyed.join(large, "shard", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    # a hot shard's finer shards may be hot again (near-copies of one text): they are salted, and what
-    # the salts leave unlinked meets in a second pass
+    # a hot shard's finer shards may be hot again (near-copies of one text), so they are salted
     salt = F.when(F.col("large"), F.pmod(F.xxhash64("key", "shard"), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long"))
-    dealt = marked_large.select(F.explode(F.when(F.col("large"), others).otherwise(F.array("shard"))).alias("shard"), salt.alias("salt"), "key", "a", "b")
-    kind = "x long, y long, shard long, a long, b long"
+    dealt = marked_large.select(
+        F.explode(F.when(F.col("large"), others).otherwise(F.array("shard"))).alias("shard"), salt.alias("salt"), "n", "key", "a", "b", "least", "large"
+    )
 
     def linked(rows: DataFrame) -> DataFrame:
-        rows = rows.select("shard", "salt", F.col("key").cast("long").alias("key"), "a", "b")
-        rows = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "key")
-        return map_batches(rows, lambda batches: _shard_links(batches, radius), kind)
-
-    first = cut(linked(dealt))
-    second = first.filter("y is null").select("shard", F.lit(0).cast("long").alias("salt"), F.col("x").alias("key"), "a", "b")
-    links = first.filter("y is not null").union(linked(second))
-    links = cut(links.select("x", "y").distinct())
-    good = _verified(links, rows, size, similarity)
-    roots = components(good.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        """Verified links (x, y) between the components of each (shard, salt)."""
+        rows = rows.select(F.xxhash64("shard", "salt").alias("shard"), "n", F.col("key").cast("long").alias("key"), "a", "b", "least", "large", F.col("component").cast("long").alias("component"))
+        sorted_rows = rows.repartition("shard").sortWithinPartitions("shard", "key")
+        met = cut(map_batches(sorted_rows, lambda batches: _met(batches, radius), "shard long, key long, a long, b long, component long"))
+        held = shingle_sets(cut(met.select("key").distinct()), texts, size)
+        points = met.join(held, "key").select("shard", "key", "a", "b", "shingles", "component")
+        points = points.repartition("shard").sortWithinPartitions("shard", "key")
+        return cut(map_batches(points, lambda batches: _shard_links(batches, radius, similarity), "x long, y long"))
+
+    links = linked(dealt.withColumn("component", F.col("key")))
+    roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     named = owners.join(roots, F.col("owner") == F.col("node"), "left").select("content", F.coalesce("root", "owner").alias("component"))
     return marked.join(named, "content").select("key", "component")
 
