@@ -403,6 +403,21 @@ def shingle_sets(keys: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return cut(map_batches(texts, sets, f"key {kind}, shingles binary", BATCH_ROWS).dropDuplicates(["key"]))
 
 
+def _across_salts(dealt: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
+    """The points of salted shards that are not one component yet, dealt so that all pairs between components meet.
+
+    A shard's largest component is spread over salts, all other points go to each of them.
+    """
+    component = roots.select(F.col("node").alias("key"), "root")
+    placed = cut(dealt.drop("salt").join(component, "key", "left").withColumn("component", F.coalesce("root", "key")).drop("root"))
+    counts = placed.groupBy("shard", "component").agg(F.count("*").alias("points"))
+    several = counts.groupBy("shard").agg(F.sum("points").alias("points"), F.max(F.struct("points", "component"))["component"].alias("most"), F.count("*").alias("kinds"))
+    several = several.filter("kinds > 1").select("shard", "most", F.ceil(F.col("points") / hot).cast("long").alias("salts"))
+    own, each = F.array(F.pmod(F.xxhash64("key", "shard"), F.col("salts"))), F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)
+    rows = placed.join(sized(cut(several), BROADCAST_KEYS), "shard")
+    return rows.withColumn("salt", F.explode(F.when(F.col("component") == F.col("most"), own).otherwise(each)))
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, hot: int = HOT) -> DataFrame:
     """(key, component) of all rows: the least key of texts linked by the similarity or equal words.
 
@@ -445,6 +460,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     links = linked(dealt.withColumn("component", F.col("key")))
     roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    if not large.isEmpty():
+        links = links.union(linked(_across_salts(dealt.filter("large"), roots, hot)))
+        roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     named = owners.join(roots, F.col("owner") == F.col("node"), "left").select("content", F.coalesce("root", "owner").alias("component"))
     return marked.join(named, "content").select("key", "component")
 

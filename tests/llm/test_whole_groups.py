@@ -78,3 +78,20 @@ def test_star_groups(spark):
     texts = star(2, 60)
     rows = sorted(simhash.near_groups(table(spark, texts)).collect())
     assert [r.component for r in rows] == brute(texts, simhash.NEAR_RADIUS, points_of(texts))
+
+
+@pytest.mark.parametrize("middle", [True, False])
+def test_salted_star(spark, middle):
+    """With two members as the bound every shard is hot, and the base is in one salt of 32."""
+    texts = star(3, 60, middle=middle)
+    rows = sorted(simhash.near_groups(table(spark, texts), hot=2).collect())
+    assert [r.component for r in rows] == brute(texts, simhash.NEAR_RADIUS, points_of(texts))
+
+
+def test_shards_across_batches():
+    """A shard that straddles batches is one shard."""
+    import pyarrow as pa
+
+    rows = [(1, 1), (2, 2), (2, 3), (2, 4), (3, 5)]
+    batches = [pa.RecordBatch.from_pylist([{"s": s, "k": k}]) for s, k in rows]
+    assert [k.tolist() for (k,) in simhash.by_shard(batches, 1)] == [[2, 3, 4]]
