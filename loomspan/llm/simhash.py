@@ -367,8 +367,13 @@ def _shard_links(batches, radius: int, similarity: float):
             yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y])], names=["x", "y"])
 
 
+def distinct(digests: bytes) -> bytes:
+    """Each of the 16-byte digests once."""
+    return np.unique(np.frombuffer(digests, "V16")).tobytes()
+
+
 def signatures(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
-    """key, content (hash of the words), 128-bit fingerprint (a, b) and MinHash values."""
+    """key, content (hash of the words), 128-bit fingerprint of the distinct shingles (a, b) and MinHash values."""
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches):
@@ -377,7 +382,7 @@ def signatures(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
             content = []
             for i, value in enumerate(batch.column(1)):
                 text = value.as_py() or ""
-                bits.add(i, shingle_digests(text, size, xxhash.xxh3_128_digest))
+                bits.add(i, distinct(shingle_digests(text, size, xxhash.xxh3_128_digest)))
                 content.append(xxhash.xxh3_128_hexdigest(b" ".join(text.encode().lower().split())))
             prints = bits.fingerprints().view(">i8").astype(np.int64)
             least = np.where(bits.totals[:, None] > 0, bits.least, 0).astype(np.uint64).view(np.int64)

@@ -95,3 +95,14 @@ def test_shards_across_batches():
     rows = [(1, 1), (2, 2), (2, 3), (2, 4), (3, 5)]
     batches = [pa.RecordBatch.from_pylist([{"s": s, "k": k}]) for s, k in rows]
     assert [k.tolist() for (k,) in simhash.by_shard(batches, 1)] == [[2, 3, 4]]
+
+
+def test_repeated_passages(spark):
+    """Texts that differ in how often a passage occurs are near by their sets, so their prints must be too."""
+    texts, rng = [], random.Random(5)
+    for _ in range(12):
+        head = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+        line = " ".join(f"r{rng.randrange(10**6)}" for _ in range(20))
+        texts += [f"{head} {line}", f"{head} " + " ".join([line] * 8)]
+    rows = sorted(simhash.near_groups(table(spark, texts)).collect())
+    assert [r.component for r in rows] == brute(texts) == [i // 2 * 2 for i in range(len(texts))]
