@@ -96,7 +96,7 @@ def _word(word: str) -> str:
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical contexts of a place: two words before; a word on either side; a label before."""
+    """Lexical contexts of a place: two words before; a word on either side, or the text's start; a label before."""
     window = text[max(0, start - 120) : start]
     before = window.split()
     if start > 120 and before and not window[0].isspace():
@@ -111,6 +111,8 @@ def patterns(text: str, start: int, end: int) -> list[str]:
         made.append(f"1 {left[-1]} {right}")
         if left[-1][-1] in ":=#":
             made.append(f"0 {left[-1]}")
+    elif not text[:start].strip():
+        made.append(f"^ {right}")
     return made
 
 
@@ -153,7 +155,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 own += [(a, b, None, core.lower(), patterns(body, a, b)) for a, b, core in candidates(body, found)]
                 content.append(xxhash.xxh64_intdigest(body.encode()) - (1 << 63))
                 base.append([dict(zip(("start", "kind_no", "end"), s)) for s in found])
-                slots.append([dict(zip(("start", "end", "kind_no", "instance", "patterns"), s)) for s in own if s[4]])
+                slots.append([dict(zip(("start", "end", "kind_no", "instance", "patterns"), s)) for s in own])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(content, pa.int64()), pa.array(base, span), pa.array(slots, slot)], names=["key", "content", "base", "slots"]
             )
