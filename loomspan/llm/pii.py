@@ -21,6 +21,7 @@ do not matter. Added spans never overlap a base span.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pyarrow as pa
@@ -30,7 +31,6 @@ from pyspark.sql import DataFrame, functions as F
 from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 2
 MIN_SUPPORT = 3.0
 MIN_PATTERN = 0.5
 MIN_INSTANCE = 0.6
@@ -42,7 +42,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-DIGIT = re.compile(r"[0-9]{3,}|@")
+DIGIT = re.compile(r"[0-9@]")
 TOKEN_END = re.compile(r"\s|$")
 
 SPAN = "struct<start:long,kind_no:int,end:long>"
@@ -117,18 +117,16 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]):
-    """Identifier-like tokens outside the taken spans: five digits or more, or an @."""
+    """Identifier-like tokens outside the taken spans, of five characters or more: five digits or more, or an @."""
     done = 0
-    for m in DIGIT.finditer(text):
-        if m.start() < done:
-            continue
+    while m := DIGIT.search(text, done):
         start = m.start()
         while start > done and not text[start - 1].isspace():
             start -= 1
         done = TOKEN_END.search(text, m.end()).start()
         raw = text[start:done]
         core = raw.strip("\"'`.,;:!?()[]{}<>|*#$%&=")
-        if not 5 <= len(core) <= 32 or (len(_digits(core)) < 5 and "@" not in core):
+        if len(core) < 5 or (len(_digits(core)) < 5 and "@" not in core):
             continue
         a = start + raw.index(core)
         b = a + len(core)
@@ -163,16 +161,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return map_batches(rows, run, f"key {kind}, content long, base array<{SPAN}>, slots array<{SLOT}>", BATCH_ROWS)
 
 
-def discover(slots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(instance, kind_no, score) of instances that no exact matcher knows."""
+def discover(slots: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(instance, kind_no, score) of instances that no exact matcher knows, after ``rounds`` or the first round without new ones."""
     edges = cut(
         slots.select("instance", "kind_no", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.min("kind_no").alias("kind_no"))
     )
     totals = edges.groupBy("pattern").agg(F.count("*").alias("total"))
     seeds = edges.filter(F.col("kind_no").isNotNull()).select("instance", "kind_no", F.lit(1.0).alias("score")).distinct()
     unseen = edges.filter(F.col("kind_no").isNull()).join(seeds.select("instance"), "instance", "left_anti").select("pattern", "instance")
-    found = None
-    for _ in range(rounds):
+    found, n = None, 0
+    for _ in itertools.count() if rounds is None else range(rounds):
         known = seeds if found is None else seeds.union(found)
         support = edges.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind_no").agg(F.sum("score").alias("support"))
         trust = support.join(totals, "pattern").withColumn("trust", F.col("support") / F.col("total") * (1 - 1 / (1 + F.col("support"))))
@@ -182,10 +180,13 @@ def discover(slots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         best = scored.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind_no")).alias("k"))).alias("b"))
         best = best.select("instance", (-F.col("b.k")).alias("kind_no"), F.col("b.score").alias("score"))
         found = cut(best.filter(F.col("score") >= MIN_INSTANCE))
+        before, n = n, found.count()
+        if n <= before:
+            break
     return found
 
 
-def added_spans(marked: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def added_spans(marked: DataFrame, rounds: int | None = None) -> DataFrame:
     """(key, content, added): spans of discovered instances, per text."""
     slots = marked.select("key", "content", F.explode("slots").alias("s")).select("key", "content", "s.*")
     found = discover(slots, rounds).select("instance", F.col("kind_no").alias("new_kind"))

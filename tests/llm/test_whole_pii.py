@@ -23,3 +23,22 @@ def test_start_of_text_is_a_context(spark):
     texts = [f"+1 555 000 {2000 + i} rang" for i in range(8)] + ["555001002 rang"]
     rows = {r.key: r.added for r in pii.find(table(spark, texts)).collect()}
     assert [(s.start, s.kind_no, s.end) for s in rows[8]] == [(0, 3, 9)]
+
+
+def test_candidates_by_digit_count():
+    long = "k" * 40 + "12345"
+    text = f"a 06.12.34.56.78 b 12-34-56 c {long} d 12 e 2019"
+    assert [core for _, _, core in pii.candidates(text, [])] == ["06.12.34.56.78", "12-34-56", long]
+
+
+def test_third_step_is_found(spark):
+    """Each step's instances are the seeds of the next context, four steps far."""
+    texts = [f"call the number: +1 555 000 {1000 + i} now" for i in range(60)]
+    steps = ["call the number: {} now", "dial my line: {} today", "reach the desk: {} soon", "ring our booth: {} later"]
+    for k, (this, following) in enumerate(zip(steps, steps[1:])):
+        for i in range((24, 12, 6)[k]):
+            texts += [this.format(f"5550{k}{1000 + i}"), following.format(f"5550{k}{1000 + i}")]
+    last = len(texts)
+    texts.append(steps[-1].format("777001009"))
+    rows = {r.key: r.added for r in pii.find(table(spark, texts)).collect()}
+    assert len(rows[last]) == 1
