@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -51,6 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    root = shared_dir(spark)
+    if not re.match(r"\w+:", root):
+        root = f"file://{root}"
+    return f"{root}/loomspan-{kind}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     spark = df.sparkSession
@@ -70,5 +79,13 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.split(bare, WORD_GAP)).otherwise(F.array().cast("array<string>"))
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array of longs up to each place, in log2(n) passes over it."""
+    last = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int") - 1
+    back = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    add = lambda sums, k: F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - back(k)), F.lit(0).cast("long")))
+    return F.aggregate(F.sequence(F.lit(0), last), values, add)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))

@@ -16,11 +16,13 @@ path and the text do not matter.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomspan.llm.common import cut, documents
+from loomspan.llm.common import documents, fresh_folder, running_sums
 
 
 @dataclass(frozen=True)
@@ -58,29 +60,21 @@ def rule_version(rules=RULES) -> str:
 SPAN = "array<struct<start:long,kind_no:int,end:long>>"
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, as a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(text: Column, rule: SecretRule, number: int) -> Column:
-    """Spans of a rule: gaps between matches and the matches add up to offsets."""
-    parts = F.struct(
-        F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x).cast("long")).alias("gaps"),
-        F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda x: F.length(x).cast("long")).alias("sizes"),
-        F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length).alias("tests"),
-    )
-    rows = F.element_at(
-        F.transform(F.array(parts), lambda p: F.arrays_zip(p["gaps"].alias("gaps"), p["sizes"].alias("sizes"), p["tests"].alias("tests"))), 1
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("found"))
-
-    def step(state, row):
-        begin = state["at"] + row["gaps"]
-        end = begin + row["sizes"]
-        span = F.struct(begin.alias("start"), F.lit(number).alias("kind_no"), end.alias("end"))
-        good = F.coalesce(row["tests"] >= rule.least, F.lit(False))
-        return F.struct(
-            F.coalesce(end, begin).alias("at"),
-            F.when(good, F.array_append(state["found"], span)).otherwise(state["found"]).cast(SPAN).alias("found"),
-        )
-
-    found = F.aggregate(rows, start, step)["found"]
+    """Spans of a rule: the gaps before the matches and the matches add up to their ends."""
+    lengths = lambda parts: F.transform(parts, lambda x: F.length(x).cast("long"))
+    sizes = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)))
+    tests = lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)))
+    parts = F.struct(lengths(F.split(text, rule.pattern, -1)).alias("gaps"), sizes.alias("sizes"), tests.alias("tests"))
+    ends = lambda p: running_sums(F.transform(p["sizes"], lambda size, i: F.get(p["gaps"], i) + size))
+    rows = _once(parts, lambda p: F.arrays_zip(ends(p).alias("end"), p["sizes"].alias("size"), p["tests"].alias("test")))
+    span = lambda r: F.struct((r["end"] - r["size"]).alias("start"), F.lit(number).alias("kind_no"), r["end"].alias("end"))
+    found = F.transform(F.filter(rows, lambda r: r["test"] >= rule.least), span).cast(SPAN)
     return F.when(text.rlike(rule.hint), found).otherwise(F.array().cast(SPAN))
 
 
@@ -91,8 +85,40 @@ def scan(blobs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     return blobs.withColumn("spans", F.array_sort(every))
 
 
+LEDGER = f"blob string, rule_version string, spans {SPAN}"
+
+
 def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], f"blob string, rule_version string, spans {SPAN}")
+    return spark.createDataFrame([], LEDGER)
+
+
+class Ledger:
+    """A ledger stored in ``folder``, one subfolder per append.
+
+    An append is written whole under a name of its own before it counts, so a
+    run that dies adds nothing and may be repeated; a pair that two runs scan
+    at once is stored twice and read once.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def rows(self) -> DataFrame:
+        """All entries, one per (blob, rule version)."""
+        try:
+            found = self.spark.read.schema(f"{LEDGER}, run string").option("basePath", self.folder).parquet(f"{self.folder}/run=*")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return empty_ledger(self.spark)
+        return found.drop("run")
+
+    def append(self, entries: DataFrame) -> None:
+        entries.write.parquet(f"{self.folder}/run={uuid.uuid4().hex}")
+
+    def update(self, versions: DataFrame, rules=RULES) -> None:
+        """Scan the blobs of ``versions`` that this rule version lacks, and store them."""
+        self.append(new_entries(versions, self.rows(), rules))
 
 
 def address(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,7 +141,7 @@ def new_entries(versions: DataFrame, ledger: DataFrame, rules=RULES) -> DataFram
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
     """One row per version with its spans, from the ledger of this rule version."""
-    with_any = ledger.filter((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select("blob", "spans")
+    with_any = ledger.filter((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     return versions.select("path", "blob").join(with_any, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 
@@ -130,9 +156,11 @@ def digest(found: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op3_secret_ledger(spark, sf_dir: str) -> DataFrame:
+    """The table's findings by way of a stored ledger, new for this run."""
     versions = address(documents(spark, sf_dir))
-    ledger = cut(new_entries(versions, empty_ledger(spark)))
-    return digest(findings_by_path(versions, ledger))
+    ledger = Ledger(spark, fresh_folder(spark, "ledger"))
+    ledger.update(versions)
+    return digest(findings_by_path(versions, ledger.rows()))
 
 
 def _sql_spans(kind: str, number: int, pattern: str, group: int, least: int) -> str:
