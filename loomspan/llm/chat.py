@@ -8,12 +8,17 @@ are the assistant's texts and their end markers.
 Defined results: null sides count as no turns; null roles and texts render as
 empty; equal sides give two empty completions; a marker that stands inside a
 text is broken up, so a text can't open or close a turn. Extra columns stay.
+An empty table gives no rows; repeated rows are each formatted; turns that tie
+in their number are ordered by role and text; texts of any length and any
+number of turns take time in proportion, up to a logarithm.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomspan.llm.common import running_sums
+
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -36,18 +41,11 @@ def render(turns: Column) -> Column:
 
 def loss_spans(turns: Column, trained: str = "assistant") -> Column:
     """``start:end`` of the trained turns' bodies in the rendered turns."""
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
-
-    def step(state, t):
-        begin = state["at"] + F.length(_head(t))
-        end = begin + F.length(_body(t))
-        span = F.concat_ws(":", begin.cast("string"), end.cast("string"))
-        return F.struct(
-            end.cast("long").alias("at"),
-            F.when(F.coalesce(t["role"] == trained, F.lit(False)), F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
-        )
-
-    return F.aggregate(turns, first, step)["spans"]
+    body = F.transform(turns, lambda t: F.length(_body(t)).cast("long"))
+    ends = running_sums(F.transform(turns, lambda t: (F.length(_head(t)) + F.length(_body(t))).cast("long")))
+    trains = F.transform(turns, lambda t: F.coalesce(t["role"] == trained, F.lit(False)))
+    rows = F.filter(F.arrays_zip(body.alias("size"), ends.alias("end"), trains.alias("trains")), lambda r: r["trains"])
+    return F.transform(rows, lambda r: F.concat_ws(":", (r["end"] - r["size"]).cast("string"), r["end"].cast("string")))
 
 
 def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected", trained: str = "assistant") -> DataFrame:
@@ -73,23 +71,24 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
 
 
 def stale_reply_pairs(turns: DataFrame) -> DataFrame:
-    """Pairs from single conversations, each up to its last assistant turn.
+    """Pairs from single conversations: the chosen side is the whole conversation.
 
-    The rejected side gives the first assistant reply again in place of the
-    last one. Without an assistant turn both sides are the whole conversation.
+    On the rejected side every reply (assistant turn) after the first repeats
+    the first one; an only reply is empty there. Turns are ordered by turn,
+    role and text. Without a reply both sides are equal.
     """
     row = F.struct("turn", "role", "text")
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    replies = F.filter("all", lambda t: t["role"] == "assistant")
-    whole = whole.withColumns({"_first": F.get(replies, F.lit(0)), "_last": F.get(F.reverse(replies), F.lit(0))})
-    upto = F.filter("all", lambda t: F.col("_last").isNull() | (t["turn"] <= F.col("_last")["turn"]) | t["turn"].isNull())
+    is_reply = lambda t: F.coalesce(t["role"] == "assistant", F.lit(False))
+    place = F.transform("all", lambda t, i: F.when(is_reply(t), i))
+    whole = whole.withColumn("_at", F.filter(place, lambda i: i.isNotNull()))
+    whole = whole.withColumn("_first", F.get("all", F.get("_at", F.lit(0)))["text"])
+    stale = F.when(F.size("_at") > 1, F.col("_first")).otherwise(F.lit(""))
     shown = lambda t, text: F.struct(t["role"].alias("role"), text.alias("text"))
-    whole = whole.withColumn("_upto", upto)
-    swap = lambda t: F.coalesce((t["turn"] == F.col("_last")["turn"]) & (t["role"] == "assistant"), F.lit(False))
     return whole.select(
         "conv_id",
-        F.transform("_upto", lambda t: shown(t, t["text"])).alias("chosen"),
-        F.transform("_upto", lambda t: shown(t, F.when(swap(t), F.col("_first")["text"]).otherwise(t["text"]))).alias("rejected"),
+        F.transform("all", lambda t: shown(t, t["text"])).alias("chosen"),
+        F.transform("all", lambda t: shown(t, F.when(is_reply(t), stale).otherwise(t["text"]))).alias("rejected"),
     )
 
 
@@ -108,22 +107,29 @@ def op8_preference_format(spark, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-WITH f AS (
-  SELECT conv_id, max(turn) FILTER (role = 'assistant') AS last_turn, arg_min_null(text, turn) FILTER (role = 'assistant') AS first_text
-  FROM conversations GROUP BY conv_id),
+WITH o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n,
+         coalesce(role = 'assistant', false) AS reply
+  FROM conversations),
+f AS (SELECT conv_id, count(*) FILTER (reply) AS replies, arg_min_null(text, n) FILTER (reply) AS first_text FROM o GROUP BY conv_id),
 u AS (
-  SELECT c.conv_id, turn, replace(coalesce(role, ''), '<|', '< |') AS r, replace(coalesce(text, ''), '<|', '< |') AS x,
-         CASE WHEN turn = last_turn AND role = 'assistant' THEN replace(coalesce(first_text, ''), '<|', '< |')
-              ELSE replace(coalesce(text, ''), '<|', '< |') END AS y,
-         coalesce(turn = last_turn AND role = 'assistant' AND first_text IS DISTINCT FROM text, false) AS rest
-  FROM conversations c JOIN f ON f.conv_id = c.conv_id WHERE last_turn IS NULL OR turn <= last_turn),
+  SELECT o.conv_id, n, reply, role, text, CASE WHEN NOT reply THEN text WHEN replies > 1 THEN first_text ELSE '' END AS other
+  FROM o JOIN f ON f.conv_id IS NOT DISTINCT FROM o.conv_id),
+d AS (SELECT conv_id, min(n) FILTER (other IS DISTINCT FROM text) AS cut FROM u GROUP BY conv_id),
 s AS (
-  SELECT *, length('<|' || r || '|>' || chr(10)) AS head FROM u)
+  SELECT u.conv_id, n, reply, coalesce(n >= cut, false) AS rest,
+         '<|' || replace(coalesce(role, ''), '<|', '< |') || '|>' || chr(10) AS head,
+         replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS x,
+         replace(coalesce(other, ''), '<|', '< |') || '<|end|>' || chr(10) AS y
+  FROM u JOIN d ON d.conv_id IS NOT DISTINCT FROM u.conv_id),
+e AS (
+  SELECT *, sum(length(head) + length(x)) OVER w AS x_end, sum(length(head) + length(y)) OVER w AS y_end
+  FROM s WINDOW w AS (PARTITION BY conv_id, rest ORDER BY n))
 SELECT conv_id, count(*) FILTER (NOT rest)::BIGINT AS n_prefix_turns,
-       coalesce(string_agg('<|' || r || '|>' || chr(10) || x || '<|end|>' || chr(10), '' ORDER BY turn) FILTER (NOT rest), '') AS prompt,
-       coalesce(string_agg('<|' || r || '|>' || chr(10) || x || '<|end|>' || chr(10), '' ORDER BY turn) FILTER (rest), '') AS chosen_completion,
-       coalesce(string_agg(head || ':' || (head + length(x) + 8), ',') FILTER (rest), '') AS chosen_spans,
-       coalesce(string_agg('<|' || r || '|>' || chr(10) || y || '<|end|>' || chr(10), '' ORDER BY turn) FILTER (rest), '') AS rejected_completion,
-       coalesce(string_agg(head || ':' || (head + length(y) + 8), ',') FILTER (rest), '') AS rejected_spans
-FROM s GROUP BY conv_id
+       coalesce(string_agg(head || x, '' ORDER BY n) FILTER (NOT rest), '') AS prompt,
+       coalesce(string_agg(head || x, '' ORDER BY n) FILTER (rest), '') AS chosen_completion,
+       coalesce(string_agg((x_end - length(x)) || ':' || x_end, ',' ORDER BY n) FILTER (rest AND reply), '') AS chosen_spans,
+       coalesce(string_agg(head || y, '' ORDER BY n) FILTER (rest), '') AS rejected_completion,
+       coalesce(string_agg((y_end - length(y)) || ':' || y_end, ',' ORDER BY n) FILTER (rest AND reply), '') AS rejected_spans
+FROM e GROUP BY conv_id
 """
