@@ -9,7 +9,8 @@ The law is ``rows``: shard counts are at most one apart. Only metadata moves:
 it is range-partitioned by (curve index, key), sorted, written to the shared
 checkpoint folder, and ranked by per-partition counts and their prefix sums.
 The key breaks curve ties, so a grid cell with a third of all rows is dealt
-over many partitions. Texts move only in ``write_shards``.
+over many partitions. Texts move only in ``write_shards``. Rows with equal
+texts are not kept together: counts that differ by one at most rule that out.
 
 Defined results: null values quantise to 0 and null keys sort first; a null
 text has size 16 and the checksum of no bytes; rows with equal keys are ordered
@@ -102,22 +103,32 @@ def assign(rows: DataFrame, cells: list[Column], ties: list[str], shards: int, b
     return out.drop("_id", "_part", "_at", "_base", "_rank")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """doc_id, size, text_crc32, curve, shard and slot of every document."""
+def shard_documents(docs: DataFrame, shards: int = 40, carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, curve, shard and slot of every document; with ``carry`` its whole row as ``_row``."""
     body = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(
-        "doc_id", "lang", "source", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")
+        "doc_id",
+        "lang",
+        "source",
+        (F.octet_length(body) + 16).cast("long").alias("size"),
+        F.crc32(body.cast("binary")).alias("text_crc32"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if carry else []),
     )
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     cells = [by_hash("lang"), by_hash("source"), by_log(F.col("size")), by_range("doc_id", low, high)]
     return assign(narrow, cells, ["doc_id", "size", "text_crc32"], shards)
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, folder: str, key: str = "doc_id") -> None:
-    """Write the documents as one Parquet folder per shard, in slot order."""
-    where = placed.select(F.col(key).alias("_key"), "shard", "slot")
-    joined = docs.drop("shard", "slot").join(where, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(folder)
+def write_shards(docs: DataFrame, folder: str, shards: int = 40) -> None:
+    """Write the documents as one Parquet folder per shard, in slot order.
+
+    Whole rows go along the curve, so no key has to find them again: repeated
+    and null keys stay as many rows as they were. Columns named shard or slot
+    give way to the new ones.
+    """
+    placed = shard_documents(docs, shards, carry=True)
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    placed.select("shard", "slot", *kept).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(folder)
 
 
 def op7_hilbert_shards(spark, sf_dir: str) -> DataFrame:
