@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomspan.llm.common import documents, map_batches, shared_dir
+from loomspan.llm.common import documents, fresh_folder, map_batches
 
 CACHED_CHUNKS = 1_200_000
 
@@ -40,6 +40,10 @@ CACHED_CHUNKS = 1_200_000
 MARK = re.compile(rb"[.,;:!?&#*$%](?<=[a-z].)")
 
 
+# Fixed value: the word pattern of the tokenizer for which chunks are known to be safe.
+CLIP_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 @dataclass(frozen=True)
 class Layout:
     dtype: str
@@ -58,14 +62,26 @@ def _put(store, path: str, data: bytes) -> None:
     store.move(partial, path)
 
 
+def splits_at_blanks(spec: dict) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and starts pre-tokens at marks, as ``ChunkCoder.chunks`` takes for granted."""
+    normal, before = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    kinds = [n.get("type") for n in normal.get("normalizers", [normal])]
+    pieces = before.get("pretokenizers", [before])
+    first = pieces[0]
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+    known = first.get("pattern", {}).get("Regex") == CLIP_WORDS
+    return "Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"} and drops and known
+
+
 class ChunkCoder:
     """Ids of texts, by way of a bounded cache of white-space-free chunks.
 
-    The tokenizer drops white space and no merge crosses it, so a text's ids
-    are its chunks' ids in order. Chunks that the cache lacks are encoded by
-    the library in one batch. The cache has two generations of half its bound:
-    when the young one is full it becomes the old one, and chunks that are met
-    again come back from there.
+    Where the tokenizer's own file says that it drops white space and no merge
+    crosses it, a text's ids are its chunks' ids in order. Chunks that the
+    cache lacks are encoded by the library in one batch. The cache has two
+    generations of half its bound: when the young one is full it becomes the
+    old one, and chunks that are met again come back from there. Texts of any
+    other tokenizer are encoded whole.
     """
 
     def __init__(self, spec: str, dtype: str):
@@ -76,6 +92,7 @@ class ChunkCoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.code, self.known, self.old = np.dtype(dtype).char, {}, {}
+        self.chunked = splits_at_blanks(json.loads(spec))
 
     @staticmethod
     def chunks(text: str | None) -> list[bytes]:
@@ -89,7 +106,13 @@ class ChunkCoder:
         raw = text.encode()
         return raw.split() if b"<|" in raw else MARK.sub(rb" \g<0>", raw.lower()).split()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def coded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.chunked:
+            return self.coded([t or "" for t in texts])
         if len(self.known) > CACHED_CHUNKS // 2:
             self.old, self.known = self.known, {}
         known, old, made = self.known, self.old, []
@@ -104,8 +127,7 @@ class ChunkCoder:
         fresh = [c for c, i in missing.items() if i is None]
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-            missing.update((c, array(self.code, e.ids).tobytes()) for c, e in zip(some, coded))
+            missing.update(zip(some, self.coded([c.decode() for c in some])))
         known.update(missing)
         return [b"".join([missing[c] if i is None else i for c, i in zip(chunks, ids)] if None in ids else ids) for chunks, ids in made]
 
@@ -229,13 +251,6 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def fresh_folder(spark: SparkSession, kind: str) -> str:
-    root = shared_dir(spark)
-    if not re.match(r"\w+:", root):
-        root = f"file://{root}"
-    return f"{root}/loomspan-{kind}-{uuid.uuid4().hex}"
-
-
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "tokens")
     write(documents(spark, sf_dir), folder, word_bpe_path(), end_id=2)
