@@ -3,33 +3,34 @@
 Two fingerprints within r bits are found inside shards that provably (blocks)
 or almost surely (MinHash keys) hold every such pair together:
 
-* ``link_blocks``: 64 bits in four blocks of 16. Two fingerprints at most two
-  bits apart agree on two of the four, so each of the six pairs of blocks is a
-  shard key. Shards above ``HOT`` members split again by three blocks of the
-  other 32 bits and three of what then remains; a shard so split fixes 50 bits
-  and has at most 2**15 members, since fingerprints are distinct.
+* ``link_blocks``: 64 bits in three blocks. Two fingerprints at most two bits
+  apart agree on one of them, so the buckets of each block's values are shards,
+  as many as give ``SHARD`` members on average. Shards above ``HOT`` members
+  are dealt again by their block's whole value and three times a third of the
+  bits that are left (of three parts two differing bits leave one alone), which
+  leaves 13 bits open, so 2**13 members at most.
 * ``near_groups``: a Jaccard similarity of 0.8 over five-word shingles is 15 %
   of the bits, too many for blocks, so shards are keyed by MinHash values (six,
-  one of which such a pair shares with probability 0.9999), hot shards by pairs
-  of them and salted. Candidates are verified on the shingle sets in the
-  shard's task, and only verified links join points there.
+  one of which such a pair shares with probability 0.9999). Hot shards are
+  dealt by six further, independent values, which a pair misses as rarely, and
+  salted; all pairs across salts meet later. Candidates are verified on the
+  shingle sets in the shard's task, and only verified links join points there.
 
 A shard's BK-tree keys children by their integer Hamming distance to the
 parent and a search follows only edges within the radius. The tree is built in
-the task that holds the shard; broadcasting trees of all fingerprints has no
-size bound, so trees stay with their shards. A shard gives spanning links, not
-pairs, so output is linear in its members.
+the task that holds the shard. Trees are not broadcast: together they hold the
+fingerprints of all documents, which have no size bound. A shard gives
+spanning links, not pairs, so output is linear in its members.
 
 Defined results: null and blank texts have the fingerprint zero, linked like
 any other; equal texts and repeated rows share a fingerprint and a component;
-null keys count as no row for a component's least key; an empty table gives no
-rows; extra columns do not matter.
+null keys count as no row for a component's least key; keys may be of any type
+that has an order; a key with several texts stands for each of them; an empty
+table gives no rows; extra columns do not matter.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,8 +40,9 @@ from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches, sized
 from loomspan.llm.graph import components
 
 SEED = 42
+#: Members of an average shard of blocks; members above which it is dealt again; points that a BK leaf holds.
+SHARD, HOT_BLOCK, LEAF = 2_000, 10_000, 8
 HOT = 2_000
-LEAF = 48
 FLUSH = 60_000
 
 
@@ -61,7 +63,7 @@ def shingle_digests(text: str | None, size: int, digest) -> bytes:
 
 
 class Majority:
-    """Bit counts of many documents' digests, in bounded batches."""
+    """Bit counts of many documents' digests, in bounded batches; least values of (digest word, multiplier) permutations."""
 
     def __init__(self, documents: int, width: int, multipliers=()):
         self.width, self.multipliers = width, multipliers
@@ -89,9 +91,9 @@ class Majority:
         np.add.at(self.totals, owners, sizes)
         np.add.at(self.counts, owners, np.add.reduceat(np.unpackbits(raw, axis=1), starts, axis=0, dtype=np.int64))
         if self.multipliers:
-            first = np.ascontiguousarray(raw[:, :8]).view(">u8").ravel().astype(np.uint64)
-            for k, m in enumerate(self.multipliers):
-                mixed = first * np.uint64(m)
+            words = np.ascontiguousarray(raw).view(">u8").astype(np.uint64)
+            for k, (word, m) in enumerate(self.multipliers):
+                mixed = words[:, word] * np.uint64(m)
                 np.minimum.at(self.least[:, k], owners, np.minimum.reduceat(mixed ^ (mixed >> np.uint64(32)), starts))
         self.parts, self.owners, self.held = [], [], 0
 
@@ -124,21 +126,24 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class BkTree:
-    """A BK-tree over rows of 64-bit words; small subtrees are scanned flat."""
+    """A BK-tree over rows of 64-bit words; a subtree of ``leaf`` points or fewer is a list.
+
+    ``compared`` counts the distances that searches computed.
+    """
 
-    def __init__(self, points: np.ndarray, members: np.ndarray | None = None):
-        self.points = points
+    def __init__(self, points: np.ndarray, members: np.ndarray | None = None, leaf: int = LEAF):
+        self.points, self.compared = points, 0
         self.members = np.arange(len(points)) if members is None else members
         self.children: dict[int, BkTree] = {}
-        if len(self.members) > LEAF:
+        if len(self.members) > leaf:
             far = hamming(points[self.members[1:]], points[self.members[0]])
             order = np.argsort(far, kind="stable")
             keys, first = np.unique(far[order], return_index=True)
+            if int(keys[-1]) == 0:  # all points are one
+                return
             groups = np.split(self.members[1:][order], first[1:])
+            self.children = {int(k): BkTree(points, g, leaf) for k, g in zip(keys, groups)}
             self.members = self.members[:1]
-            self.children = {int(k): BkTree(points, g) for k, g in zip(keys, groups)} if len(keys) > 1 or int(keys[0]) else {}
-            if not self.children:
-                self.members = np.concatenate([self.members, *groups])
 
     def search(self, queries: np.ndarray, radius: int, ids: np.ndarray | None = None):
         """Yield (query ids, member ids, distances) of all pairs within the radius."""
@@ -146,17 +151,24 @@ class BkTree:
         if not len(ids):
             return
         step = max(1, 2_000_000 // max(1, len(self.members)))
+        pivot = []
         for at in range(0, len(ids), step):
             some = ids[at : at + step]
             far = hamming(queries[some][:, None, :], self.points[self.members][None, :, :])
+            self.compared += far.size
             q, m = np.nonzero(far <= radius)
             if len(q):
                 yield some[q], self.members[m], far[q, m]
+            if self.children:
+                pivot.append(far[:, 0])
         if self.children:
-            pivot = hamming(queries[ids], self.points[self.members[0]])
+            pivot = np.concatenate(pivot)
             for key, child in self.children.items():
                 yield from child.search(queries, radius, ids[np.abs(pivot - key) <= radius])
 
+    def comparisons(self) -> int:
+        return self.compared + sum(child.comparisons() for child in self.children.values())
+
 
 def _root(parent: list[int], i: int) -> int:
     while parent[i] != i:
@@ -167,11 +179,15 @@ def _root(parent: list[int], i: int) -> int:
 def spanning_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect whatever links within the radius connect: at most one less than the points."""
     parent, links = list(range(len(points))), []
+    labels = np.arange(len(points))
     for a, b, _ in BkTree(points).search(points, radius):
-        for x, y in zip(a.tolist(), b.tolist()):
-            if x < y and (p := _root(parent, x)) != (q := _root(parent, y)):
+        new = (a < b) & (labels[a] != labels[b])
+        for x, y in zip(a[new].tolist(), b[new].tolist()):
+            if (p := _root(parent, x)) != (q := _root(parent, y)):
                 parent[max(p, q)] = min(p, q)
                 links.append((x, y))
+        if new.sum() > len(points) // 8:
+            labels = np.array([_root(parent, i) for i in range(len(points))])
     return links
 
 
@@ -201,11 +217,8 @@ def _bits(value, at: int, width: int):
     return F.shiftrightunsigned(value, at).bitwiseAND((1 << width) - 1)
 
 
-def _block_keys(fp):
-    """Shard keys, and the positions of the bits that each leaves open."""
-    for k, (i, j) in enumerate(combinations(range(4), 2)):
-        open_bits = [b for n in range(4) if n not in (i, j) for b in range(16 * n, 16 * n + 16)]
-        yield F.xxhash64(F.lit(k), _bits(fp, 16 * i, 16), _bits(fp, 16 * j, 16)), open_bits
+#: Three blocks of a fingerprint: first bit and width.
+BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 
 def _spread(fp, bits: list[int]):
@@ -213,27 +226,34 @@ def _spread(fp, bits: list[int]):
     return fp.bitwiseAND(mask - (1 << 64) if mask >> 63 else mask)
 
 
-def _finer_keys(fp, open_bits: list[int]):
+def _finer_keys(fp, fixed: list, left: list[int], depth: int = 3):
+    """Keys of a whole block with a third of the bits left, and of these again, ``depth`` times."""
+    if not depth:
+        yield F.xxhash64(*fixed)
+        return
     for part in range(3):
-        fixed = open_bits[part::3]
-        rest = [b for b in open_bits if b not in fixed]
-        for second in range(3):
-            yield F.xxhash64(F.lit(3 * part + second), _spread(fp, fixed), _spread(fp, rest[second::3]))
+        third = left[part::3]
+        yield from _finer_keys(fp, [*fixed, F.lit(part), _spread(fp, third)], [b for b in left if b not in third], depth - 1)
 
 
-def link_blocks(distinct: DataFrame, radius: int = 2, hot: int = HOT) -> DataFrame:
-    """(a, b) links that connect all distinct fingerprints ``fp`` within the radius (two at most)."""
+def link_blocks(distinct: DataFrame, radius: int = 2, hot: int = HOT_BLOCK, shard: int = SHARD) -> DataFrame:
+    """(a, b) links that connect all distinct fingerprints ``fp`` (cut) within the radius (two at most)."""
     if radius > 2:
         raise ValueError("blocks hold pairs within two bits together; use near_groups")
-    fp, pairs = F.col("fp"), list(_block_keys(F.col("fp")))
-    keyed = distinct.select("fp", F.posexplode(F.array(*(k for k, _ in pairs))).alias("block", "key"))
-    # cut, so that the join below has its own exchanges and adaptive execution may split hot keys
-    large = cut(keyed.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("large")))
-    finer = F.array(*(F.array(*(F.xxhash64("key", k) for k in _finer_keys(fp, bits))) for _, bits in pairs))
-    keyed = keyed.join(large, "key", "left").select(
-        F.explode(F.when(F.col("large"), finer[F.col("block")]).otherwise(F.array("key"))).alias("key"), "fp"
-    )
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
+    fp, buckets = F.col("fp"), max(1, distinct.count() // shard)
+    coarse = F.array(*(F.struct(F.lit(k).alias("block"), F.pmod(F.xxhash64(_bits(fp, at, width)), F.lit(buckets)).alias("bucket")) for k, (at, width) in enumerate(BLOCKS)))
+    keyed = distinct.select("fp", F.explode(coarse).alias("c")).select("fp", "c.block", F.xxhash64("c.block", "c.bucket").alias("key"))
+    # cut, so that its count is at hand; a shard of SHARD members on average makes this table short
+    large = cut(keyed.groupBy("key").count().filter(F.col("count") > hot).select("key"))
+    dealt = keyed.select("key", "fp")
+    if not large.isEmpty():
+        few = sized(large, BROADCAST_KEYS)
+        finer = F.lit(None).cast("array<long>")
+        for k, (at, width) in enumerate(BLOCKS):
+            open_bits = [b for b in range(64) if not at <= b < at + width]
+            finer = F.when(F.col("block") == k, F.array(*_finer_keys(fp, [F.lit(k), _bits(fp, at, width)], open_bits))).otherwise(finer)
+        dealt = keyed.join(few, "key", "left_anti").select("key", "fp").union(keyed.join(few, "key", "left_semi").select(F.explode(finer).alias("key"), "fp"))
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "fp")
 
     def run(batches):
         for (points,) in by_shard(batches, 1):
@@ -267,9 +287,10 @@ def op6_simhash_groups(spark, sf_dir: str) -> DataFrame:
 
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 #: Bits of 128 within which a pair is verified: 0.8 gives 19 expected, so that few are missed.
-NEAR_RADIUS = 30
-#: Odd multipliers of the MinHash permutations (fixed values; any odd numbers serve).
-PERMUTATIONS = (
+NEAR_RADIUS = 34
+#: Odd multipliers of the MinHash permutations (fixed values; any odd numbers serve), on the first word of
+#: the digest for the shards and on the second for what hot shards are dealt by.
+MULTIPLIERS = (
     0x9E3779B97F4A7C15,
     0xBF58476D1CE4E5B9,
     0x94D049BB133111EB,
@@ -277,8 +298,9 @@ PERMUTATIONS = (
     0xA0761D6478BD642F,
     0xE7037ED1A0B428DB,
 )
-#: Points that search a shard's tree at once.
-BLOCK = 256
+PERMUTATIONS = [(word, m) for word in range(2) for m in MULTIPLIERS]
+#: Points that search a shard's tree at once; points of a leaf there, where the radius leaves little to prune.
+BLOCK, NEAR_LEAF = 256, 64
 #: Keys up to which a list of documents is broadcast to where the texts are.
 BROADCAST_KEYS = 500_000
 SALTS = 32
@@ -286,7 +308,7 @@ SALTS = 32
 
 def _candidates(points: np.ndarray, radius: int):
     """Blocks of pairs (later, earlier, bits) within the radius; a block has all pairs of its later points."""
-    tree = BkTree(points)
+    tree = BkTree(points, leaf=NEAR_LEAF)
     for at in range(0, len(points), BLOCK):
         found = [(q[e], m[e], far[e]) for q, m, far in tree.search(points, radius, np.arange(at, min(len(points), at + BLOCK))) if (e := m < q).any()]
         if found:
@@ -372,8 +394,12 @@ def distinct(digests: bytes) -> bytes:
     return np.unique(np.frombuffer(digests, "V16")).tobytes()
 
 
+def content_of(text: str | None) -> str:
+    return xxhash.xxh3_128_hexdigest(b" ".join((text or "").encode().lower().split()))
+
+
 def signatures(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
-    """key, content (hash of the words), 128-bit fingerprint of the distinct shingles (a, b) and MinHash values."""
+    """key, content (hash of the words), 128-bit fingerprint of the distinct shingles (a, b) and two lists of MinHash values."""
     kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches):
@@ -383,29 +409,32 @@ def signatures(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
             for i, value in enumerate(batch.column(1)):
                 text = value.as_py() or ""
                 bits.add(i, distinct(shingle_digests(text, size, xxhash.xxh3_128_digest)))
-                content.append(xxhash.xxh3_128_hexdigest(b" ".join(text.encode().lower().split())))
+                content.append(content_of(text))
             prints = bits.fingerprints().view(">i8").astype(np.int64)
             least = np.where(bits.totals[:, None] > 0, bits.least, 0).astype(np.uint64).view(np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(least.ravel()), len(PERMUTATIONS)).cast(pa.list_(pa.int64()))
+            n = len(MULTIPLIERS)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(part.ravel()), n).cast(pa.list_(pa.int64())) for part in (least[:, :n], least[:, n:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(content, pa.string()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), lists],
-                names=["key", "content", "a", "b", "least"],
+                [batch.column(0), pa.array(content, pa.string()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), *lists],
+                names=["key", "content", "a", "b", "least", "finer"],
             )
 
-    return map_batches(docs, run, f"key {kind}, content string, a long, b long, least array<long>", BATCH_ROWS)
+    return map_batches(docs, run, f"key {kind}, content string, a long, b long, least array<long>, finer array<long>", BATCH_ROWS)
 
 
-def shingle_sets(keys: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """key, shingles (sorted distinct hashes, packed) of the texts with these distinct ``keys`` (cut)."""
-    texts = docs.join(sized(keys, BROADCAST_KEYS), "key").select("key", "text")
-    kind = docs.schema["key"].dataType.simpleString()
+def shingle_sets(ids: DataFrame, owners: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id, shingles (sorted distinct hashes, packed) of the contents with these distinct ``ids`` (cut)."""
+    named = ids.join(owners.select("id", "content", F.col("owner").alias("key")), "id")
+    texts = docs.join(sized(cut(named), BROADCAST_KEYS), "key").select("id", "content", "text")
 
     def sets(batches):
         for batch in batches:
-            found = [np.unique(np.frombuffer(shingle_digests(v.as_py(), size, xxhash.xxh64_digest), "<i8")).tobytes() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "shingles"])
+            texts = batch.column(2).to_pylist()
+            own = [i for i, (c, t) in enumerate(zip(batch.column(1).to_pylist(), texts)) if content_of(t) == c]
+            found = [np.unique(np.frombuffer(shingle_digests(texts[i], size, xxhash.xxh64_digest), "<i8")).tobytes() for i in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(found, pa.binary())], names=["id", "shingles"])
 
-    return cut(map_batches(texts, sets, f"key {kind}, shingles binary", BATCH_ROWS).dropDuplicates(["key"]))
+    return cut(map_batches(texts, sets, "id long, shingles binary", BATCH_ROWS).dropDuplicates(["id"]))
 
 
 def _across_salts(dealt: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
@@ -426,50 +455,53 @@ def _across_salts(dealt: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, hot: int = HOT) -> DataFrame:
     """(key, component) of all rows: the least key of texts linked by the similarity or equal words.
 
-    Equal word sequences are one content under their least key. Contents meet
-    in shards of equal MinHash values, hot shards in pairs of them; a shard's
-    BK-tree gives candidates within the radius. Rows that have one meet again
-    with their shingle sets, and verified pairs link.
+    Equal word sequences are one content under a number of its own. Contents
+    meet in shards of equal MinHash values, those of hot shards in finer ones;
+    a shard's BK-tree gives candidates within the radius. Contents that have
+    one meet again with their shingle sets, and verified pairs link.
     """
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("key").isNotNull())
     marked = cut(signatures(texts, size))
-    owners = cut(marked.groupBy("content").agg(F.min("key").alias("owner")))
-    chosen = marked.join(owners, "content").filter("key = owner").dropDuplicates(["key"])
-    keyed = cut(
-        chosen.select("key", "a", "b", "least", F.posexplode("least").alias("n", "value")).select(
-            "key", "a", "b", "n", "least", F.xxhash64("n", "value").alias("shard")
-        )
-    )
-    # cut, so that the join below has its own exchanges and adaptive execution may split hot shards
-    large = cut(keyed.groupBy("shard").count().filter(F.col("count") > hot).select("shard", F.lit(True).alias("large")))
-    others = F.transform(
-        F.filter(F.transform("least", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda s: s["i"] != F.col("n")),
-        lambda s: F.xxhash64("shard", s["i"], s["v"]),
-    )
-    marked_large = keyed.join(large, "shard", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    # a hot shard's finer shards may be hot again (near-copies of one text), so they are salted
-    salt = F.when(F.col("large"), F.pmod(F.xxhash64("key", "shard"), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long"))
-    dealt = marked_large.select(
-        F.explode(F.when(F.col("large"), others).otherwise(F.array("shard"))).alias("shard"), salt.alias("salt"), "n", "key", "a", "b", "least", "large"
+    owners = cut(marked.groupBy("content").agg(F.min("key").alias("owner")).withColumn("id", F.monotonically_increasing_id()))
+    one = marked.join(owners, "content").filter("key = owner").dropDuplicates(["id"])
+    chosen = cut(one.select(F.col("id").alias("key"), "a", "b", "least", "finer"))
+    keyed = chosen.select("key", "a", "b", "least", F.posexplode("least").alias("n", "value")).select(
+        "key", "a", "b", "n", "least", F.xxhash64("n", "value").alias("shard")
     )
+    large = cut(keyed.groupBy("shard").count().filter(F.col("count") > hot).select("shard"))
+    several = not large.isEmpty()
+    cold, none = keyed, F.lit(0).cast("long")
+    if several:
+        few = sized(large, BROADCAST_KEYS)
+        cold = keyed.join(few, "shard", "left_anti")
+        finer = chosen.select(F.col("key").alias("_key"), "finer")
+        parts = keyed.join(few, "shard", "left_semi").join(finer, F.col("key") == F.col("_key"))
+        parts = parts.select("shard", "n", "key", "a", "b", "least", F.posexplode("finer").alias("m", "value"))
+        # finer shards may be hot again (near-copies of one text), so they are salted
+        salt = F.pmod(F.xxhash64("key", "shard"), F.lit(SALTS)) + 1
+        spread = parts.select(F.xxhash64("shard", "m", "value").alias("shard"), salt.alias("salt"), "n", "key", "a", "b", "least", F.lit(True).alias("large"))
+    dealt = cold.select("shard", none.alias("salt"), "n", "key", "a", "b", "least", F.lit(False).alias("large"))
 
     def linked(rows: DataFrame) -> DataFrame:
         """Verified links (x, y) between the components of each (shard, salt)."""
-        rows = rows.select(F.xxhash64("shard", "salt").alias("shard"), "n", F.col("key").cast("long").alias("key"), "a", "b", "least", "large", F.col("component").cast("long").alias("component"))
+        rows = rows.select(F.xxhash64("shard", "salt").alias("shard"), "n", "key", "a", "b", "least", "large", "component")
         sorted_rows = rows.repartition("shard").sortWithinPartitions("shard", "key")
         met = cut(map_batches(sorted_rows, lambda batches: _met(batches, radius), "shard long, key long, a long, b long, component long"))
-        held = shingle_sets(cut(met.select("key").distinct()), texts, size)
-        points = met.join(held, "key").select("shard", "key", "a", "b", "shingles", "component")
+        held = shingle_sets(cut(met.select(F.col("key").alias("id")).distinct()), owners, texts, size)
+        points = met.join(held, F.col("key") == F.col("id")).select("shard", "key", "a", "b", "shingles", "component")
         points = points.repartition("shard").sortWithinPartitions("shard", "key")
         return cut(map_batches(points, lambda batches: _shard_links(batches, radius, similarity), "x long, y long"))
 
-    links = linked(dealt.withColumn("component", F.col("key")))
+    first = dealt.union(spread) if several else dealt
+    links = linked(first.withColumn("component", F.col("key")))
     roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    if not large.isEmpty():
-        links = links.union(linked(_across_salts(dealt.filter("large"), roots, hot)))
+    if several:
+        links = links.union(linked(_across_salts(spread, roots, hot)))
         roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = owners.join(roots, F.col("owner") == F.col("node"), "left").select("content", F.coalesce("root", "owner").alias("component"))
-    return marked.join(named, "content").select("key", "component")
+    named = owners.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    named = cut(named.select("content", "owner", "root"))
+    least = named.groupBy("root").agg(F.min("owner").alias("component"))
+    return marked.select("key", "content").join(named.join(least, "root").select("content", "component"), "content").select("key", "component")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
