@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -126,6 +127,24 @@ def test_secret_spans(spark):
         assert [tuple(s) for s in row.spans] == brute_secrets(row.text)
 
 
+def test_stored_ledger(spark, tmp_path):
+    """A second version of the table scans its new blobs only; a new rule version scans all."""
+    ledger = secret_scan.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.rows().count() == 0
+    first = secret_scan.address(table(spark, ["token=abcdefgh", "token=abcdefgh", "clean", None]))
+    ledger.update(first)
+    assert ledger.rows().count() == 3
+    second = secret_scan.address(table(spark, ["token=abcdefgh", "secret=12345678", "clean", None]))
+    assert [r.blob for r in secret_scan.new_entries(second, ledger.rows()).collect()] == [hashlib.sha256(b"secret=12345678").hexdigest()]
+    ledger.update(second)
+    ledger.update(second)
+    assert ledger.rows().count() == 4
+    found = {r.path: len(r.spans) for r in secret_scan.findings_by_path(second, ledger.rows()).collect()}
+    assert found == {0: 1, 1: 1, 2: 0, 3: 0}
+    ledger.update(second, secret_scan.RULES[:1])
+    assert ledger.rows().count() == 8 and ledger.rows().select("rule_version").distinct().count() == 2
+
+
 def test_ledger_scans_only_unseen(spark):
     docs = table(spark, ["token=abcdefgh", "token=abcdefgh", "clean", None])
     versions = secret_scan.address(docs)
@@ -238,6 +257,30 @@ def test_bk_tree():
     assert found == {(i, j) for i in range(400) for j in range(400) if int(points[i, 0] ^ points[j, 0]).bit_count() <= 2}
 
 
+def test_bk_edges_are_followed():
+    """A shard of the usual size is a tree of several levels, and a search leaves most of it alone."""
+    points = np.random.default_rng(6).integers(0, 1 << 63, (simhash.SHARD, 1), dtype=np.uint64)
+    tree = simhash.BkTree(points)
+    assert any(child.children for child in tree.children.values())
+    list(tree.search(points, 2))
+    assert tree.comparisons() < simhash.SHARD**2 / 4
+
+
+def test_links_come_through_the_tree(spark, monkeypatch):
+    def broken(*_):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(simhash.BkTree, "search", broken)
+    with pytest.raises(AssertionError, match="searched"):
+        simhash.spanning_links(np.zeros((3, 1), np.uint64), 2)
+
+
+def test_string_keys(spark):
+    docs = spark.createDataFrame([("b", "x y z"), ("a", "x  Y z"), ("c", None), ("a", "other words here now")], "doc_id string, text string")
+    assert sorted(map(tuple, simhash.near_groups(docs).collect())) == [("a", "a"), ("a", "a"), ("b", "a"), ("c", "c")]
+    assert {(r.key, r.component) for r in simhash.simhash_components(docs).collect()} >= {("b", "a"), ("c", "c")}
+
+
 @pytest.mark.parametrize("hot", [2, 10_000])
 def test_near_groups(spark, hot):
     texts = near_texts(seed=8, n=80)
@@ -277,10 +320,45 @@ def test_shards(spark, folders, tmp_path):
     assert max(counts) - min(counts) <= 1
     assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s])) for s in range(4))
     keyed = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    hilbert.write_shards(keyed, hilbert.shard_documents(keyed, 4), f"file://{tmp_path}/out")
+    hilbert.write_shards(keyed, f"file://{tmp_path}/out", 4)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == keyed.count()
 
 
+def test_written_shards_keep_every_row(spark, tmp_path):
+    """Repeated and null keys, and columns with the result's names, stay as many rows as they were."""
+    rows = [(1, "a", "en", "s", 9), (1, "b", "en", "s", 9), (1, "a", "en", "s", 9), (None, "c", None, None, 9), (None, "c", None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot long")
+    hilbert.write_shards(docs, f"file://{tmp_path}/out", 3)
+    back = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((r[0] or 0, r[1]) for r in rows)
+    assert sorted((r.shard, r.slot) for r in back) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
+
+
+def test_shard_rows_are_recomputed(spark, folders):
+    """Size, checksum, shard and slot of every row, by Python."""
+    docs = spark.read.parquet(f"{folders[0]}/documents.parquet")
+    from loomspan.llm.queries import QUERIES
+
+    rows = QUERIES["op7_hilbert_shards"](spark, folders[0]).collect()
+    texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in rows), key=key) == sorted(((d, len(t) + 16, zlib.crc32(t)) for d, t in texts), key=key)
+    placed = hilbert.shard_documents(docs, 40).collect()
+    order = sorted(placed, key=lambda r: (r.curve, r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32))
+    n = len(order)
+    shard = [i * 40 // n for i in range(n)]
+    assert [(r.shard, r.slot) for r in order] == [(s, i - shard.index(s)) for i, s in enumerate(shard)]
+
+
+def test_shards_prune(spark):
+    """Rows of one language and size class lie in few shards of the curve, and in all shards of a hash."""
+    rows = [(i, "x" * (4 ** (i % 7)), f"l{i % 4}", f"s{i // 4 % 5}") for i in range(2800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    placed = {r.doc_id: r.shard for r in hilbert.shard_documents(docs, 40).collect()}
+    some = [i for i in range(2800) if i % 4 == 1 and i % 7 == 6]
+    assert len({placed[i] for i in some}) <= 20 and len({hash(str(i)) % 40 for i in some}) > 30
+
+
 # ---- chat ----
 
 
@@ -302,6 +380,32 @@ def test_preferences(spark):
     assert out[2].n_prefix_turns == 0 and out[3].chosen_completion == "<|user|>\n< |end|><|end|>\n"
 
 
+def test_stale_replies(spark):
+    """Completions of several turns, an only reply, no reply, against the query's own SQL in words."""
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "e"), (1, 5, "assistant", "b"), (1, 6, "user", "f")]
+    rows += [(2, 0, "user", "x"), (2, 1, "assistant", "y"), (3, 0, "user", "z")]
+    pairs = chat.stale_reply_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = {r.conv_id: r for r in chat.format_preferences(pairs).collect()}
+    assert [out[i].n_prefix_turns for i in (1, 2, 3)] == [3, 1, 1]
+    spans = lambda side, at: [side[a:b] for a, b in (map(int, x.split(":")) for x in at)]
+    assert spans(out[1].chosen_completion, out[1].chosen_spans) == ["d<|end|>\n", "b<|end|>\n"]
+    assert spans(out[1].rejected_completion, out[1].rejected_spans) == ["b<|end|>\n"] * 2
+    assert out[1].chosen_completion.endswith("<|user|>\nf<|end|>\n")
+    assert spans(out[2].rejected_completion, out[2].rejected_spans) == ["<|end|>\n"] and out[3].chosen_completion == ""
+
+
+def test_many_turns_and_matches(spark):
+    """Spans of very long rows take time about in proportion to them."""
+    turns = [("assistant", "x")] * 32_000
+    pairs = spark.createDataFrame([(turns, [])], "chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
+    began = time.perf_counter()
+    (row,) = chat.format_preferences(pairs).collect()
+    assert len(row.chosen_spans) == 32_000 and time.perf_counter() - began < 20
+    began = time.perf_counter()
+    (row,) = secret_scan.scan(table(spark, ["token=abcdefgh " * 32_000])).select("spans").collect()
+    assert len(row.spans) == 32_000 and row.spans[-1].end == 15 * 32_000 - 1 and time.perf_counter() - began < 20
+
+
 # ---- decontamination ----
 
 
@@ -309,7 +413,7 @@ def test_preferences(spark):
 def test_leaks(spark, most):
     rng = random.Random(4)
     words = [f"t{i}" for i in range(300)]
-    items = [" ".join(rng.choice(words) for _ in range(n)) for n in (3, 5, 8, 17, 40, 90)] + [None, ""]
+    items = [" ".join(rng.choice(words) for _ in range(n)) for n in (3, 4, 5, 8, 17, 40, 90)] + [None, ""]
     docs = [None, ""]
     for _ in range(40):
         body = [rng.choice(words) for _ in range(rng.randint(0, 200))]
@@ -321,17 +425,43 @@ def test_leaks(spark, most):
 
     def sets(text):
         w = re.findall(r"[a-z0-9]+", (text or "").lower())
-        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return {" ".join(w[i : i + k]) for k in range(1, 6) for i in range(len(w) - k + 1)}
+
+    def item_set(text):
+        w = re.findall(r"[a-z0-9]+", (text or "").lower())
+        return {x for x in sets(text) if len(x.split()) == min(5, len(w))}
 
-    want = {(d, i) for d, text in enumerate(docs) for i, item in enumerate(items) if sets(item) and len(sets(item) & sets(text)) >= 0.8 * len(sets(item))}
+    want = {(d, i) for d, text in enumerate(docs) for i, item in enumerate(items) if item_set(item) and len(item_set(item) & sets(text)) >= 0.8 * len(item_set(item))}
     items_df = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     found = {(r.doc, r.item) for r in decontam.leaks(table(spark, docs), items_df, broadcast_rows=most).collect()}
     assert found == want and len(want) > 10
 
 
+def test_size_partitions(spark):
+    """Items of unlike sizes are in partitions of their own, each with its own threshold."""
+    items = spark.createDataFrame([(0, "what is the capital"), (1, "a b c d e f"), (2, " ".join(f"w{i}" for i in range(100)))], "item_id long, text string")
+    held = {r.item: r for r in decontam.sketches(items).collect()}
+    assert [held[i].part for i in range(3)] == [-1, 1, 6] and [len(held[i].sketch) for i in range(3)] == [1, 1, 20]
+    docs = table(spark, ["so, What is the capital of it?", "what is the cost"])
+    assert [(r.doc, r.item, r.n_shared) for r in decontam.leaks(docs, items).collect()] == [(0, 0, 1)]
+
+
 # ---- token files ----
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    with open(path, encoding="utf-8") as file:
+        coder = token_files.ChunkCoder(file.read(), "<u4")
+    texts = ["The the, THE.  don't", None, " a\n\nb <|endoftext|> x"]
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(c, "<u4").tolist() for c in coder.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 

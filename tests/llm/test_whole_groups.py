@@ -106,3 +106,31 @@ def test_repeated_passages(spark):
         texts += [f"{head} {line}", f"{head} " + " ".join([line] * 8)]
     rows = sorted(simhash.near_groups(table(spark, texts)).collect())
     assert [r.component for r in rows] == brute(texts) == [i // 2 * 2 for i in range(len(texts))]
+
+
+def dense(seed, families=6, members=50, words=200):
+    """Texts around similarity 0.8: a member differs from an earlier one of its family in a few words."""
+    rng, made = random.Random(seed), []
+    for _ in range(families):
+        family = [[f"w{rng.randrange(4000)}" for _ in range(words)]]
+        while len(family) < members:
+            copy = list(rng.choice(family))
+            for at in rng.sample(range(words), rng.randint(2, 5)):
+                copy[at] = f"v{rng.randrange(10**6)}"
+            family.append(copy)
+        made += [" ".join(f) for f in family]
+    rng.shuffle(made)
+    return made
+
+
+@pytest.mark.parametrize("hot,block", [(2, 256), (2000, 256), (2000, 7)])
+def test_recall_of_dense_texts(spark, monkeypatch, hot, block):
+    """Of all pairs of 0.8 or more at least 99 % are together, whatever a hot shard is and however trees are searched."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    texts = dense(9)
+    sets = [shingles(t) for t in texts]
+    rows = sorted(simhash.near_groups(table(spark, texts), hot=hot).collect())
+    found = [r.component for r in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if like(sets[i], sets[j])]
+    kept = sum(found[i] == found[j] for i, j in links)
+    assert kept >= 0.99 * len(links) and found == brute(texts)
