@@ -9,7 +9,7 @@ stage at most.
 from __future__ import annotations
 
 from loomspan.llm import bpe, decontam, pii, quality, simhash
-from loomspan.llm.token_files import fresh_folder
+from loomspan.llm.common import fresh_folder
 
 STAGES = [
     ("quality_rules", quality.stage),
