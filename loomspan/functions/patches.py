@@ -260,20 +260,60 @@ def materialize(failures: DataFrame, record: str = "record") -> DataFrame:
     return failures.select(record).mapInPandas(run, PATCH)
 
 
-def relevant(patches_df: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Patches that concern an episode: an equi-join on the function and a residual test.
+def relevance() -> Column:
+    """Whether patch ``p`` concerns episode ``e`` of its target function.
 
-    Episodes have episode_id, gt_name, selected, pool (names) and params.
+    Episodes have gt_name, selected, pool (names) and params.
     """
-    p, e = patches_df.alias("p"), episodes.alias("e")
     router = (F.col("p.selected_function") == F.col("e.selected")) | F.array_contains("e.pool", F.col("p.selected_function"))
-    validator = F.arrays_overlap("e.params", "p.parameter_names")
-    test = F.when(F.col("p.component") == "router", router).otherwise(validator)
-    return p.join(e, (F.col("p.target_function") == F.col("e.gt_name")) & test).select("e.episode_id", "p.patch_id", "p.token_count")
+    return F.when(F.col("p.component") == "router", router).otherwise(F.arrays_overlap("e.params", "p.parameter_names"))
+
+
+def relevant(patches_df: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Pairs of an episode and a patch that concerns it: an equi-join on the function and a residual test."""
+    p, e = patches_df.alias("p"), episodes.alias("e")
+    return p.join(e, (F.col("p.target_function") == F.col("e.gt_name")) & relevance()).select("e.episode_id", "p.patch_id", "p.token_count")
+
+
+def relevant_counts(patches_df: DataFrame, episodes: DataFrame) -> DataFrame:
+    """(episode_id, n_relevant) without the pairs: patches and episodes of one shape are counted and met once."""
+    shape = ["target_function", "component", "selected_function", "parameter_names"]
+    kinds = patches_df.groupBy(*shape).agg(F.count("*").alias("n")).alias("p")
+    keys = ["gt_name", "selected", "pool", "params"]
+    forms = episodes.select(*keys).distinct()
+    met = forms.alias("e").join(kinds, (F.col("p.target_function") == F.col("e.gt_name")) & relevance()).groupBy(*(F.col(f"e.{k}") for k in keys)).agg(F.sum("n").alias("n_relevant"))
+    return episodes.select("episode_id", *keys).join(met, keys, "left").select("episode_id", F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"))
+
+
+def overlap_counts(rows: DataFrame, keys: list[str], values: str) -> DataFrame:
+    """Rows with ``n_met``: how many rows (itself included) of the same keys share a value of the set ``values`` (sorted).
+
+    Rows with equal sets are one class; classes meet on shared values, so the
+    pairs are those of distinct sets, not of rows.
+    """
+    kinds = rows.groupBy(*keys, values).agg(F.count("*").alias("n"))
+    each = kinds.select(*keys, values, "n", F.explode(values).alias("_v"))
+    other = each.select(*keys, F.col(values).alias("_other"), F.col("n").alias("_n"), "_v")
+    pairs = each.join(other, [*keys, "_v"]).select(*keys, values, "_other", "_n").distinct()
+    met = pairs.groupBy(*keys, values).agg(F.sum("_n").alias("n_met"))
+    return rows.join(met, [*keys, values], "left").withColumn("n_met", F.coalesce("n_met", F.lit(0)))
+
+
+# The prompt's wording.
+PROMPT_PARTS = ("Patches:\n", "\n\nQuery: ", "\nFunctions: ", "\nCall:")
+NO_PATCHES = "None."
 
 
 def prompt(patch_texts: Column, query: Column, functions: Column) -> Column:
     """Numbered patches, the query and the function documents."""
     numbered = F.array_join(F.transform(patch_texts, lambda t, i: F.concat(F.lit("[PATCH "), (i + 1).cast("string"), F.lit("] "), t)), "\n\n")
-    shown = F.when(F.size(patch_texts) > 0, numbered).otherwise(F.lit("None."))
-    return F.concat(F.lit("Patches:\n"), shown, F.lit("\n\nQuery: "), query, F.lit("\nFunctions: "), functions, F.lit("\nCall:"))
+    shown = F.when(F.size(patch_texts) > 0, numbered).otherwise(F.lit(NO_PATCHES))
+    a, b, c, d = map(F.lit, PROMPT_PARTS)
+    return F.concat(a, shown, b, query, c, functions, d)
+
+
+def prompt_text(failure: dict, texts: list[str]) -> str:
+    """The same prompt for a failure record."""
+    a, b, c, d = PROMPT_PARTS
+    shown = "\n\n".join(f"[PATCH {i}] {t}" for i, t in enumerate(texts, 1)) or NO_PATCHES
+    return f"{a}{shown}{b}{failure.get('query', '')}{c}{json.dumps(failure.get('function_pool', []), ensure_ascii=False)}{d}"

@@ -40,7 +40,8 @@ def forbidden_terms(*terms: Column) -> Column:
 
 def leaks_term(text: Column, terms: Column) -> Column:
     """Whether a term stands in the text as a whole word."""
-    return F.exists(terms, lambda w: F.lower(text).rlike(F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), w, F.lit(r"\E(?![A-Za-z0-9_])"))))
+    whole = lambda w: F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), w, F.lit(r"\E(?![A-Za-z0-9_])"))
+    return F.exists(terms, lambda w: F.rlike(F.lower(text), whole(F.lower(w))))
 
 
 def needs_format(text: Column) -> Column:
@@ -67,3 +68,9 @@ def repr_text(text: Column) -> Column:
 
 def fixed4(value: Column) -> Column:
     return F.coalesce(F.format_string("%.4f", value), F.lit("NA"))
+
+
+def stable_name(path: Column, tag: str = "_seed20260703") -> Column:
+    """A result's name: its file's name without the suffix and the seed's tag."""
+    name = F.regexp_extract(path, r"([^/]*)/*$", 1)
+    return F.replace(F.regexp_replace(name, r"(?<=[^.])\.[^.]+$", ""), F.lit(tag), F.lit(""))

@@ -45,13 +45,13 @@ def ordinal(df: DataFrame, key: str, name: str = "ord", buckets: int = 4096) ->
     return ranked(df, [F.floor((F.col(key) - F.lit(low or 0)) / width)], [F.col(key)], name).drop("total")
 
 
-def split_by_hash(df: DataFrame, key: str, seed: int = SPLIT_SEED, train: float = 0.5, validation: float = 0.25) -> DataFrame:
-    """Add ``part``: floor cuts of the hash order, the rest held out."""
+def split_by_hash(df: DataFrame, key: str, seed: int = SPLIT_SEED, train: float = 0.5, validation: float = 0.25, keep_rank: bool = False) -> DataFrame:
+    """Add ``part``: floor cuts of the hash order, the rest held out (and, on wish, the ``rank`` in it)."""
     out = hash_ranked(df, [seed, F.col(key)], key)
     first = F.floor(F.col("total") * train)
     second = first + F.floor(F.col("total") * validation)
     part = F.when(F.col("rank") <= first, "train").when(F.col("rank") <= second, "validation").otherwise("held_out")
-    return out.withColumn("part", part).drop("rank", "total")
+    return out.withColumn("part", part).drop("total", *([] if keep_rank else ["rank"]))
 
 
 def sample_by_hash(df: DataFrame, k: int, parts: list, tie: str) -> DataFrame:
@@ -97,7 +97,7 @@ def shard_items(df: DataFrame, key: str, shards: int) -> DataFrame:
     return ordinal(df, key).withColumn("shard", ((F.col("ord") - 1) % shards).cast("int")).drop("ord")
 
 
-def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def keep_first(df: DataFrame, keys: list[str], order) -> DataFrame:
     """One row per key, of the least ``order``; pre-aggregated, so no window sorts a hot key."""
     rest = [c for c in df.columns if c not in keys]
     least = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))

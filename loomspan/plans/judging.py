@@ -82,21 +82,26 @@ def first_concrete(t):
     return t.documents.select("doc_id", F.coalesce(first_filled(values), F.lit("")).alias("value"))
 
 
-CASES = ("correct", "arguments_wrong", "function_wrong", "arguments_partial")
+def _cases(t):
+    """Every event's call in the four cases, with the verifier's verdicts."""
 
+    def run(text):
+        truth = json.loads(text)
+        right, made = c.Call(c.accepted_call(truth).name, c.first_arguments(truth)), []
+        for name, change in c.CASES.items():
+            call = change(right)
+            router, validator, _ = c.verdict({"name": call.name, "arguments": call.arguments}, truth)
+            made.append({"case": name, "name": call.name, "arg": call.arguments.get("k"), "router": router, "validator": validator})
+        return json.dumps(made)
 
-def _cases(t):
-    k = arg_k()
-    made = lambda name, fn, arg: F.struct(F.lit(name).alias("case"), fn.alias("name"), arg.alias("arg"))
-    none = F.lit(-1)
-    arm = F.col("event_type")
-    four = F.array(made(CASES[0], arm, k), made(CASES[1], arm, k + 1), made(CASES[2], F.concat(arm, F.lit("__wrong")), k), made(CASES[3], arm, none))
-    return t.events.select("event_id", F.col("event_type").alias("want"), k.alias("want_arg"), F.inline(four))
+    truth = F.concat(F.lit('[{"'), F.col("event_type"), F.lit('": {"k": ['), arg_k().cast("string"), F.lit(', ""], "note": [""]}}]'))
+    schema = "array<struct<case:string,name:string,arg:int,router:boolean,validator:boolean>>"
+    return t.events.select("event_id", F.inline(F.from_json(c.text_udf(run, "string", None)(truth), schema)))
 
 
-CASES_SQL = """e AS (SELECT event_id, event_type AS want, (props->>'k')::INT AS want_arg FROM events),
-cases AS (SELECT event_id, want, want_arg, 'correct' AS "case", want AS name, want_arg AS arg FROM e UNION ALL SELECT event_id, want, want_arg, 'arguments_wrong', want, want_arg + 1 FROM e
-  UNION ALL SELECT event_id, want, want_arg, 'function_wrong', want || '__wrong', want_arg FROM e UNION ALL SELECT event_id, want, want_arg, 'arguments_partial', want, -1 FROM e)"""
+CASES_SQL = """e AS (SELECT event_id, event_type AS want, (props->>'k')::INT AS k FROM events),
+cases AS (SELECT event_id, want, 'correct' AS "case", want AS name, k AS arg, true AS fits FROM e UNION ALL SELECT event_id, want, 'function_correct_arguments_wrong', want, k + 1, false FROM e
+  UNION ALL SELECT event_id, want, 'function_wrong', want || '__wrong', k, true FROM e UNION ALL SELECT event_id, want, 'function_correct_arguments_partial', want, NULL, false FROM e)"""
 
 
 @query(f"WITH {CASES_SQL} SELECT event_id, \"case\", name, arg FROM cases")
@@ -105,10 +110,11 @@ def prediction_cases(t):
 
 
 @query(f"""
-WITH {CASES_SQL} SELECT "case", count(*) AS n, count(*) FILTER (name = want) AS router_true, count(*) FILTER (name <> want) AS router_false,
-  count(*) FILTER (arg = want_arg) AS validator_true, count(*) FILTER (arg <> want_arg) AS validator_false, min(event_id) AS example FROM cases GROUP BY "case" """)
+WITH {CASES_SQL}, v AS (SELECT *, name = want AS router, name = want AND fits AS validator FROM cases)
+SELECT "case", count(*) AS n, count(*) FILTER (router) AS router_true, count(*) FILTER (NOT router) AS router_false,
+  count(*) FILTER (validator) AS validator_true, count(*) FILTER (NOT validator) AS validator_false, min(event_id) AS example FROM v GROUP BY "case" """)
 def signal_matrix(t):
-    router, validator = F.col("name") == F.col("want"), F.col("arg") == F.col("want_arg")
+    router, validator = F.col("router"), F.col("validator")
     return _cases(t).groupBy("case").agg(
         F.count("*").alias("n"),
         F.count_if(router).alias("router_true"),
@@ -239,7 +245,7 @@ def canonical_call(t):
 
 
 @query("""
-SELECT event_id, event_type = 'click' AS router, (props->>'k')::INT < 50 AS validator, event_type = 'click' AND (props->>'k')::INT < 50 AS call FROM events""")
+SELECT event_id, event_type = 'click' AS router, event_type = 'click' AND (props->>'k')::INT < 50 AS validator, event_type = 'click' AND (props->>'k')::INT < 50 AS call FROM events""")
 def verify_call(t):
     truth = json.dumps([{"click": {"k": [*range(50), ""], "note": [""]}}])
     judge = c.text_udf(lambda s: json.dumps(dict(zip(("router", "validator", "call"), c.verdict(json.loads(s), json.loads(truth))))), "string", None)
@@ -269,24 +275,6 @@ def parseable_gt(t):
     return t.events.select("event_id", test(truth).alias("parseable"))
 
 
-UNITS = [("Please read this carefully now.", 6), ("Note.", 2), (".", 1)]
-
-
-@query("""
-WITH n AS (SELECT conv_id, count(*) AS tokens FROM conversations GROUP BY conv_id), b AS (SELECT conv_id, tokens, 76 AS low, 84 AS high FROM n),
-s AS (SELECT conv_id, CASE WHEN tokens < low THEN ceil((low - tokens) / 6.0)::BIGINT ELSE 0 END AS six, tokens, high FROM b)
-SELECT conv_id, CASE WHEN tokens + six * 6 <= high THEN tokens + six * 6 ELSE -1 END AS n_tokens FROM s""")
-def greedy_padding(t):
-    """Token count after padding towards 80 within 5 %; one unit of six tokens always fits here."""
-
-    def padded(text):
-        n = int(text)
-        return n + sum(dict(UNITS)[u] for u in c.pad_to(n, 80, UNITS))
-
-    rows = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n"))
-    return rows.select("conv_id", c.text_udf(padded, "long", None)(F.col("n").cast("string")).alias("n_tokens"))
-
-
 @query()
 def greedy_fold(t):
     """Candidates (days) folded in order per arm with a deterministic stub model."""
@@ -299,7 +287,7 @@ def greedy_fold(t):
 
 
 @query("""
-WITH e AS (SELECT event_id, event_type, (props->>'k')::INT AS k FROM events), r AS (SELECT *, k % 4 <> 0 AS router, k % 3 <> 0 AS validator FROM e)
+WITH e AS (SELECT event_id, event_type, (props->>'k')::INT AS k FROM events), r AS (SELECT *, k % 4 <> 0 AS router, k % 4 <> 0 AND k % 3 <> 0 AS validator FROM e)
 SELECT event_id, router, validator, router AND validator AS call_success, CASE WHEN NOT router THEN 'router_fail' WHEN NOT validator THEN 'validator_fail' ELSE 'none' END AS failure_class FROM r""")
 def collect_failures(t):
     """Generate (stub), judge and classify every record that is not recorded yet."""

@@ -49,27 +49,6 @@ def pivot_success_map(t):
     return arms.select("lang", F.col("success")["a"].alias("success_a"), F.col("success")["b"].alias("success_b"), "n")
 
 
-DAY = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06'"
-
-
-@query(f"""
-WITH e AS (SELECT user_id, event_type, (props->>'k')::INT AS k FROM events WHERE {DAY}),
-c AS (SELECT user_id, event_type, count(*) AS n FROM e GROUP BY user_id, event_type),
-a AS (SELECT user_id, first(event_type ORDER BY n DESC, event_type) AS arm FROM c GROUP BY user_id),
-u AS (SELECT a.user_id, a.arm, list_distinct(list(k)) AS ks FROM a JOIN e ON e.user_id = a.user_id GROUP BY a.user_id, a.arm)
-SELECT x.user_id, count(*) AS n_relevant FROM u x JOIN u y ON x.arm = y.arm AND x.user_id <> y.user_id AND len(list_intersect(x.ks, y.ks)) > 0 GROUP BY x.user_id""")
-def patch_relevance_join(t):
-    """Patches (users) relevant to an episode (user): equal target, overlapping parameters."""
-    day = t.events.filter(DAY).select("user_id", "event_type", arg_k().alias("k"))
-    counts = day.groupBy("user_id", "event_type").count()
-    arms = counts.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("count"), "event_type")).alias("arm"))
-    pairs = day.select("user_id", "k").distinct().join(arms, "user_id")
-    # equal arm and any equal k is an equi-join on (arm, k), then distinct pairs
-    other = pairs.select(F.col("user_id").alias("other"), "arm", "k")
-    met = pairs.join(other, ["arm", "k"]).filter("user_id <> other").select("user_id", "other").distinct()
-    return met.groupBy("user_id").agg(F.count("*").alias("n_relevant"))
-
-
 @query("""
 WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('20260630:' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM labels),
 b AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('20260631:' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM labels),
