@@ -2,37 +2,42 @@
 
 A repeat is a window of ``DEPTH`` words whose sequence also starts in a
 document with a smaller key. The suffixes of all documents form one tree; only
-its nodes of word depth ``DEPTH`` or more matter, so suffixes are cut there and
-the tree is worked on in groups by prefix:
-
-1. Anchors. Of each window's five-word prefixes of its suffixes the one with
-   the least hash is its anchor; equal windows have equal anchors. Only about a
-   fifth of all suffixes are anchors, and groups of one content are pruned: no
-   repeat lies below them.
-2. Groups. Suffixes (window starts) whose anchor is shared are dealt by their
-   own five-word prefix; below it a group is sorted by the path of all 13 words,
-   which visits its subtree depth first. A run of one path is a deep internal
-   node; its least document keeps the words, the others are covered.
-3. Heavy prefixes (in at least ``HEAVY_SHARE`` of a bounded sample) would make
-   large groups. They are known to be shared, so they skip step 1, and take the
-   full 13 words as prefix in step 2: a node's least document is a minimum that
-   tasks combine before the shuffle, and covered windows are looked up where
-   the text is, or joined if there are more nodes than may be broadcast.
-
-Neighbouring covered windows unite to maximal repeats. Paths are named by two
-64-bit hashes (of the prefix and of the whole path), so nodes are told apart by
-128 bits. Documents with equal word sequences are one content: the least key
-stands for it and the others are covered whole if they have a window at all.
+its nodes of word depth ``DEPTH`` matter, so suffixes are cut there and the
+tree is built in groups by prefix:
+
+1. Pruning. Of each window's five-word prefixes of its suffixes the one with
+   the least hash is its anchor; equal windows have equal anchors. Below an
+   anchor that one content alone has there is no repeat, so its windows go.
+2. Prefixes of variable length. Tasks count their frequent prefixes of 5, 8 and
+   11 words on the way. A prefix with more than ``group_rows`` suffixes, and
+   more than ``group_share`` of all, is lengthened, to the whole 13 words at
+   last, so that the group of suffixes below a prefix fits a task's memory.
+   What no task finds frequent has less than ``frequent`` suffixes a chunk.
+3. Combining. Each task first builds the tree of its own chunk of suffixes: of
+   a node only the suffixes of its least key leave the task, all others are
+   known to be covered. So a passage in a third of all documents gives a row a
+   chunk, not a row a document.
+4. Subtrees. Suffixes are dealt by prefix and sorted by the branches below it,
+   which visits a subtree depth first. ``Subtree`` lays its nodes out level by
+   level; a node at ``DEPTH`` with several keys is a repeat, and all its
+   suffixes but those of the least key are covered. Neighbouring covered
+   windows unite to maximal repeats.
+
+Nodes are told apart by 128 bits of hash (of the prefix and of all 13 words),
+not by the words. Documents with equal word sequences are one content: the
+least key stands for it and the others are covered whole if they have a window.
 
 Defined results: null, empty and blank texts have no words; rows with a null
 key neither cover nor are covered; repeated rows are equal, so neither covers
-the other; a key with several texts unites what is covered in them; an empty
-table gives no rows; extra columns do not matter.
+the other; a key with several texts has each of them judged against smaller
+keys; keys may be of any type that has an order; an empty table gives no rows;
+extra columns do not matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +47,23 @@ from pyspark.sql import DataFrame, functions as F
 from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches
 
 DEPTH, PREFIX = 13, 5
-#: Heavy windows a task holds to combine them; heavy nodes up to which they are broadcast, not joined.
-COMBINED_ROWS, BROADCAST_NODES = 300_000, 500_000
-SAMPLE_DOCS, HEAVY_SHARE, HEAVY_LEAST = 5_000, 0.01, 50
+#: Words of the longer prefixes.
+LONGER = (8, 11)
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What decides how work is dealt, never what is found."""
+
+    #: Words of a chunk that a task works on at once; rows of the subtrees it holds at once.
+    chunk_words: int = 1_000_000
+    tree_rows: int = 300_000
+    #: Suffixes, and share of all suffixes, above which a prefix is lengthened; the list of such prefixes has 1 / share entries a length at most.
+    group_rows: int = 100_000
+    group_share: float = 1e-5
+    #: Suffixes in a chunk from which a task reports a prefix.
+    frequent: int = 24
+
 
 # Odd multipliers of the rolling hashes (any odd numbers serve) and their inverses.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -57,7 +76,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the bases, grown as longer documents come."""
+    """Powers of the bases, grown as longer chunks come."""
 
     def __init__(self):
         self.up = [np.ones(1, np.uint64)] * 2
@@ -76,77 +95,167 @@ class Powers:
 POWERS = Powers()
 
 
-class Words:
-    """A document's words and the hashes of its prefixes of suffixes."""
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode().split() if text else []
 
-    def __init__(self, text: str | None):
-        self.words = text.encode().split() if text else []
-        self.n = len(self.words)
 
-    def joined(self, keep=None) -> bytes:
-        return b" ".join(self.words if keep is None else [w for w, k in zip(self.words, keep) if k])
+class Chunk:
+    """The suffixes of several documents, cut at ``DEPTH`` words, and hashes of their prefixes."""
 
-    def hashes(self):
-        """(prefix hash, path hash, anchor) of every window."""
-        POWERS.upto(self.n + 1)
-        word = np.frombuffer(b"".join([xxhash.xxh64_digest(w) for w in self.words]), "<u8")
+    def __init__(self):
+        self.parts, self.sizes, self.n = [], [], 0
 
-        def rolling(k: int, size: int) -> np.ndarray:
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * POWERS.up[k][: self.n], dtype=np.uint64)])
-            return mix((sums[size:] - sums[:-size]) * POWERS.down[k][: self.n - size + 1])
+    def add(self, words: list[bytes]) -> None:
+        self.parts.append(b"".join([xxhash.xxh64_digest(w) for w in words]))
+        self.sizes.append(len(words))
+        self.n += len(words)
 
-        five, path = rolling(0, PREFIX), rolling(1, DEPTH)
-        count, least, span = len(path), five, 1
-        width = DEPTH - PREFIX + 1
+    def close(self) -> "Chunk":
+        """Compute ``place`` (of every window in the chunk), ``doc`` and ``at`` (its document and word)."""
+        sizes = np.array(self.sizes, np.int64)
+        starts = np.cumsum(sizes) - sizes
+        POWERS.upto(self.n + 1)
+        word = np.frombuffer(b"".join(self.parts), "<u8")
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * POWERS.up[k][: self.n], dtype=np.uint64)]) for k in range(2)]
+        windows = np.maximum(sizes - (DEPTH - 1), 0)
+        self.doc = np.repeat(np.arange(len(sizes)), windows)
+        first = np.cumsum(windows) - windows
+        self.at = np.arange(len(self.doc)) - np.repeat(first, windows)
+        self.place = self.at + np.repeat(starts, windows)
+        self.first, self.windows = first, windows
+        return self
+
+    def prefix(self, size: int, k: int = 0, place: np.ndarray | None = None) -> np.ndarray:
+        """Hash of the first ``size`` words of the windows."""
+        place = self.place if place is None else place
+        return mix((self.sums[k][place + size] - self.sums[k][place]) * POWERS.down[k][place]).view(np.int64)
+
+    def anchors(self) -> np.ndarray:
+        """The least hash among the five-word sequences of each window."""
+        if not len(self.place):
+            return self.place
+        five = self.prefix(PREFIX, place=np.arange(self.n - PREFIX + 1)).view(np.uint64)
+        least, span, width = five, 1, DEPTH - PREFIX + 1
         while span * 2 <= width:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         if span < width:
             least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        return five[:count].view(np.int64), path.view(np.int64), least[:count].view(np.int64)
+        return least[self.place].view(np.int64)
+
+
+def chunks(batches, limits: Limits):
+    """(batches of a chunk, their texts' words, the closed chunk) of batches whose second column is the text."""
+    held, words, chunk = [], [], Chunk()
+    for batch in batches:
+        own = [words_of(v.as_py()) for v in batch.column(1)]
+        for w in own:
+            chunk.add(w)
+        held.append(batch)
+        words += own
+        if chunk.n >= limits.chunk_words:
+            yield pa.Table.from_batches(held).combine_chunks(), words, chunk.close()
+            held, words, chunk = [], [], Chunk()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), words, chunk.close()
 
 
 def _content(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def _anchors(docs: DataFrame, heavy) -> DataFrame:
-    """key, content, n_words, sha, anchors (distinct, not heavy) and has_heavy."""
+def _changes(*columns) -> np.ndarray:
+    """Where a sorted row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """``values`` as one list for each of ``n`` owners."""
+    order = np.argsort(owner, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order]))
+
+
+def _anchor_lists(chunk: Chunk, content: np.ndarray):
+    """(known, asked) anchors of each document: those that two contents of the chunk share, and those to be asked about.
+
+    Of a known anchor two contents ask, so that other chunks learn of it; of
+    any other each content asks once.
+    """
+    anchor, doc, n = chunk.anchors(), chunk.doc, len(content)
+    keep = _changes(anchor, doc) if len(doc) else np.empty(0, bool)
+    anchor, doc = anchor[keep], doc[keep]
+    rank = np.unique(content, return_inverse=True)[1][doc] if n else doc
+    order = np.lexsort((doc, rank, anchor))
+    anchor, doc, rank = anchor[order], doc[order], rank[order]
+    keep = _changes(anchor, doc) if len(doc) else keep[:0]
+    anchor, doc, rank = anchor[keep], doc[keep], rank[keep]
+    if not len(doc):
+        return _lists(doc, anchor, n), _lists(doc, anchor, n)
+    run, kind = _changes(anchor), _changes(anchor, rank)
+    group = np.cumsum(run) - 1
+    count = np.cumsum(kind)
+    ordinal = count - count[np.flatnonzero(run)][group]
+    shared = np.maximum.reduceat(ordinal, np.flatnonzero(run))[group] > 0
+    asks = kind & (ordinal < 2)
+    return _lists(doc[shared], anchor[shared], n), _lists(doc[asks], anchor[asks], n)
+
+
+def _frequent(chunk: Chunk, least: int):
+    """(length, prefix, count) of the chunk's frequent prefixes; longer ones only below frequent ones."""
+    place = chunk.place
+    for size in (PREFIX, *LONGER):
+        if len(place) < least:
+            return
+        own = chunk.prefix(size, place=place)
+        names, back, counts = np.unique(own, return_inverse=True, return_counts=True)
+        often = counts >= least
+        yield size, names[often], counts[often]
+        place = place[often[back]]
+
+
+SURVEYED = "content long, n_words long, sha string, known array<long>, asked array<long>, length int, prefix long, suffixes long"
+
+
+def survey(docs: DataFrame, limits: Limits) -> DataFrame:
+    """Two kinds of rows: documents (key, content, n_words, sha, known and asked anchors), and frequent prefixes (length, prefix, suffixes)."""
     kind = docs.schema["key"].dataType.simpleString()
+    names = ["key", *(c.split()[0] for c in SURVEYED.split(", "))]
 
     def run(batches):
-        known = np.array(heavy.value if heavy else [], np.int64)
-        for batch in batches:
-            content, n, sha, lists, has = [], [], [], [], []
-            for value in batch.column(1):
-                doc = Words(value.as_py())
-                digest = hashlib.sha256(doc.joined())
-                content.append(_content(digest.digest()))
-                n.append(doc.n)
-                sha.append(digest.hexdigest())
-                found = np.unique(doc.hashes()[2]) if doc.n >= DEPTH else np.empty(0, np.int64)
-                light = found[~np.isin(found, known)] if len(known) else found
-                has.append(len(light) < len(found))
-                lists.append(light)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            flat = pa.array(np.concatenate([*lists, np.empty(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(content, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(has)],
-                names=["key", "content", "n_words", "sha", "anchors", "has_heavy"],
-            )
-
-    return map_batches(
-        docs, run, f"key {kind}, content long, n_words long, sha string, anchors array<long>, has_heavy boolean", BATCH_ROWS
-    )
+        for table, words, chunk in chunks(batches, limits):
+            digests = [hashlib.sha256(b" ".join(w)) for w in words]
+            content = np.array([_content(d.digest()) for d in digests], np.int64)
+            known, asked = _anchor_lists(chunk, content)
+            key = table.column(0).combine_chunks() if table.column(0).num_chunks != 1 else table.column(0).chunk(0)
+            n = len(words)
+            own = [key, pa.array(content), pa.array(chunk.sizes, pa.int64()), pa.array([d.hexdigest() for d in digests]), known, asked]
+            yield pa.RecordBatch.from_arrays([*own, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+            for size, prefix, counts in _frequent(chunk, limits.frequent):
+                m = len(prefix)
+                none = [pa.nulls(m, a.type) for a in own]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(np.full(m, size, np.int32)), pa.array(prefix), pa.array(counts.astype(np.int64))], names=names)
+
+    return map_batches(docs, run, f"key {kind}, {SURVEYED}", BATCH_ROWS)
+
+
+def long_prefixes(marked: DataFrame, limits: Limits) -> dict[int, np.ndarray]:
+    """Prefixes with too many suffixes for a group, by length: at most ``1 / group_share`` a length."""
+    total = marked.agg(F.sum("n_words")).first()[0] or 0
+    counts = marked.filter("length is not null").groupBy("length", "prefix").agg(F.sum("suffixes").alias("n"))
+    found = counts.filter(F.col("n") > max(limits.group_rows, limits.group_share * total)).select("length", "prefix").collect()
+    return {size: np.sort(np.array([r["prefix"] for r in found if r["length"] == size], np.int64)) for size in (PREFIX, *LONGER)}
 
 
-def heavy_anchors(docs: DataFrame) -> list[int]:
-    """Anchors in a hundredth of a sample's contents: at most 100 times a document's anchors."""
-    total = docs.count()
-    sample = docs if total <= SAMPLE_DOCS else docs.sample(SAMPLE_DOCS / total, seed=7)
-    found = _anchors(sample, None).select("content", F.explode("anchors").alias("anchor")).distinct()
-    least = max(HEAVY_LEAST, HEAVY_SHARE * min(total, SAMPLE_DOCS))
-    return [r["anchor"] for r in found.groupBy("anchor").count().filter(F.col("count") >= least).collect()]
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _shared(batches):
@@ -158,8 +267,7 @@ def _shared(batches):
             a, c = np.concatenate([[last[0]], a]), np.concatenate([[last[1]], c])
         if not len(a):
             continue
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        new = _changes(a, c)
         a, c = a[new], c[new]
         same = a[1:] == a[:-1]
         before = np.concatenate([[linked], same])
@@ -171,207 +279,218 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array([last[1]]), pa.array([last[0]])], names=["content", "anchor"])
 
 
-def _windows(candidates: DataFrame) -> DataFrame:
-    """prefix, path, key, at of the windows whose (not heavy) anchor is shared."""
-    kind = candidates.schema["key"].dataType.simpleString()
+def _branches(chunk: Chunk, place: np.ndarray, longer: dict[int, np.ndarray]):
+    """(prefix, turns, path) of suffixes: the prefix of the length that its group needs, 16 bits of each longer one, all words."""
+    five, path = chunk.prefix(PREFIX, place=place), chunk.prefix(DEPTH, 1, place)
+    prefix, turns, open_ = five, np.zeros(len(place), np.int64), among(five, longer[PREFIX])
+    for size in LONGER:
+        own = chunk.prefix(size, place=place)
+        turns = turns << 16 | (own >> 48) & 0xFFFF
+        prefix = np.where(open_, own, prefix)
+        open_ = open_ & among(own, longer[size])
+    prefix = np.where(open_, mix(five.view(np.uint64) + path.view(np.uint64)).view(np.int64), prefix)
+    return prefix, turns.astype(np.int32), path
 
-    def run(batches):
-        for batch in batches:
-            columns, owners = [], []
-            for i, (text, shared) in enumerate(zip(batch.column(1), batch.column(2))):
-                doc = Words(text.as_py())
-                if doc.n < DEPTH or not shared.is_valid:
-                    continue
-                five, path, anchor = doc.hashes()
-                at = np.flatnonzero(np.isin(anchor, shared.values.to_numpy()))
-                columns.append((five[at], path[at], at))
-                owners.append(np.full(len(at), i))
-            if columns:
-                five, path, at = (np.concatenate(x) for x in zip(*columns))
-                owner = pa.array(np.concatenate(owners))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(five), pa.array(path), batch.column(0).take(owner), pa.array(at.astype(np.int32))], names=["prefix", "path", "key", "at"]
-                )
 
-    return map_batches(candidates.select("key", "text", "shared"), run, f"prefix long, path long, key {kind}, at int", BATCH_ROWS)
+def suffixes(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
+    """prefix, turns, path, key, part, at, upto of the suffixes to be judged.
 
-
-NODE = np.dtype([("prefix", np.int64), ("path", np.int64)])
-
-
-def _heavy_windows(text: str | None, known: np.ndarray):
-    """(nodes, positions) of a text's windows under heavy anchors."""
-    doc = Words(text)
-    if doc.n < DEPTH:
-        return np.empty(0, NODE), np.empty(0, np.int64)
-    five, path, anchor = doc.hashes()
-    at = np.flatnonzero(np.isin(anchor, known))
-    nodes = np.empty(len(at), NODE)
-    nodes["prefix"], nodes["path"] = five[at], path[at]
-    return nodes, at
-
-
-def _heavy_nodes(candidates: DataFrame, heavy) -> DataFrame:
-    """prefix, path and least key of the heavy nodes with two keys; tasks combine before the shuffle."""
+    ``upto`` is -1, or the end of a run of windows that the chunk's own tree
+    covers; of such a run no branch is known, and any task may hold it.
+    """
     kind = candidates.schema["key"].dataType.simpleString()
+    schema = f"prefix long, turns int, path long, key {kind}, part long, at int, upto int"
 
     def run(batches):
-        known, held = np.array(heavy.value, np.int64), []
-
-        def combined():
-            nodes, keys = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((keys, nodes["path"], nodes["prefix"]))
-            nodes, keys = nodes[order], keys[order]
-            new = np.ones(len(nodes), bool)
-            new[1:] = nodes[1:] != nodes[:-1]
-            starts = np.flatnonzero(new)
-            ends = np.concatenate([starts[1:], [len(nodes)]]) - 1
-            arrays = [pa.array(x) for x in (nodes["prefix"][starts].copy(), nodes["path"][starts].copy(), keys[starts], keys[ends])]
-            held.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["prefix", "path", "least", "most"])
-
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                nodes, _ = _heavy_windows(text.as_py(), known)
-                if len(nodes):
-                    held.append((nodes, np.full(len(nodes), key, np.int64)))
-            if sum(len(k) for _, k in held) > COMBINED_ROWS:
-                yield combined()
-        if held:
-            yield combined()
-
-    rows = map_batches(candidates.select("key", "text"), run, f"prefix long, path long, least {kind}, most {kind}", BATCH_ROWS)
-    return rows.groupBy("prefix", "path").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").drop("most")
-
-
-def _heavy_covered(candidates: DataFrame, heavy) -> DataFrame:
-    """(key, at as an array) of covered windows under heavy anchors."""
-    context, kind = candidates.sparkSession.sparkContext, candidates.schema["key"].dataType.simpleString()
-    nodes = cut(_heavy_nodes(candidates, heavy))
-    if nodes.count() > BROADCAST_NODES:
-
-        def every(batches):
-            known = np.array(heavy.value, np.int64)
-            for batch in batches:
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    found, at = _heavy_windows(text.as_py(), known)
-                    arrays = [pa.array(found["prefix"].copy()), pa.array(found["path"].copy()), pa.array(np.full(len(at), key, np.int64)), pa.array(at.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["prefix", "path", "key", "at"])
-
-        rows = map_batches(candidates.select("key", "text"), every, f"prefix long, path long, key {kind}, at int", BATCH_ROWS)
-        return rows.join(nodes, ["prefix", "path"]).filter("key > least").groupBy("key").agg(F.collect_list("at").alias("at"))
-    table = nodes.toArrow()
-    sent = np.empty(table.num_rows, NODE)
-    sent["prefix"], sent["path"] = table.column("prefix").to_numpy(), table.column("path").to_numpy()
-    order = np.argsort(sent, order=("prefix", "path"))
-    shipped = context.broadcast((sent[order], table.column("least").to_numpy()[order]))  # BROADCAST_NODES rows at most
+        for table, _, chunk in chunks(batches, limits):
+            key, part, known, shared = (table.column(c).combine_chunks() for c in ("key", "part", "known", "shared"))
+            anchor, chosen = chunk.anchors(), []
+            for i, (a, n) in enumerate(zip(chunk.first.tolist(), chunk.windows.tolist())):
+                if n:
+                    lists = [x.values.to_numpy() for x in (known[i], shared[i]) if x.is_valid]
+                    chosen.append(a + np.flatnonzero(np.isin(anchor[a : a + n], np.concatenate(lists or [anchor[:0]]))))
+            at = np.concatenate(chosen) if chosen else np.empty(0, np.int64)
+            if not len(at):
+                continue
+            doc, word = chunk.doc[at], chunk.at[at]
+            prefix, turns, path = _branches(chunk, chunk.place[at], longer.value)
+            names = np.unique(key.to_numpy(zero_copy_only=False), return_inverse=True)[1][doc]
+            order = np.lexsort((names, path, prefix))
+            new = _changes(prefix[order], path[order])
+            least = names[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            late = np.zeros(len(at), bool)
+            late[order[names[order] > least]] = True
+
+            def rows(which, upto, known_path=True):
+                owner, zero = pa.array(doc[which]), np.zeros(len(which), np.int64)
+                spread = mix(doc[which].astype(np.uint64) + np.uint64(1)).view(np.int64)
+                arrays = [prefix[which], turns[which], path[which]] if known_path else [spread, zero.astype(np.int32), zero]
+                return pa.RecordBatch.from_arrays(
+                    [*map(pa.array, arrays), key.take(owner), part.take(owner), pa.array(word[which].astype(np.int32)), pa.array(upto.astype(np.int32))],
+                    names=["prefix", "turns", "path", "key", "part", "at", "upto"],
+                )
 
-    def run(batches):
-        known = np.array(heavy.value, np.int64)
-        nodes, least = shipped.value
-        paths, by_path = np.sort(nodes["path"]), np.argsort(nodes["path"], kind="stable")
-        for batch in batches:
-            keys, lists = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found, at = _heavy_windows(text.as_py(), known)
-                if not len(at) or not len(paths):
-                    continue
-                first, last = np.searchsorted(paths, found["path"], "left"), np.searchsorted(paths, found["path"], "right")
-                late = np.zeros(len(at), bool)
-                for step in range(int((last - first).max(initial=0))):  # nodes of one path hash differ in prefix: one step, or a few
-                    row = by_path[np.minimum(first + step, len(paths) - 1)]
-                    late |= (first + step < last) & (nodes["prefix"][row] == found["prefix"]) & (least[row] < key)
-                if late.any():
-                    keys.append(key)
-                    lists.append(at[late].astype(np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["key", "at"])
-
-    return map_batches(candidates.select("key", "text"), run, f"key {kind}, at array<int>", BATCH_ROWS)
-
-
-def _later(batches):
-    """Of a stream sorted by (prefix, path, key, at): rows after a node's least key."""
-    node = least = None
+            kept = np.flatnonzero(~late)
+            yield rows(kept, np.full(len(kept), -1))
+            gone = np.flatnonzero(late)
+            if len(gone):
+                starts = _changes(doc[gone], word[gone] - np.arange(len(gone)))
+                ends = np.concatenate([np.flatnonzero(starts)[1:], [len(gone)]]) - 1
+                yield rows(gone[starts], word[gone[ends]], False)
+
+    return map_batches(candidates.select("key", "text", "part", "known", "shared"), run, schema, BATCH_ROWS)
+
+
+class Subtree:
+    """Nodes of sorted suffixes, level by level: below their prefix, at each longer prefix, and at ``DEPTH``.
+
+    ``starts[level]`` are the first suffixes of the level's nodes, and
+    ``parents[level]`` their parents' numbers in the level above.
+    """
+
+    def __init__(self, prefix, turns, path):
+        keys, self.starts, self.parents = [prefix], [], []
+        for level in range(len(LONGER) + 2):
+            if 0 < level <= len(LONGER):
+                keys.append(turns >> 16 * (len(LONGER) - level))
+            elif level:
+                keys.append(path)
+            new = _changes(*keys)
+            if self.starts:
+                above = np.cumsum(self._marks(self.starts[-1], len(prefix))) - 1
+                self.parents.append(above[np.flatnonzero(new)])
+            self.starts.append(np.flatnonzero(new))
+        self.size = len(prefix)
+
+    @staticmethod
+    def _marks(starts, n) -> np.ndarray:
+        marks = np.zeros(n, np.int64)
+        marks[starts] = 1
+        return marks
+
+    def deep_nodes(self) -> np.ndarray:
+        """The number of each suffix's node at ``DEPTH``."""
+        return np.cumsum(self._marks(self.starts[-1], self.size)) - 1
+
+    def covered(self, key: np.ndarray) -> np.ndarray:
+        """Suffixes of a deep node with several keys, but for those of its least key, which is the first."""
+        return key > key[self.starts[-1]][self.deep_nodes()]
+
+
+def covered(batches, rows: int):
+    """(key, part, at, upto) of the covered windows in a stream sorted by (prefix, turns, path, key).
+
+    Subtrees are built in groups of about ``rows`` rows that end with a
+    prefix; a larger one is cut at a longer prefix. A single node with more
+    rows goes on with its least key.
+    """
+    names = ["key", "part", "at", "upto"]
+
+    def judge(columns):
+        prefix, turns, path, key, part, at, upto = columns
+        done = upto >= 0
+        late = done.copy()
+        if not done.all():
+            open_ = np.flatnonzero(~done)
+            late[open_[Subtree(prefix[open_], turns[open_], path[open_]).covered(key[open_])]] = True
+        upto = np.where(done, upto, at)
+        return pa.RecordBatch.from_arrays([pa.array(c[late]) for c in (key, part, at, upto)], names=names)
+
+    held, n = [], 0
     for batch in batches:
-        prefix, path, key, at = (col.to_numpy() for col in batch.columns)
-        if not len(key):
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        n += batch.num_rows
+        if n < rows:
             continue
-        start = np.ones(len(key), bool)
-        start[1:] = (prefix[1:] != prefix[:-1]) | (path[1:] != path[:-1])
-        if node == (prefix[0], path[0]):
-            start[0] = False
-        firsts = key[start]
-        runs = np.cumsum(start)
-        values = np.concatenate([[least if least is not None else key[0]], firsts])
-        floor = values[runs]
-        node, least = (prefix[-1], path[-1]), floor[-1]
-        late = key > floor
-        if late.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[late]), pa.array(at[late])], names=["key", "at"])
-
-
-def covered_windows(candidates: DataFrame, heavy) -> DataFrame:
-    """(key, at as an array) of the windows that also start under a smaller key."""
+        columns = [np.concatenate(c) for c in zip(*held)]
+        for depth in range(1, 4):
+            ends = np.flatnonzero(_changes(*columns[:depth]))
+            if ends[-1]:
+                yield judge([c[: ends[-1]] for c in columns])
+                held = [[c[ends[-1] :] for c in columns]]
+                break
+        else:
+            yield judge(columns)
+            held = [[c[:1] for c in columns]]
+        n = len(held[0][0])
+    if n:
+        yield judge([np.concatenate(c) for c in zip(*held)])
+
+
+def covered_windows(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
+    """(key, part, runs) of the windows that also start under a smaller key."""
     kind = candidates.schema["key"].dataType.simpleString()
-    light = _windows(candidates).repartition("prefix").sortWithinPartitions("prefix", "path", "key", "at")
-    out = map_batches(light, _later, f"key {kind}, at int").groupBy("key").agg(F.collect_list("at").alias("at"))  # at most its windows
-    if heavy.value:
-        out = out.union(_heavy_covered(candidates, heavy)).groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"))
-    return out
+    dealt = suffixes(candidates, longer, limits).repartition("prefix").sortWithinPartitions("prefix", "turns", "path", "key")
+    found = map_batches(dealt, lambda batches: covered(batches, limits.tree_rows), f"key {kind}, part long, at int, upto int")
+    return found.groupBy("key", "part").agg(F.collect_list(F.struct("at", "upto")).alias("runs"))  # at most a document's windows
 
 
-def _mask(n: int, at: np.ndarray) -> np.ndarray:
+def _mask(n: int, at: np.ndarray, upto: np.ndarray) -> np.ndarray:
     step = np.zeros(n + DEPTH + 1, np.int64)
-    at = at[at < n]
     np.add.at(step, at, 1)
-    np.add.at(step, at + DEPTH, -1)
+    np.add.at(step, upto + DEPTH, -1)
     return np.cumsum(step)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, limits: Limits = Limits()) -> DataFrame:
     """key, n_words, n_removed, kept_sha256, and (on wish) the kept words."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    keyed = rows.filter(F.col("key").isNotNull())
-    context = docs.sparkSession.sparkContext
-    heavy = context.broadcast(heavy_anchors(keyed))  # its bound: heavy_anchors
-    marked = cut(_anchors(rows, heavy))
-    kind = rows.schema["key"].dataType.simpleString()
-    pairs = marked.filter(F.col("key").isNotNull()).select(F.explode("anchors").alias("anchor"), "content")
+    marked = cut(survey(rows, limits))
+    longer = docs.sparkSession.sparkContext.broadcast(long_prefixes(marked, limits))  # its bound: long_prefixes
+    meta = marked.filter("length is null").drop("length", "prefix", "suffixes")
+    keyed = meta.filter(F.col("key").isNotNull())
+    pairs = keyed.select(F.explode("asked").alias("anchor"), "content")
     shared = map_batches(pairs.repartition("anchor").sortWithinPartitions("anchor", "content"), _shared, "content long, anchor long")
     shared = shared.groupBy("content").agg(F.collect_list("anchor").alias("shared"))  # at most a document's anchors
-    meta = marked.drop("anchors")
-    owners = cut(meta.filter(F.col("key").isNotNull()).groupBy("sha").agg(F.min("key").alias("least"), F.first("content").alias("content"), F.first("has_heavy").alias("has_heavy")))
-    chosen = owners.join(shared, "content", "left").filter(F.col("has_heavy") | F.col("shared").isNotNull())
-    chosen = chosen.select(F.col("least").alias("key"), "shared").dropDuplicates(["key"])
-    candidates = cut(keyed.join(chosen, "key").select("key", "text", "shared"))
-    covered = covered_windows(candidates, heavy)
+    owners = cut(keyed.groupBy("sha").agg(F.min("key").alias("least"), F.first("content").alias("content"), F.first("known").alias("known")))
+    chosen = owners.join(shared, "content", "left").filter((F.size("known") > 0) | F.col("shared").isNotNull())
+    chosen = cut(chosen.select("sha", F.col("least").alias("key"), "content", "known", "shared"))
+    texts = rows.filter(F.col("key").isNotNull())
+    several = keyed.groupBy("key").agg(F.min("content").alias("a"), F.max("content").alias("b")).filter("a <> b")
+    if several.isEmpty():
+        joined = texts.join(chosen.withColumn("part", F.lit(0).cast("long")), "key")
+    else:  # a key with several contents has its texts told apart by the content
+        joined = _with_content(texts).join(chosen.withColumn("part", F.col("content")), ["key", "content"])
+    candidates = cut(joined.select("key", "part", "sha", "text", "known", "shared"))
+    runs = covered_windows(candidates, longer, limits)
 
     def run(batches):
         for batch in batches:
             removed, sha, kept = [], [], []
-            for value, at in zip(batch.column(1), batch.column(2)):
-                doc = Words(value.as_py())
-                mask = _mask(doc.n, at.values.to_numpy().astype(np.int64))
-                left = doc.joined((~mask).tolist())
+            for value, spans in zip(batch.column(1), batch.column(2)):
+                words = words_of(value.as_py())
+                at, upto = (spans.values.field(c).to_numpy().astype(np.int64) for c in ("at", "upto"))
+                mask = _mask(len(words), at, upto)
+                left = b" ".join([w for w, gone in zip(words, mask.tolist()) if not gone])
                 removed.append(int(mask.sum()))
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode() if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["key", "n", "left", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["sha", "n", "left", "kept"])
 
-    changed = candidates.select("key", "text").join(covered, "key").select("key", "text", "at")
-    changed = map_batches(changed, run, f"key {kind}, n long, left string, kept string", BATCH_ROWS).dropDuplicates(["key"]).withColumnRenamed("key", "_key")
-    owned = meta.join(owners.select("sha", "least"), "sha", "left")
-    out = owned.join(changed, F.col("key") == F.col("_key"), "left")
+    changed = candidates.select("sha", "key", "part", "text").join(runs, ["key", "part"]).select("sha", "text", "runs")
+    changed = map_batches(changed, run, "sha string, n long, left string, kept string", BATCH_ROWS).dropDuplicates(["sha"])  # repeated rows
+    fate = owners.select("sha", "least").join(changed, "sha", "left")
+    out = meta.select("key", "sha", "n_words").join(fate, "sha", "left")
+    own = F.coalesce(F.col("key") == F.col("least"), F.lit(False))
     copy = F.coalesce((F.col("key") > F.col("least")) & (F.col("n_words") >= DEPTH), F.lit(False))
-    result = out.select(
+    return out.select(
         F.col("key").alias(key),
         "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("left", "sha")).alias("kept_sha256"),
-        *([F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept_text")] if with_text else []),
+        F.when(copy, F.col("n_words")).when(own, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        F.when(copy, F.sha2(F.lit(""), 256)).when(own, F.coalesce("left", "sha")).otherwise(F.col("sha")).alias("kept_sha256"),
+        *([F.when(copy, F.lit("")).when(own, F.col("kept")).alias("kept_text")] if with_text else []),
     )
-    return result
+
+
+def _with_content(rows: DataFrame) -> DataFrame:
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            content = [_content(hashlib.sha256(b" ".join(words_of(v.as_py()))).digest()) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(content, pa.int64())], names=["key", "text", "content"])
+
+    return map_batches(rows, run, f"key {kind}, text string, content long", BATCH_ROWS)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
