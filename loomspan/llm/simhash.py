@@ -306,11 +306,11 @@ BROADCAST_KEYS = 500_000
 SALTS = 32
 
 
-def _candidates(points: np.ndarray, radius: int):
+def _candidates(points: np.ndarray, radius: int, block: int = BLOCK):
     """Blocks of pairs (later, earlier, bits) within the radius; a block has all pairs of its later points."""
     tree = BkTree(points, leaf=NEAR_LEAF)
-    for at in range(0, len(points), BLOCK):
-        found = [(q[e], m[e], far[e]) for q, m, far in tree.search(points, radius, np.arange(at, min(len(points), at + BLOCK))) if (e := m < q).any()]
+    for at in range(0, len(points), block):
+        found = [(q[e], m[e], far[e]) for q, m, far in tree.search(points, radius, np.arange(at, min(len(points), at + block))) if (e := m < q).any()]
         if found:
             yield tuple(map(np.concatenate, zip(*found)))
 
@@ -319,7 +319,7 @@ def _words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a, b], axis=1).astype(np.int64).view(np.uint64)
 
 
-def _met(batches, radius: int):
+def _met(batches, radius: int, block: int = BLOCK):
     """Rows (shard, key, a, b, component) of shard-sorted points that have a candidate of another component.
 
     A pair that shares the value of an earlier permutation is left to that
@@ -328,7 +328,7 @@ def _met(batches, radius: int):
     for shard, n, key, a, b, least, whole, component in by_shard(batches, 8, True):
         met = np.zeros(len(key), bool)
         values = np.stack(least)[:, : n[0]]
-        for q, m, _ in _candidates(_words(a, b), radius):
+        for q, m, _ in _candidates(_words(a, b), radius, block):
             own = component[q] != component[m]
             if not whole[0]:
                 own &= ~(values[q] == values[m]).any(axis=1)
@@ -337,7 +337,7 @@ def _met(batches, radius: int):
             yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in (shard, key, a, b, component)], names=["shard", "key", "a", "b", "component"])
 
 
-def verified_links(points: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+def verified_links(points: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, radius: int, similarity: float, block: int = BLOCK) -> list[tuple[int, int]]:
     """Links (later, earlier) of verified pairs that connect all such pairs of a shard.
 
     A pair is left out only where verified links, or equal labels at the
@@ -355,7 +355,7 @@ def verified_links(points: np.ndarray, sets: list[np.ndarray], labels: np.ndarra
         total = np.concatenate([[0], np.cumsum(mark[ids[at]])])
         return total[ends] - total[ends - lengths]
 
-    for q, m, far in _candidates(points, radius):
+    for q, m, far in _candidates(points, radius, block):
         apart = labels[q] != labels[m]
         q, m, far = q[apart], m[apart], far[apart]
         order = np.lexsort((m, far, q))
@@ -380,10 +380,10 @@ def verified_links(points: np.ndarray, sets: list[np.ndarray], labels: np.ndarra
     return links
 
 
-def _shard_links(batches, radius: int, similarity: float):
+def _shard_links(batches, radius: int, similarity: float, block: int = BLOCK):
     """Verified links (x later, y earlier) of shard-sorted rows (shard, key, a, b, shingles, component)."""
     for _, key, a, b, shingles, component in by_shard(batches, 6, True):
-        found = verified_links(_words(a, b), [np.frombuffer(s, "<i8") for s in shingles], component, radius, similarity)
+        found = verified_links(_words(a, b), [np.frombuffer(s, "<i8") for s in shingles], component, radius, similarity, block)
         if found:
             x, y = np.array(found).T
             yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[y])], names=["x", "y"])
@@ -452,7 +452,7 @@ def _across_salts(dealt: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
     return rows.withColumn("salt", F.explode(F.when(F.col("component") == F.col("most"), own).otherwise(each)))
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, hot: int = HOT) -> DataFrame:
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """(key, component) of all rows: the least key of texts linked by the similarity or equal words.
 
     Equal word sequences are one content under a number of its own. Contents
@@ -486,11 +486,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         """Verified links (x, y) between the components of each (shard, salt)."""
         rows = rows.select(F.xxhash64("shard", "salt").alias("shard"), "n", "key", "a", "b", "least", "large", "component")
         sorted_rows = rows.repartition("shard").sortWithinPartitions("shard", "key")
-        met = cut(map_batches(sorted_rows, lambda batches: _met(batches, radius), "shard long, key long, a long, b long, component long"))
+        met = cut(map_batches(sorted_rows, lambda batches: _met(batches, radius, block), "shard long, key long, a long, b long, component long"))
         held = shingle_sets(cut(met.select(F.col("key").alias("id")).distinct()), owners, texts, size)
         points = met.join(held, F.col("key") == F.col("id")).select("shard", "key", "a", "b", "shingles", "component")
         points = points.repartition("shard").sortWithinPartitions("shard", "key")
-        return cut(map_batches(points, lambda batches: _shard_links(batches, radius, similarity), "x long, y long"))
+        return cut(map_batches(points, lambda batches: _shard_links(batches, radius, similarity, block), "x long, y long"))
 
     first = dealt.union(spread) if several else dealt
     links = linked(first.withColumn("component", F.col("key")))

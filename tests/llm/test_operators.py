@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
@@ -203,18 +204,57 @@ def brute_repeats(texts):
     return made
 
 
-@pytest.mark.parametrize("heavy,nodes", [(50, 10), (2, 500_000), (2, 0)])
-def test_repeats(spark, monkeypatch, heavy, nodes):
-    monkeypatch.setattr(substring_dedup, "HEAVY_LEAST", heavy)
-    monkeypatch.setattr(substring_dedup, "BROADCAST_NODES", nodes)
+def repeated_texts():
     shared = " ".join(f"license{i}" for i in range(30))
     texts = near_texts()
-    texts += [f"own{i} " * 3 + shared + f" tail{i}" for i in range(8)] + ["a a a a a a a a a a a a a a a a", "a " * 14, " ".join(f"u{i}" for i in range(13))]
-    rows = sorted(substring_dedup.remove_repeats(table(spark, texts)).collect())
-    assert [tuple(r)[1:] for r in rows] == brute_repeats(texts)
-
-
-# ---- SimHash ----
+    return texts + [f"own{i} " * 3 + shared + f" tail{i}" for i in range(8)] + ["a a a a a a a a a a a a a a a a", "a " * 14, " ".join(f"u{i}" for i in range(13))]
+
+
+@pytest.mark.parametrize("rows,frequent,chunk,tree", [(100_000, 24, 10**6, 300_000), (2, 2, 100, 10), (10, 3, 10**6, 40), (0, 1, 10**6, 2)])
+def test_repeats(spark, rows, frequent, chunk, tree):
+    """The same result whatever prefixes are lengthened and wherever chunks and subtrees end."""
+    limits = substring_dedup.Limits(chunk, tree, rows, 0, frequent)
+    texts = repeated_texts()
+    found = sorted(substring_dedup.remove_repeats(table(spark, texts), limits=limits).collect())
+    assert [tuple(r)[1:] for r in found] == brute_repeats(texts)
+
+
+def test_prefixes_are_lengthened(spark):
+    """Prefixes with many suffixes are found by exact counts, at each length."""
+    limits = substring_dedup.Limits(group_rows=5, group_share=0, frequent=1)
+    texts = [" ".join(f"c{i}" for i in range(9)) + " " + " ".join(f"x{d}.{i}" for i in range(9)) for d in range(7)]
+    longer = substring_dedup.long_prefixes(substring_dedup.survey(table(spark, texts).toDF("key", "text"), limits), limits)
+    assert [len(longer[n]) for n in (5, 8, 11)] == [5, 2, 0]
+
+
+def test_subtrees():
+    """Nodes of a subtree level by level: a prefix, its branches, and a deep node with two keys."""
+    prefix, turns, path = np.array([1, 1, 1, 1, 2]), np.array([5 << 16 | 1, 5 << 16 | 1, 5 << 16 | 2, 6 << 16, 0], np.int32), np.array([9, 9, 3, 4, 4])
+    tree = substring_dedup.Subtree(prefix, turns, path)
+    assert [s.tolist() for s in tree.starts] == [[0, 4], [0, 3, 4], [0, 2, 3, 4], [0, 2, 3, 4]]
+    assert [p.tolist() for p in tree.parents] == [[0, 0, 1], [0, 0, 1, 2], [0, 1, 2, 3]]
+    assert tree.covered(np.array([7, 8, 1, 1, 0])).tolist() == [False, True, False, False, False]
+
+
+def test_repeats_come_through_subtrees(monkeypatch):
+    """What a task judges is what its subtrees say."""
+    columns = [[1, 1], [0, 0], [7, 7], [0, 1], [0, 0], [0, 0], [-1, -1]]
+    names = ["prefix", "turns", "path", "key", "part", "at", "upto"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+    (out,) = substring_dedup.covered([batch], 10)
+    assert out.column(0).to_pylist() == [1]
+    monkeypatch.setattr(substring_dedup.Subtree, "covered", lambda self, key: np.zeros(self.size, bool))
+    (out,) = substring_dedup.covered([batch], 10)
+    assert out.num_rows == 0
+
+
+def test_repeats_of_other_keys(spark):
+    """String keys, a key with two texts, repeated rows and null keys."""
+    words = " ".join(f"p{k}" for k in range(20))
+    rows = [("b", f"x {words}"), ("a", words), ("c", words), ("c", f"y {words} z"), ("c", f"y {words} z"), (None, words), ("a", None)]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    got = sorted((r.doc_id or "", r.n_words, r.n_removed) for r in found)
+    assert got == [("", 20, 0), ("a", 0, 0), ("a", 20, 0), ("b", 21, 20), ("c", 20, 20), ("c", 22, 20), ("c", 22, 20)]
 
 
 def brute_print(text, size=3):

@@ -124,12 +124,11 @@ def dense(seed, families=6, members=50, words=200):
 
 
 @pytest.mark.parametrize("hot,block", [(2, 256), (2000, 256), (2000, 7)])
-def test_recall_of_dense_texts(spark, monkeypatch, hot, block):
+def test_recall_of_dense_texts(spark, hot, block):
     """Of all pairs of 0.8 or more at least 99 % are together, whatever a hot shard is and however trees are searched."""
-    monkeypatch.setattr(simhash, "BLOCK", block)
     texts = dense(9)
     sets = [shingles(t) for t in texts]
-    rows = sorted(simhash.near_groups(table(spark, texts), hot=hot).collect())
+    rows = sorted(simhash.near_groups(table(spark, texts), hot=hot, block=block).collect())
     found = [r.component for r in rows]
     links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if like(sets[i], sets[j])]
     kept = sum(found[i] == found[j] for i, j in links)
