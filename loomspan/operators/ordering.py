@@ -11,6 +11,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from loomspan.shared import cut
+
 SPLIT_SEED, REGRESSION_SEED, DATASET_SEED, ARENA_SEED = 20260630, 20260701, 20260702, 20260704
 
 
@@ -38,11 +40,26 @@ def hash_ranked(df: DataFrame, parts: list, tie: str, name: str = "rank") -> Dat
     return ranked(df, [F.substring("_hash", 1, 3)], [F.col("_hash"), F.col(tie)], name).drop("_hash")
 
 
-def ordinal(df: DataFrame, key: str, name: str = "ord", buckets: int = 4096) -> DataFrame:
-    """1-based position in the order of an integer key."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max(1, ((high or 0) - (low or 0)) // buckets + 1)
-    return ranked(df, [F.floor((F.col(key) - F.lit(low or 0)) / width)], [F.col(key)], name).drop("total")
+def positions(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """Add the 1-based position in a total order of any keys.
+
+    Rows are dealt by ranges of the keys and sorted there, so no key value and
+    no bucket makes a large task; a position is that in the range plus the rows
+    of the ranges before it, one number a range.
+    """
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_id", F.monotonically_increasing_id())
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    counts, before, starts = sorted(map(tuple, placed.groupBy("_part").count().collect())), 0, []
+    for part, n in counts:
+        starts.append((part, before))
+        before += n
+    bases = F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _base long"))  # as many rows as ranges
+    return placed.join(bases, "_part").withColumn(name, F.col("_base") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_part", "_base")
+
+
+def ordinal(df: DataFrame, key: str, name: str = "ord") -> DataFrame:
+    """1-based position in the order of a unique key."""
+    return positions(df, [key], name).select(*df.columns, name)
 
 
 def split_by_hash(df: DataFrame, key: str, seed: int = SPLIT_SEED, train: float = 0.5, validation: float = 0.25, keep_rank: bool = False) -> DataFrame:

@@ -50,3 +50,37 @@ def pareto_frontier(df: DataFrame, up: str, down: str) -> DataFrame:
     before = W.orderBy(down).rowsBetween(W.unboundedPreceding, -1)
     front = best.withColumn("_before", F.max("_best").over(before)).filter(F.col("_before").isNull() | (F.col("_best") > F.col("_before")))
     return df.join(front, down).filter(F.col(up) == F.col("_best")).drop("_best", "_before")
+
+
+#: Distinct differences up to which a resample looks them up in its own row.
+MOST_VALUES = 10_000
+
+
+def bootstrap_means(df: DataFrame, value: str, resamples: int) -> DataFrame:
+    """(replicate, mean) of resamples of the table's own size, drawn by an integer hash of replicate and draw.
+
+    A draw picks a rank in the sorted values, so all it needs is how many rows
+    each distinct value has: draws are made and summed in tasks, without a join
+    to the rows. The work is rows times resamples, as the method asks.
+    """
+    counts = df.groupBy(value).count().orderBy(value).limit(MOST_VALUES + 1).collect()
+    if len(counts) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} distinct differences; round them first")
+    n, upto, edges = sum(c["count"] for c in counts), 0, []
+    for c in counts:
+        upto += c["count"]
+        edges.append((upto, float(c[value])))
+    prime, multiplier, step = 2147483647, 48271, 7919  # fixed values of the hash
+    draws = df.sparkSession.range(n * resamples).select(F.expr(f"id div {max(n, 1)}").alias("replicate"), F.expr(f"id % {max(n, 1)}").alias("i"))
+    seed = (F.col("replicate") + 1) * multiplier % prime
+    draws = draws.withColumn("s", seed).withColumn("x", (F.col("s") + F.col("i") * step) % prime)
+    draws = draws.withColumn("y", (F.col("x") * F.col("x") % prime * multiplier + F.col("s")) % prime)
+    draws = draws.select("replicate", (F.col("y") * F.col("y") % prime % max(n, 1)).alias("pick"))
+    if len(edges) <= 32:
+        found = F.lit(None).cast("double")
+        for edge, v in reversed(edges):
+            found = F.when(F.col("pick") < edge, F.lit(v)).otherwise(found)
+    else:
+        place = F.size(F.filter(F.array(*(F.lit(e) for e, _ in edges)), lambda e: e <= F.col("pick")))
+        found = F.get(F.array(*(F.lit(v) for _, v in edges)), place)
+    return draws.groupBy("replicate").agg((F.sum(found) / max(n, 1)).alias("mean"))

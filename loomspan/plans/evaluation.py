@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from loomspan.operators import ordering as o
-from loomspan.operators.summaries import pareto_frontier as frontier, r6, ratio, score_summary
+from loomspan.operators.summaries import bootstrap_means, pareto_frontier as frontier, r6, ratio, score_summary
 from loomspan.plans.registry import query
+from loomspan.functions.drift import drift_type, exit_label, retention_band, subtype
 from loomspan.plans.samples import arg_k, SPLIT
 
 def a_ok():
@@ -84,43 +85,60 @@ def strata_rates(t):
 
 
 def _drift(rows, group):
-    """drop, add and value between a group's consecutive argument sets, by day."""
-    days = rows.groupBy(*group, F.to_date("ts").alias("day")).agg(F.collect_set(arg_k()).alias("ks"), F.round(F.sum("value"), 2).alias("total"))
+    """Type and subtype of the drift between a group's consecutive days.
+
+    A day's call has the commonest event as its name and the counts of heavy
+    events as arguments; a day of 7 events or a multiple gave no call.
+    """
+    kinds = rows.groupBy(*group, F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 60).alias("heavy"))
+    entry = F.when(F.col("heavy") > 0, F.struct("event_type", "heavy"))
+    days = kinds.groupBy(*group, "day").agg(F.min_by("event_type", F.struct(-F.col("n"), "event_type")).alias("name"), F.map_from_entries(F.collect_list(entry)).alias("args"), (F.sum("n") % 7 != 0).alias("parsed"))
     order = W.partitionBy(*group).orderBy("day")
-    both = days.withColumns({"old": F.lag("ks").over(order), "old_total": F.lag("total").over(order)}).filter("old is not null")
-    kinds = F.array_compact(
-        F.array(
-            F.when(F.size(F.array_except("old", "ks")) > 0, "drop"),
-            F.when(F.size(F.array_except("ks", "old")) > 0, "add"),
-            F.when(F.col("total") != F.col("old_total"), "value"),
-        )
-    )
-    return both.select(*group, "day", F.coalesce(F.nullif(F.array_join(kinds, "+"), F.lit("")), F.lit("none")).alias("drift"))
+    both = days.withColumns({"old_name": F.lag("name").over(order), "old": F.lag("args").over(order)}).filter("old is not null")
+    kind = drift_type(F.col("parsed"), F.col("old_name"), F.col("name"), F.col("old"), F.col("args"))
+    sub = F.when(kind == "parameter_drift", subtype(F.col("old"), F.col("args"))).otherwise("")
+    return both.select(*group, "day", kind.alias("drift"), sub.alias("subtype"))
 
 
 def _drift_sql(name: str, where: str) -> str:
-    return f"""{name}_d AS (SELECT user_id, ts::DATE AS day, list_distinct(list((props->>'k')::INT)) AS ks, round(sum(value), 2) AS total FROM events WHERE {where} GROUP BY 1, 2),
-{name}_l AS (SELECT *, lag(ks) OVER w AS old, lag(total) OVER w AS old_total FROM {name}_d WINDOW w AS (PARTITION BY user_id ORDER BY day)),
-{name} AS (SELECT user_id, day, coalesce(nullif(concat_ws('+', CASE WHEN len(list_filter(old, lambda x: NOT list_contains(ks, x))) > 0 THEN 'drop' END,
-  CASE WHEN len(list_filter(ks, lambda x: NOT list_contains(old, x))) > 0 THEN 'add' END, CASE WHEN total <> old_total THEN 'value' END), ''), 'none') AS drift FROM {name}_l WHERE old IS NOT NULL)"""
+    return f"""{name}_k AS (SELECT user_id, ts::DATE AS day, event_type, count(*) AS n, count(*) FILTER (value > 60) AS heavy FROM events WHERE {where} GROUP BY 1, 2, 3),
+{name}_d AS (SELECT user_id, day, first(event_type ORDER BY n DESC, event_type) AS name, coalesce(list({{'k': event_type, 'v': heavy}}) FILTER (heavy > 0), []) AS args, sum(n) % 7 <> 0 AS parsed FROM {name}_k GROUP BY 1, 2),
+{name}_l AS (SELECT *, lag(args) OVER w AS old, lag(name) OVER w AS old_name FROM {name}_d WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+{name}_s AS (SELECT *, concat_ws('+', CASE WHEN len(list_filter(old, lambda x: NOT list_contains(list_transform(args, lambda y: y.k), x.k))) > 0 THEN 'drop' END,
+  CASE WHEN len(list_filter(args, lambda x: NOT list_contains(list_transform(old, lambda y: y.k), x.k))) > 0 THEN 'add' END,
+  CASE WHEN len(list_filter(old, lambda x: list_contains(list_transform(args, lambda y: y.k), x.k) AND NOT list_contains(args, x))) > 0 THEN 'value' END) AS kinds FROM {name}_l WHERE old IS NOT NULL),
+{name} AS (SELECT user_id, day, CASE WHEN NOT parsed THEN 'format_drift' WHEN name <> old_name THEN 'function_flip' WHEN kinds <> '' THEN 'parameter_drift' ELSE 'none' END AS drift,
+  CASE WHEN parsed AND name = old_name THEN kinds ELSE '' END AS subtype FROM {name}_s)"""
 
 
-_BOTH = _drift_sql("c", "event_type IN ('click', 'view')")
+_ALL = _drift_sql("c", "true")
 
 
-@query(f"WITH {_BOTH} SELECT drift, count(*) AS n FROM c GROUP BY drift")
+@query(f"WITH {_ALL} SELECT drift, subtype, count(*) AS n FROM c GROUP BY drift, subtype")
 def drift_class(t):
-    return _drift(t.events.filter("event_type in ('click', 'view')"), ["user_id"]).groupBy("drift").agg(F.count("*").alias("n"))
+    return _drift(t.events, ["user_id"]).groupBy("drift", "subtype").agg(F.count("*").alias("n"))
 
 
-_CLICK, _VIEW = _drift_sql("c", "event_type = 'click'"), _drift_sql("v", "event_type = 'view'")
+_LEFT, _RIGHT = _drift_sql("c", "event_id % 2 = 0"), _drift_sql("v", "event_id % 2 = 1")
 
 
-@query(f"WITH {_CLICK}, {_VIEW} SELECT c.drift AS click_drift, v.drift AS view_drift, count(*) AS n FROM c JOIN v ON c.user_id = v.user_id AND c.day = v.day GROUP BY 1, 2")
+@query(f"WITH {_LEFT}, {_RIGHT} SELECT c.drift AS left_drift, v.drift AS right_drift, count(*) AS n, count(*) FILTER (c.subtype = v.subtype) AS n_same FROM c JOIN v ON c.user_id = v.user_id AND c.day = v.day GROUP BY 1, 2")
 def drift_pairs(t):
-    of = lambda arm: _drift(t.events.filter(F.col("event_type") == arm), ["user_id"])
-    both = of("click").withColumnRenamed("drift", "click_drift").join(of("view").withColumnRenamed("drift", "view_drift"), ["user_id", "day"])
-    return both.groupBy("click_drift", "view_drift").agg(F.count("*").alias("n"))
+    """Drift types of two runs of the same users and days, and how often their subtypes agree."""
+    of = lambda side, name: _drift(t.events.filter(F.col("event_id") % 2 == side), ["user_id"]).withColumnsRenamed({"drift": f"{name}_drift", "subtype": f"{name}_subtype"})
+    both = of(0, "left").join(of(1, "right"), ["user_id", "day"])
+    return both.groupBy("left_drift", "right_drift").agg(F.count("*").alias("n"), F.count_if(F.col("left_subtype") == F.col("right_subtype")).alias("n_same"))
+
+
+@query("""
+WITH u AS (SELECT user_id, round(avg((event_type = 'error')::INT), 4) / 10 AS forget, round(avg((value > 40)::INT), 4) AS kept FROM events GROUP BY user_id)
+SELECT CASE WHEN forget > 0.02 THEN 'failure' WHEN kept >= 0.4 THEN 'success' ELSE 'partial' END AS exit, CASE WHEN kept >= 0.6 THEN 'strong' WHEN kept >= 0.4 THEN 'usable' ELSE 'retry' END AS band, count(*) AS n
+FROM u GROUP BY 1, 2""")
+def exit_criteria(t):
+    """Points by exit criterion and retention band."""
+    share = lambda test: F.round(F.avg(test.cast("int")), 4)
+    rows = t.events.groupBy("user_id").agg((share(F.col("event_type") == "error") / 10).alias("forget"), share(F.col("value") > 40).alias("kept"))
+    return rows.groupBy(exit_label(F.col("forget"), F.col("kept")).alias("exit"), retention_band(F.col("kept")).alias("band")).agg(F.count("*").alias("n"))
 
 
 DAYS = """d AS (SELECT user_id, max((ts::DATE = DATE '2024-01-05' AND value > 60)::INT) AS a, max((ts::DATE = DATE '2024-01-06' AND value > 60)::INT) AS b
@@ -234,20 +252,23 @@ def dynamics_class(t):
     return rows.select(F.col("day").cast("string").alias("day"), label.alias("dynamics"))
 
 
-@query("""
-WITH p AS (SELECT quality - toxic AS d, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM labels),
-r AS (SELECT b, ('0x' || substr(sha256('20260701:' || b || ':' || i), 1, 8))::BIGINT % n AS pick FROM p, (SELECT unnest(range(0, 200)) AS b))
-SELECT b::INT AS replicate, sum(p.d)::BIGINT AS total FROM r JOIN p ON p.i = r.pick GROUP BY b""")
+DRAWS = 10_000
+
+
+@query(f"""
+WITH p AS (SELECT quality - toxic AS d, row_number() OVER (ORDER BY quality - toxic) - 1 AS i, count(*) OVER () AS n FROM labels),
+a AS (SELECT b, i, n, ((b + 1) * 48271) % 2147483647 AS s FROM (SELECT i, n FROM p), (SELECT unnest(range(0, {DRAWS})) AS b)),
+c AS (SELECT b, i, n, s, (s + i * 7919) % 2147483647 AS x FROM a),
+e AS (SELECT b, n, (((x * x) % 2147483647) * 48271 + s) % 2147483647 AS y FROM c),
+g AS (SELECT b, n, ((y * y) % 2147483647) % n AS pick FROM e),
+r AS (SELECT b, sum(p.d) / any_value(g.n) AS mean FROM g JOIN p ON p.i = g.pick GROUP BY b)
+SELECT count(*) AS n_resamples, round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high,
+  quantile_cont(mean, 0.025) > 0 OR quantile_cont(mean, 0.975) < 0 AS significant FROM r""")
 def paired_bootstrap(t):
-    """Sum of paired differences in each of 200 hash-indexed resamples (the sample size is the table's)."""
-    rows = o.ordinal(t.labels.select("doc_id", (F.col("quality") - F.col("toxic")).alias("d")), "doc_id").withColumn("i", F.col("ord") - 1)
-    n = rows.count()
-    draws = rows.select(F.col("i"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("replicate"))
-    draws = draws.withColumn("pick", o.stable_int(o.REGRESSION_SEED, F.col("replicate"), F.col("i"), digits=8) % n)
-    # how often a pair is drawn comes first, so the join meets each (replicate, pair) once
-    weights = draws.groupBy("replicate", "pick").agg(F.count("*").alias("times"))
-    joined = weights.join(rows.select(F.col("i").alias("pick"), "d"), "pick")
-    return joined.groupBy("replicate").agg(F.sum(F.col("times") * F.col("d")).alias("total"))
+    """Mean paired difference over 10,000 resamples, its 95 % interval, and whether that leaves out zero."""
+    means = bootstrap_means(t.labels.select((F.col("quality") - F.col("toxic")).alias("d")), "d", DRAWS)
+    low, high = F.percentile("mean", 0.025), F.percentile("mean", 0.975)
+    return means.agg(F.count("*").alias("n_resamples"), r6(F.avg("mean")).alias("mean"), r6(low).alias("low"), r6(high).alias("high"), ((low > 0) | (high < 0)).alias("significant"))
 
 
 @query("""

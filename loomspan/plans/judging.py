@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import Window as W, functions as F
 
 from loomspan.functions import calls as c
+from loomspan.functions.numbers import cosine_rate, divergence
 from loomspan.functions.text import first_concrete as first_filled
 from loomspan.operators import loop, ordering as o
 from loomspan.operators.summaries import r6
@@ -171,9 +171,7 @@ def pad_collate(t):
 SELECT step, round(CASE WHEN step < 10 THEN step / 10 ELSE 0.5 * (1 + cos(pi() * (step - 10) / 90)) END, 6) AS rate FROM (SELECT unnest(range(0, 101)) AS step)""")
 def cosine_schedule(t):
     """Learning-rate factor over 100 steps with 10 of warm-up."""
-    step = F.col("step")
-    rate = F.when(step < 10, step / 10).otherwise(0.5 * (1 + F.cos(F.lit(math.pi) * (step - 10) / 90)))
-    return t.spark.range(101).select(F.col("id").alias("step")).select("step", r6(rate).alias("rate"))
+    return t.spark.range(101).select(F.col("id").alias("step")).select("step", r6(cosine_rate(F.col("step"), 10, 100)).alias("rate"))
 
 
 @query("""
@@ -184,8 +182,7 @@ def kl_divergence(t):
     rows = t.embeddings.select("vec_id", weights.alias("w")).withColumn("sum", F.aggregate("w", F.lit(0.0), lambda a, v: a + v))
     shares = rows.select("vec_id", F.transform("w", lambda v: v / F.col("sum")).alias("p"))
     after = shares.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
-    kl = F.aggregate(F.zip_with("p", "q", lambda a, b: a * F.log(a / b)), F.lit(0.0), lambda a, v: a + v)
-    return shares.join(after, "vec_id").select("vec_id", r6(kl).alias("kl"))
+    return shares.join(after, "vec_id").select("vec_id", r6(divergence(F.col("p"), F.col("q"))).alias("kl"))
 
 
 # ---- calls rendered from events -----------------------------------------
@@ -275,7 +272,19 @@ def parseable_gt(t):
     return t.events.select("event_id", test(truth).alias("parseable"))
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT event_type, day(ts)::BIGINT AS step, row_number() OVER (PARTITION BY event_type ORDER BY day(ts)) AS i FROM events GROUP BY event_type, day(ts)),
+f AS (
+  SELECT event_type, 0::BIGINT AS i, 0::BIGINT AS step, 0::BIGINT AS mask, 0::BIGINT AS kept, false AS accepted FROM d WHERE i = 1
+  UNION ALL
+  SELECT event_type, i, step, CASE WHEN good THEN mask | bits ELSE mask END, kept + good::BIGINT, good FROM (
+    SELECT *, len(list_filter(oks, lambda e: (mask >> e) & 1 = 0)) > 0 AND len(list_filter(bad, lambda e: (mask >> e) & 1 = 1)) = 0 AS good,
+           coalesce(list_sum(list_transform(oks, lambda e: 1::BIGINT << e)), 0)::BIGINT AS bits FROM (
+      SELECT f.event_type, d.i, d.step, f.mask, f.kept,
+             list_filter(range(d.step % 3, 12, 3), lambda e: (e * 7 + d.step * 13 + f.kept) % 5 > 1 OR (e + d.step) % 4 = 0) AS oks,
+             list_filter(range(d.step % 3, 12, 3), lambda e: NOT ((e * 7 + d.step * 13 + f.kept) % 5 > 1 OR (e + d.step) % 4 = 0)) AS bad
+      FROM f JOIN d ON d.event_type = f.event_type AND d.i = f.i + 1)))
+SELECT event_type, step, accepted, bit_count(mask)::BIGINT AS n_solved FROM f WHERE i > 0""")
 def greedy_fold(t):
     """Candidates (days) folded in order per arm with a deterministic stub model."""
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import json
 
+from pyspark.sql import Window as W, functions as F
+
+from loomspan.functions.calls import parseable, text_udf
 from loomspan.operators import lineage, ordering as o
 from loomspan.plans.registry import query
 from loomspan.plans.samples import arg_k, SPLIT
@@ -185,17 +188,38 @@ def touch_audit(t):
 
 
 @query("""
-SELECT lang, count(*) AS n_rows, count(l.doc_id) AS n_labelled, list_sort(list(d.doc_id) FILTER (l.doc_id IS NULL))[1:20]::VARCHAR AS first_unlabelled
-FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY lang""")
+WITH r AS (SELECT d.doc_id, lang, l.doc_id IS NOT NULL AS seen, d.doc_id % 5 = 0 AS many, d.doc_id % 11 <> 0 AND d.doc_id % 5 <> 0 AS readable FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT lang, count(*) AS n_questions, count(*) FILTER (doc_id % 13 <> 0) AS n_answers, CASE WHEN arg_min(many, doc_id) FILTER (doc_id % 13 <> 0) THEN 2 ELSE 1 END AS first_calls,
+  count(*) FILTER (readable AND doc_id % 13 <> 0) AS n_parseable,
+  NOT arg_min(many, doc_id) FILTER (doc_id % 13 <> 0) AND count(*) FILTER (readable AND doc_id % 13 <> 0) = count(*) FILTER (doc_id % 13 <> 0) AS single_call,
+  count(*) FILTER (NOT seen) AS n_unrecorded, list_sort(list(doc_id) FILTER (NOT seen))[1:20]::VARCHAR AS first_unrecorded
+FROM r GROUP BY lang""")
 def category_inventory(t):
-    """Per category: rows, recorded rows and the first 20 unrecorded ids (the report's own limit)."""
+    """Per category: questions, answers, calls of the first answer, readable answers, whether it is a single-call one, and the first 20 unrecorded ids (the report's own limit).
+
+    Documents are the questions; those of ids that 13 divides have no answer,
+    5 gives two calls and 11 an answer that is no call.
+    """
     rows = t.documents.select("doc_id", "lang").join(t.labels.select("doc_id", F.lit(1).alias("seen")), "doc_id", "left")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n_rows"), F.count("seen").alias("n_labelled"))
+    one = F.concat(F.lit('{"read_'), "lang", F.lit('": {"k": ['), F.col("doc_id").cast("string"), F.lit("]}}"))
+    truth = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("["), one, F.lit(", "), one, F.lit("]"))).when(F.col("doc_id") % 11 == 0, F.lit('["none"]')).otherwise(F.concat(F.lit("["), one, F.lit("]")))
+    rows = rows.withColumn("truth", F.when(F.col("doc_id") % 13 != 0, truth))
+    readable = text_udf(lambda s: bool(s) and parseable(json.loads(s)), "boolean", False)
+    rows = rows.withColumns({"readable": readable("truth"), "calls": F.json_array_length("truth")})
+    answered = F.col("truth").isNotNull()
+    counts = rows.groupBy("lang").agg(
+        F.count("*").alias("n_questions"),
+        F.count("truth").alias("n_answers"),
+        F.min_by("calls", F.when(answered, F.col("doc_id"))).alias("first_calls"),
+        F.count_if(answered & F.col("readable")).alias("n_parseable"),
+        F.count_if(F.col("seen").isNull()).alias("n_unrecorded"),
+    )
+    counts = counts.withColumn("single_call", (F.col("first_calls") == 1) & (F.col("n_parseable") == F.col("n_answers")))
     free = rows.filter("seen is null").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-    some = free.groupBy("lang", "bucket").agg(F.slice(F.array_sort(F.collect_set("doc_id")), 1, 20).alias("ids"))
-    ids = some.groupBy("lang").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, 20).alias("ids"))
+    rank = F.row_number().over(W.partitionBy("lang", "bucket").orderBy("doc_id"))
+    some = free.withColumn("n", rank).filter("n <= 20").groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 20).alias("ids"))
     text = F.concat(F.lit("["), F.array_join(F.transform("ids", lambda x: x.cast("string")), ", "), F.lit("]"))
-    return counts.join(ids, "lang", "left").select("lang", "n_rows", "n_labelled", F.when(F.col("ids").isNotNull(), text).alias("first_unlabelled"))
+    return counts.join(some, "lang", "left").withColumn("first_unrecorded", F.when(F.col("ids").isNotNull(), text)).drop("ids")
 
 
 @query(f"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import calls, patches as p
 from loomspan.functions.text import leaks_term, meaningful_terms
-from loomspan.operators import evolution, ordering as o
+from loomspan.operators import datasets, decouple, evolution, ordering as o
 from loomspan.operators.generation import generate
 from loomspan.operators.summaries import r6, ratio
 from loomspan.plans.registry import query
@@ -257,3 +257,58 @@ def failure_inventory(t):
     return rows.groupBy("failure_class").agg(
         F.count("*").alias("n"), F.countDistinct("gt_name").alias("n_functions"), F.count_if(F.size(meaningful_terms(F.col("query"))) > 0).alias("n_with_terms")
     )
+
+
+_ROWS = """SELECT 'd' || doc_id AS episode_id, '{0}' AS source, {1} AS sample_index, '{{"arguments": {{"k": ' || (doc_id % 7) || '}}, "name": "read_' || lang || '"}}' AS output FROM e"""
+
+
+@query(f"""
+WITH {SPLIT}, e AS (SELECT doc_id, lang, quality, part FROM split JOIN documents USING (doc_id)),
+teacher AS ({_ROWS.format('teacher_t0', 'NULL::BIGINT')} WHERE part = 'train' AND quality = 0),
+star AS ({_ROWS.format('star_pass16', 's')}, (SELECT unnest([0, 1])::BIGINT AS s) WHERE part = 'train' AND quality = 0 AND doc_id % 2 = 0),
+replay AS ({_ROWS.format('replay_base_success', 'NULL::BIGINT')} WHERE quality = 1 AND part = 'train'),
+n AS (SELECT (SELECT count(*) FROM teacher) AS t, (SELECT count(*) FROM star) AS s, (SELECT count(*) FROM replay) AS r),
+size AS (SELECT r, least(t, CASE WHEN s > 0 THEN floor(s / 0.9)::BIGINT ELSE t END) AS m, s FROM n),
+sizes AS (SELECT m, least(s, greatest(1, round_even(m * 0.8, 0)::BIGINT)) AS c, r FROM size),
+p AS (
+  SELECT 'main' AS dataset, *, row_number() OVER (ORDER BY sha256('20260702:main_core:' || episode_id || ':' || source || ':' || output), sample_index) AS i, (SELECT m FROM sizes) AS most FROM teacher
+  UNION ALL SELECT 'star', *, row_number() OVER (ORDER BY sha256('20260702:star_core:' || episode_id || ':' || source || ':' || output), sample_index), (SELECT c FROM sizes) FROM star
+  UNION ALL SELECT 'main', *, row_number() OVER (ORDER BY sha256('20260702:main_replay:' || episode_id || ':' || source || ':' || output), sample_index), (SELECT least(r, round_even(m * 0.5, 0)::BIGINT) FROM sizes) FROM replay
+  UNION ALL SELECT 'star', *, row_number() OVER (ORDER BY sha256('20260702:star_replay:' || episode_id || ':' || source || ':' || output), sample_index), (SELECT least(r, round_even(c * 0.5, 0)::BIGINT) FROM sizes) FROM replay)
+SELECT dataset, episode_id, source, sample_index, 'Query: Find ' || lang || ' text' || chr(10) || 'Functions: []' AS input, output FROM p JOIN e ON 'd' || e.doc_id = p.episode_id WHERE i <= most""")
+def training_datasets(t):
+    """Balanced training rows with replay, checked against held-out and validation ids."""
+    rows = o.split_by_hash(t.labels, "doc_id").join(t.documents.select("doc_id", "lang"), "doc_id")
+    call = F.concat(F.lit('{"name": "read_'), "lang", F.lit('", "arguments": {"k": '), (F.col("doc_id") % 7).cast("string"), F.lit("}}"))
+    episodes = rows.select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("episode_id"), "doc_id", "part", "quality",
+        F.concat(F.lit("Find "), "lang", F.lit(" text")).alias("query"), F.lit("[]").alias("functions"), call.alias("call"),
+    )
+    template = "Query: {query}\nFunctions: {function_doc}"
+    train = episodes.filter("part = 'train'")
+    failed = train.filter("quality = 0")
+    star = failed.filter("doc_id % 2 = 0").withColumn("sample_index", F.explode(F.array(F.lit(0), F.lit(1))))
+    ids = lambda part: episodes.filter(F.col("part") == part).select("episode_id")
+    made = datasets.build(
+        datasets.training_rows(failed, template, "teacher_t0"),
+        datasets.training_rows(star, template, "star_pass16"),
+        datasets.training_rows(episodes.filter("quality = 1"), template, "replay_base_success", F.lit("replay")),
+        {"held-out": ids("held_out"), "validation": ids("validation")},
+        datasets.Plan(replay_ratio=0.5, star_ratio=0.8),
+    )
+    both = made.main.withColumn("dataset", F.lit("main")).unionByName(made.star.withColumn("dataset", F.lit("star")))
+    return both.select("dataset", "episode_id", "source", "sample_index", "input", "output")
+
+
+@query(f"""
+WITH {FAILURES}, f AS (SELECT name, min(doc_id) AS first_id FROM r GROUP BY name),
+o AS (SELECT 'read_any' AS name, CASE WHEN (SELECT router FROM r ORDER BY doc_id LIMIT 1) THEN 1 ELSE 2 END AS place, (SELECT min(doc_id) FROM r) AS first_id UNION ALL SELECT name, 0, first_id FROM f),
+c AS (SELECT name, 'fn_' || lpad(row_number() OVER (ORDER BY first_id, place)::VARCHAR, 4, '0') AS code FROM o)
+SELECT episode_id, c.code AS name, CASE WHEN router THEN (SELECT code FROM c WHERE name = 'read_any') ELSE c.code END AS chosen, 'field_0001' AS parameter,
+  CASE WHEN router = (SELECT router FROM r ORDER BY doc_id LIMIT 1) THEN 'err_01' ELSE 'err_02' END AS label FROM r JOIN c ON c.name = r.name""")
+def decouple_failures(t):
+    """Failure records with codes for their names; an error unless the six invariants hold."""
+    made = decouple.decouple(_failures(t).select("episode_id", "failure_class", "record", F.col("doc_id").alias("ord")), ("router", "validator"))
+    get = lambda path: F.get_json_object("record", path)
+    parameter = F.get(F.json_object_keys(get("$.ground_truth_call.accepted_arguments")), F.lit(0))
+    return made.failures.select("episode_id", get("$.ground_truth_call.name").alias("name"), get("$.predicted_call.name").alias("chosen"), parameter.alias("parameter"), get("$.decoupled_failure_label").alias("label"))

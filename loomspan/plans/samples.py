@@ -102,7 +102,7 @@ def regression_sets(t):
 SELECT conv_id, turn, row_number() OVER (ORDER BY role, length(text), conv_id, turn) AS position FROM conversations""")
 def multi_key_sort(t):
     rows = t.conversations.select("conv_id", "turn", "role", F.length("text").alias("size"))
-    return o.ranked(rows, [F.col("role"), F.col("size")], [F.col("conv_id"), F.col("turn")], "position").select("conv_id", "turn", "position")
+    return o.positions(rows, ["role", "size", "conv_id", "turn"]).select("conv_id", "turn", "position")
 
 
 @query("""

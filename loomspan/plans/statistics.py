@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspan.functions.text import stable_name as name_of
+
 from loomspan.operators.summaries import ci95 as interval, r6, ratio, score_summary as scores, upper_median as upper
+from loomspan.operators.generation import partition_of
 from loomspan.plans.registry import query
 from loomspan.plans.samples import arg_k
 
@@ -38,10 +41,11 @@ def value_counts(t):
     return t.events.groupBy(F.coalesce("event_type", F.lit("")).alias("event_type")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT (props->>'k')::INT AS k, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, k LIMIT 20")
+@query("SELECT (props->>'k')::INT AS k, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, min(event_id) LIMIT 20")
 def topk_counts(t):
-    """The 20 commonest values (the report's own limit)."""
-    return t.events.groupBy(arg_k().alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(20)
+    """The 20 commonest values (the report's own limit), ties by first appearance."""
+    counts = t.events.groupBy(arg_k().alias("k")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    return counts.orderBy(F.desc("n"), "first").limit(20).select("k", "n")
 
 
 @query("SELECT event_type, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
@@ -122,9 +126,8 @@ USERS = """p AS (SELECT user_id, CASE WHEN bool_or(event_type = 'click' AND valu
 def partitions(t):
     """sampling_rescuable before scaffold_only before neither."""
     hit = lambda arm: F.bool_or((F.col("event_type") == arm) & (F.col("value") > 100))
-    users = t.events.groupBy("user_id").agg(hit("click").alias("hits"), hit("error").alias("scaffold"))
-    part = F.when(F.col("hits"), "sampling_rescuable").when(F.col("scaffold"), "scaffold_only").otherwise("neither")
-    return users.select("user_id", part.alias("part"))
+    users = t.events.groupBy("user_id").agg(hit("click").cast("int").alias("hits"), hit("error").alias("scaffold"))
+    return users.select("user_id", partition_of(F.col("hits"), F.col("scaffold")).alias("part"))
 
 
 @query(f"WITH {USERS} SELECT user_id, part FROM p")
@@ -198,3 +201,13 @@ SELECT page_id, coalesce(nullif(trim(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_'
 def safe_suffix(t):
     clean = F.btrim(F.regexp_replace("url", r"[^A-Za-z0-9_.-]+", "_"), F.lit("_"))
     return t.pages.select("page_id", F.coalesce(F.nullif(clean, F.lit("")), F.lit("unknown")).alias("suffix"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, 'runs/a.b/' || replace(replace(url, '/', '_'), '.', '_') || '_seed20260703.json' AS path FROM pages)
+SELECT page_id, replace(regexp_extract(path, '([^/]*)\.json$', 1), '_seed20260703', '') AS name FROM p""")
+def stable_name(t):
+    """The name of a result's file without folder, suffix and seed."""
+    flat = F.replace(F.replace("url", F.lit("/"), F.lit("_")), F.lit("."), F.lit("_"))
+    path = F.concat(F.lit("runs/a.b/"), flat, F.lit("_seed20260703.json"))
+    return t.pages.select("page_id", name_of(path).alias("name"))

@@ -1,30 +1,39 @@
 """Incremental collection: each record is judged once, however often it arrives.
 
 A file stream with a watermark-free ``dropDuplicates`` would keep every id for
-ever; ids live in the sink instead, and each micro-batch drops those it holds.
+ever; ids live in the sink instead, dealt into buckets by their hash, and each
+micro-batch reads the ids of its own buckets only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
 def collect_stream(
-    spark: SparkSession, source: str, schema: str, key: str, judge: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str
+    spark: SparkSession, source: str, schema: str, key: str, judge: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, buckets: int = 256
 ) -> StreamingQuery:
-    """Start a query that appends ``judge(rows)`` for keys that ``sink`` lacks; run with availableNow."""
+    """Start a query that appends ``judge(rows)`` for keys that ``sink`` lacks; run with availableNow.
+
+    Of several rows with one key in a batch the least counts. ``judge`` keeps
+    the key; the sink has a folder per ``_bucket`` of it.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def batch(rows: DataFrame, number: int) -> None:
-        fresh = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), F.lit(0)).alias("r")).select(key, "r.*")
+        fresh = rows.groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("r")).select(key, "r.*")
+        met = [r[0] for r in rows.select(bucket.alias("b")).distinct().collect()]  # at most the buckets
         try:
-            fresh = fresh.join(spark.read.parquet(sink).select(key), key, "left_anti")
-        except Exception as error:  # the first batch finds no sink
-            if "PATH_NOT_FOUND" not in str(error):
+            known = spark.read.parquet(sink).filter(F.col("_bucket").isin(met)).select(key)
+            fresh = fresh.join(known, key, "left_anti")
+        except AnalysisException as error:  # the first batch finds no sink
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-        judge(fresh).write.mode("append").parquet(sink)
+        judge(fresh).withColumn("_bucket", bucket).write.mode("append").partitionBy("_bucket").parquet(sink)
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
