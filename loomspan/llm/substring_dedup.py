@@ -183,26 +183,37 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 def _anchor_lists(chunk: Chunk, content: np.ndarray):
     """(known, asked) anchors of each document: those that two contents of the chunk share, and those to be asked about.
 
-    Of a known anchor two contents ask, so that other chunks learn of it; of
-    any other each content asks once.
+    Known ones are bits over the document's sorted distinct anchors. Of a known
+    anchor two contents ask, so that other chunks learn of it; of any other
+    each content asks once.
     """
     anchor, doc, n = chunk.anchors(), chunk.doc, len(content)
-    keep = _changes(anchor, doc) if len(doc) else np.empty(0, bool)
+    if not len(doc):
+        return pa.array([b""] * n, pa.binary()), _lists(doc, anchor, n)
+    keep = _changes(anchor, doc)
     anchor, doc = anchor[keep], doc[keep]
-    rank = np.unique(content, return_inverse=True)[1][doc] if n else doc
+    rank = np.unique(content, return_inverse=True)[1][doc]
     order = np.lexsort((doc, rank, anchor))
     anchor, doc, rank = anchor[order], doc[order], rank[order]
-    keep = _changes(anchor, doc) if len(doc) else keep[:0]
+    keep = _changes(anchor, doc)
     anchor, doc, rank = anchor[keep], doc[keep], rank[keep]
-    if not len(doc):
-        return _lists(doc, anchor, n), _lists(doc, anchor, n)
     run, kind = _changes(anchor), _changes(anchor, rank)
     group = np.cumsum(run) - 1
     count = np.cumsum(kind)
     ordinal = count - count[np.flatnonzero(run)][group]
     shared = np.maximum.reduceat(ordinal, np.flatnonzero(run))[group] > 0
     asks = kind & (ordinal < 2)
-    return _lists(doc[shared], anchor[shared], n), _lists(doc[asks], anchor[asks], n)
+    edges = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
+    bits = shared[np.argsort(doc, kind="stable")]  # by document, and sorted by anchor there
+    known = [np.packbits(bits[a:b]).tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    return pa.array(known, pa.binary()), _lists(doc[asks], anchor[asks], n)
+
+
+def _chosen(anchor: np.ndarray, known: bytes, shared: np.ndarray) -> np.ndarray:
+    """Windows of a document whose anchor is known or shared."""
+    names, back = np.unique(anchor, return_inverse=True)
+    good = np.unpackbits(np.frombuffer(known, np.uint8), count=len(names)).astype(bool)
+    return np.flatnonzero((good | among(names, np.sort(shared)))[back])
 
 
 def _frequent(chunk: Chunk, least: int):
@@ -218,7 +229,7 @@ def _frequent(chunk: Chunk, least: int):
         place = place[often[back]]
 
 
-SURVEYED = "content long, n_words long, sha string, known array<long>, asked array<long>, length int, prefix long, suffixes long"
+SURVEYED = "content long, n_words long, sha string, known binary, asked array<long>, length int, prefix long, suffixes long"
 
 
 def survey(docs: DataFrame, limits: Limits) -> DataFrame:
@@ -307,8 +318,8 @@ def suffixes(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
             anchor, chosen = chunk.anchors(), []
             for i, (a, n) in enumerate(zip(chunk.first.tolist(), chunk.windows.tolist())):
                 if n:
-                    lists = [x.values.to_numpy() for x in (known[i], shared[i]) if x.is_valid]
-                    chosen.append(a + np.flatnonzero(np.isin(anchor[a : a + n], np.concatenate(lists or [anchor[:0]]))))
+                    asked = shared[i].values.to_numpy() if shared[i].is_valid else anchor[:0]
+                    chosen.append(a + _chosen(anchor[a : a + n], known[i].as_py(), asked))
             at = np.concatenate(chosen) if chosen else np.empty(0, np.int64)
             if not len(at):
                 continue
@@ -443,31 +454,33 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     shared = map_batches(pairs.repartition("anchor").sortWithinPartitions("anchor", "content"), _shared, "content long, anchor long")
     shared = shared.groupBy("content").agg(F.collect_list("anchor").alias("shared"))  # at most a document's anchors
     owners = cut(keyed.groupBy("sha").agg(F.min("key").alias("least"), F.first("content").alias("content"), F.first("known").alias("known")))
-    chosen = owners.join(shared, "content", "left").filter((F.size("known") > 0) | F.col("shared").isNotNull())
-    chosen = cut(chosen.select("sha", F.col("least").alias("key"), "content", "known", "shared"))
+    some = F.regexp_like(F.hex("known"), F.lit("[1-9A-F]"))
+    chosen = owners.join(shared, "content", "left").filter(some | F.col("shared").isNotNull())
+    chosen = chosen.select(F.col("least").alias("key"), "content", "known", "shared")
     texts = rows.filter(F.col("key").isNotNull())
     several = keyed.groupBy("key").agg(F.min("content").alias("a"), F.max("content").alias("b")).filter("a <> b")
     if several.isEmpty():
-        joined = texts.join(chosen.withColumn("part", F.lit(0).cast("long")), "key")
+        texts, chosen = texts.withColumn("part", F.lit(0).cast("long")), chosen.withColumn("part", F.lit(0).cast("long"))
     else:  # a key with several contents has its texts told apart by the content
-        joined = _with_content(texts).join(chosen.withColumn("part", F.col("content")), ["key", "content"])
-    candidates = cut(joined.select("key", "part", "sha", "text", "known", "shared"))
+        texts, chosen = _with_content(texts).withColumnRenamed("content", "part"), chosen.withColumnRenamed("content", "part")
+    candidates = texts.join(chosen.select("key", "part", "known", "shared"), ["key", "part"])
     runs = covered_windows(candidates, longer, limits)
 
     def run(batches):
         for batch in batches:
-            removed, sha, kept = [], [], []
-            for value, spans in zip(batch.column(1), batch.column(2)):
+            whole, removed, sha, kept = [], [], [], []
+            for value, spans in zip(batch.column(0), batch.column(1)):
                 words = words_of(value.as_py())
+                whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 at, upto = (spans.values.field(c).to_numpy().astype(np.int64) for c in ("at", "upto"))
                 mask = _mask(len(words), at, upto)
                 left = b" ".join([w for w, gone in zip(words, mask.tolist()) if not gone])
                 removed.append(int(mask.sum()))
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode() if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["sha", "n", "left", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.string()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["sha", "n", "left", "kept"])
 
-    changed = candidates.select("sha", "key", "part", "text").join(runs, ["key", "part"]).select("sha", "text", "runs")
+    changed = texts.join(runs, ["key", "part"]).select("text", "runs")
     changed = map_batches(changed, run, "sha string, n long, left string, kept string", BATCH_ROWS).dropDuplicates(["sha"])  # repeated rows
     fate = owners.select("sha", "least").join(changed, "sha", "left")
     out = meta.select("key", "sha", "n_words").join(fate, "sha", "left")
