@@ -23,8 +23,8 @@ tree is built in groups by prefix:
    suffixes but those of the least key are covered. Neighbouring covered
    windows unite to maximal repeats.
 
-Nodes are told apart by 128 bits of hash (of the prefix and of all 13 words),
-not by the words. Documents with equal word sequences are one content: the
+Nodes are told apart by 128 bits of hash (of the prefix, of the branches below it
+and of all 13 words), not by the words. Documents with equal word sequences are one content: the
 least key stands for it and the others are covered whole if they have a window.
 
 Defined results: null, empty and blank texts have no words; rows with a null
@@ -229,7 +229,7 @@ def _frequent(chunk: Chunk, least: int):
         place = place[often[back]]
 
 
-SURVEYED = "content long, n_words long, sha string, known binary, asked array<long>, length int, prefix long, suffixes long"
+SURVEYED = "content long, n_words long, sha binary, known binary, asked array<long>, length int, prefix long, suffixes long"
 
 
 def survey(docs: DataFrame, limits: Limits) -> DataFrame:
@@ -244,7 +244,7 @@ def survey(docs: DataFrame, limits: Limits) -> DataFrame:
             known, asked = _anchor_lists(chunk, content)
             key = table.column(0).combine_chunks() if table.column(0).num_chunks != 1 else table.column(0).chunk(0)
             n = len(words)
-            own = [key, pa.array(content), pa.array(chunk.sizes, pa.int64()), pa.array([d.hexdigest() for d in digests]), known, asked]
+            own = [key, pa.array(content), pa.array(chunk.sizes, pa.int64()), pa.array([d.digest() for d in digests], pa.binary()), known, asked]
             yield pa.RecordBatch.from_arrays([*own, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
             for size, prefix, counts in _frequent(chunk, limits.frequent):
                 m = len(prefix)
@@ -290,27 +290,44 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array([last[1]]), pa.array([last[0]])], names=["content", "anchor"])
 
 
+#: Bits of a path for the branch at each longer prefix; the rest are of all words.
+TURN = 10
+
+
 def _branches(chunk: Chunk, place: np.ndarray, longer: dict[int, np.ndarray]):
-    """(prefix, turns, path) of suffixes: the prefix of the length that its group needs, 16 bits of each longer one, all words."""
-    five, path = chunk.prefix(PREFIX, place=place), chunk.prefix(DEPTH, 1, place)
-    prefix, turns, open_ = five, np.zeros(len(place), np.int64), among(five, longer[PREFIX])
+    """(prefix, path) of suffixes: the prefix of the length that its group needs, and the turns taken below five words."""
+    five, whole = chunk.prefix(PREFIX, place=place), chunk.prefix(DEPTH, 1, place)
+    prefix, turns, open_ = five, np.zeros(len(place), np.uint64), among(five, longer[PREFIX])
     for size in LONGER:
         own = chunk.prefix(size, place=place)
-        turns = turns << 16 | (own >> 48) & 0xFFFF
+        turns = turns << np.uint64(TURN) | own.view(np.uint64) >> np.uint64(64 - TURN)
         prefix = np.where(open_, own, prefix)
         open_ = open_ & among(own, longer[size])
-    prefix = np.where(open_, mix(five.view(np.uint64) + path.view(np.uint64)).view(np.int64), prefix)
-    return prefix, turns.astype(np.int32), path
+    prefix = np.where(open_, mix(five.view(np.uint64) + whole.view(np.uint64)).view(np.int64), prefix)
+    rest = np.uint64(TURN * len(LONGER))
+    return prefix, (turns << (np.uint64(64) - rest) | whole.view(np.uint64) >> rest).view(np.int64)
+
+
+def run_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A run of windows as one number; a single window's own number is its word."""
+    return (last + 1) << 32 | first
+
+
+def ends_of(span: np.ndarray):
+    """(first, last) windows of spans."""
+    first, last = span & 0xFFFFFFFF, (span >> 32) - 1
+    return first, np.where(last < 0, first, last)
 
 
 def suffixes(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
-    """prefix, turns, path, key, part, at, upto of the suffixes to be judged.
+    """prefix, path, key, part, span of the suffixes to be judged.
 
-    ``upto`` is -1, or the end of a run of windows that the chunk's own tree
-    covers; of such a run no branch is known, and any task may hold it.
+    ``span`` is the suffix's word, or ``run_of`` the first and the last one of
+    a run of windows that the chunk's own tree covers; such a run has no branch
+    and any task may hold it.
     """
     kind = candidates.schema["key"].dataType.simpleString()
-    schema = f"prefix long, turns int, path long, key {kind}, part long, at int, upto int"
+    schema = f"prefix long, path long, key {kind}, part long, span long"
 
     def run(batches):
         for table, _, chunk in chunks(batches, limits):
@@ -324,7 +341,7 @@ def suffixes(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
             if not len(at):
                 continue
             doc, word = chunk.doc[at], chunk.at[at]
-            prefix, turns, path = _branches(chunk, chunk.place[at], longer.value)
+            prefix, path = _branches(chunk, chunk.place[at], longer.value)
             names = np.unique(key.to_numpy(zero_copy_only=False), return_inverse=True)[1][doc]
             order = np.lexsort((names, path, prefix))
             new = _changes(prefix[order], path[order])
@@ -332,22 +349,18 @@ def suffixes(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
             late = np.zeros(len(at), bool)
             late[order[names[order] > least]] = True
 
-            def rows(which, upto, known_path=True):
-                owner, zero = pa.array(doc[which]), np.zeros(len(which), np.int64)
-                spread = mix(doc[which].astype(np.uint64) + np.uint64(1)).view(np.int64)
-                arrays = [prefix[which], turns[which], path[which]] if known_path else [spread, zero.astype(np.int32), zero]
-                return pa.RecordBatch.from_arrays(
-                    [*map(pa.array, arrays), key.take(owner), part.take(owner), pa.array(word[which].astype(np.int32)), pa.array(upto.astype(np.int32))],
-                    names=["prefix", "turns", "path", "key", "part", "at", "upto"],
-                )
-
-            kept = np.flatnonzero(~late)
-            yield rows(kept, np.full(len(kept), -1))
-            gone = np.flatnonzero(late)
+            def rows(which, span, prefix, path):
+                owner = pa.array(doc[which])
+                return pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(path), key.take(owner), part.take(owner), pa.array(span)], names=["prefix", "path", "key", "part", "span"])
+
+            kept, gone = np.flatnonzero(~late), np.flatnonzero(late)
+            yield rows(kept, word[kept], prefix[kept], path[kept])
             if len(gone):
                 starts = _changes(doc[gone], word[gone] - np.arange(len(gone)))
                 ends = np.concatenate([np.flatnonzero(starts)[1:], [len(gone)]]) - 1
-                yield rows(gone[starts], word[gone[ends]], False)
+                some = gone[starts]
+                spread = mix(doc[some].astype(np.uint64) + np.uint64(1)).view(np.int64)
+                yield rows(some, run_of(word[some], word[gone[ends]]), spread, np.zeros(len(some), np.int64))
 
     return map_batches(candidates.select("key", "text", "part", "known", "shared"), run, schema, BATCH_ROWS)
 
@@ -359,19 +372,16 @@ class Subtree:
     ``parents[level]`` their parents' numbers in the level above.
     """
 
-    def __init__(self, prefix, turns, path):
-        keys, self.starts, self.parents = [prefix], [], []
+    def __init__(self, prefix, path):
+        self.starts, self.parents, self.size = [], [], len(prefix)
+        bits = path.view(np.uint64)
         for level in range(len(LONGER) + 2):
-            if 0 < level <= len(LONGER):
-                keys.append(turns >> 16 * (len(LONGER) - level))
-            elif level:
-                keys.append(path)
-            new = _changes(*keys)
+            branch = bits if level > len(LONGER) else bits >> np.uint64(64 - TURN * level) if level else np.zeros(len(bits), np.uint64)
+            new = _changes(prefix, branch)
             if self.starts:
-                above = np.cumsum(self._marks(self.starts[-1], len(prefix))) - 1
+                above = np.cumsum(self._marks(self.starts[-1], self.size)) - 1
                 self.parents.append(above[np.flatnonzero(new)])
             self.starts.append(np.flatnonzero(new))
-        self.size = len(prefix)
 
     @staticmethod
     def _marks(starts, n) -> np.ndarray:
@@ -389,23 +399,21 @@ class Subtree:
 
 
 def covered(batches, rows: int):
-    """(key, part, at, upto) of the covered windows in a stream sorted by (prefix, turns, path, key).
+    """(key, part, span) of the covered windows in a stream sorted by (prefix, path, key).
 
-    Subtrees are built in groups of about ``rows`` rows that end with a
-    prefix; a larger one is cut at a longer prefix. A single node with more
-    rows goes on with its least key.
+    Subtrees are built in groups of about ``rows`` rows that end with a prefix;
+    a larger one is cut at a longer prefix. A single node with more rows goes on
+    with its least key.
     """
-    names = ["key", "part", "at", "upto"]
-
-    def judge(columns):
-        prefix, turns, path, key, part, at, upto = columns
-        done = upto >= 0
-        late = done.copy()
-        if not done.all():
-            open_ = np.flatnonzero(~done)
-            late[open_[Subtree(prefix[open_], turns[open_], path[open_]).covered(key[open_])]] = True
-        upto = np.where(done, upto, at)
-        return pa.RecordBatch.from_arrays([pa.array(c[late]) for c in (key, part, at, upto)], names=names)
+    names = ["key", "part", "span"]
+    branches = [TURN * level for level in range(len(LONGER) + 1)] + [64]
+
+    def judge(prefix, path, key, part, span):
+        late = span >> 32 > 0
+        if not late.all():
+            open_ = np.flatnonzero(~late)
+            late[open_[Subtree(prefix[open_], path[open_]).covered(key[open_])]] = True
+        return pa.RecordBatch.from_arrays([pa.array(c[late]) for c in (key, part, span)], names=names)
 
     held, n = [], 0
     for batch in batches:
@@ -414,29 +422,31 @@ def covered(batches, rows: int):
         if n < rows:
             continue
         columns = [np.concatenate(c) for c in zip(*held)]
-        for depth in range(1, 4):
-            ends = np.flatnonzero(_changes(*columns[:depth]))
+        for bits in branches:
+            branch = columns[1].view(np.uint64) >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64)
+            ends = np.flatnonzero(_changes(columns[0], branch))
             if ends[-1]:
-                yield judge([c[: ends[-1]] for c in columns])
+                yield judge(*(c[: ends[-1]] for c in columns))
                 held = [[c[ends[-1] :] for c in columns]]
                 break
         else:
-            yield judge(columns)
+            yield judge(*columns)
             held = [[c[:1] for c in columns]]
         n = len(held[0][0])
     if n:
-        yield judge([np.concatenate(c) for c in zip(*held)])
+        yield judge(*(np.concatenate(c) for c in zip(*held)))
 
 
 def covered_windows(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
-    """(key, part, runs) of the windows that also start under a smaller key."""
+    """(key, part, spans) of the windows that also start under a smaller key."""
     kind = candidates.schema["key"].dataType.simpleString()
-    dealt = suffixes(candidates, longer, limits).repartition("prefix").sortWithinPartitions("prefix", "turns", "path", "key")
-    found = map_batches(dealt, lambda batches: covered(batches, limits.tree_rows), f"key {kind}, part long, at int, upto int")
-    return found.groupBy("key", "part").agg(F.collect_list(F.struct("at", "upto")).alias("runs"))  # at most a document's windows
+    dealt = suffixes(candidates, longer, limits).repartition("prefix").sortWithinPartitions("prefix", "path", "key")
+    found = map_batches(dealt, lambda batches: covered(batches, limits.tree_rows), f"key {kind}, part long, span long")
+    return found.groupBy("key", "part").agg(F.collect_list("span").alias("spans"))  # at most a document's windows
 
 
-def _mask(n: int, at: np.ndarray, upto: np.ndarray) -> np.ndarray:
+def _mask(n: int, spans: np.ndarray) -> np.ndarray:
+    at, upto = ends_of(spans)
     step = np.zeros(n + DEPTH + 1, np.int64)
     np.add.at(step, at, 1)
     np.add.at(step, upto + DEPTH, -1)
@@ -464,24 +474,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     else:  # a key with several contents has its texts told apart by the content
         texts, chosen = _with_content(texts).withColumnRenamed("content", "part"), chosen.withColumnRenamed("content", "part")
     candidates = texts.join(chosen.select("key", "part", "known", "shared"), ["key", "part"])
-    runs = covered_windows(candidates, longer, limits)
+    spans = covered_windows(candidates, longer, limits)
 
     def run(batches):
         for batch in batches:
             whole, removed, sha, kept = [], [], [], []
             for value, spans in zip(batch.column(0), batch.column(1)):
                 words = words_of(value.as_py())
-                whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                at, upto = (spans.values.field(c).to_numpy().astype(np.int64) for c in ("at", "upto"))
-                mask = _mask(len(words), at, upto)
+                whole.append(hashlib.sha256(b" ".join(words)).digest())
+                mask = _mask(len(words), spans.values.to_numpy())
                 left = b" ".join([w for w, gone in zip(words, mask.tolist()) if not gone])
                 removed.append(int(mask.sum()))
-                sha.append(hashlib.sha256(left).hexdigest())
+                sha.append(hashlib.sha256(left).digest())
                 kept.append(left.decode() if with_text else None)
-            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.string()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["sha", "n", "left", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.binary()), pa.array(removed, pa.int64()), pa.array(sha, pa.binary()), pa.array(kept, pa.string())], names=["sha", "n", "left", "kept"])
 
-    changed = texts.join(runs, ["key", "part"]).select("text", "runs")
-    changed = map_batches(changed, run, "sha string, n long, left string, kept string", BATCH_ROWS).dropDuplicates(["sha"])  # repeated rows
+    changed = texts.join(spans, ["key", "part"]).select("text", "spans")
+    changed = map_batches(changed, run, "sha binary, n long, left binary, kept string", BATCH_ROWS).dropDuplicates(["sha"])  # repeated rows
     fate = owners.select("sha", "least").join(changed, "sha", "left")
     out = meta.select("key", "sha", "n_words").join(fate, "sha", "left")
     own = F.coalesce(F.col("key") == F.col("least"), F.lit(False))
@@ -490,7 +499,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
         F.col("key").alias(key),
         "n_words",
         F.when(copy, F.col("n_words")).when(own, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).when(own, F.coalesce("left", "sha")).otherwise(F.col("sha")).alias("kept_sha256"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex(F.when(own, F.coalesce("left", "sha")).otherwise(F.col("sha"))))).alias("kept_sha256"),
         *([F.when(copy, F.lit("")).when(own, F.col("kept")).alias("kept_text")] if with_text else []),
     )
 

@@ -229,8 +229,9 @@ def test_prefixes_are_lengthened(spark):
 
 def test_subtrees():
     """Nodes of a subtree level by level: a prefix, its branches, and a deep node with two keys."""
-    prefix, turns, path = np.array([1, 1, 1, 1, 2]), np.array([5 << 16 | 1, 5 << 16 | 1, 5 << 16 | 2, 6 << 16, 0], np.int32), np.array([9, 9, 3, 4, 4])
-    tree = substring_dedup.Subtree(prefix, turns, path)
+    turn = lambda a, b, rest: a << 54 | b << 44 | rest
+    prefix, path = np.array([1, 1, 1, 1, 2]), np.array([turn(5, 1, 9), turn(5, 1, 9), turn(5, 2, 3), turn(6, 0, 4), turn(6, 0, 4)])
+    tree = substring_dedup.Subtree(prefix, path)
     assert [s.tolist() for s in tree.starts] == [[0, 4], [0, 3, 4], [0, 2, 3, 4], [0, 2, 3, 4]]
     assert [p.tolist() for p in tree.parents] == [[0, 0, 1], [0, 0, 1, 2], [0, 1, 2, 3]]
     assert tree.covered(np.array([7, 8, 1, 1, 0])).tolist() == [False, True, False, False, False]
@@ -238,8 +239,8 @@ def test_subtrees():
 
 def test_repeats_come_through_subtrees(monkeypatch):
     """What a task judges is what its subtrees say."""
-    columns = [[1, 1], [0, 0], [7, 7], [0, 1], [0, 0], [0, 0], [-1, -1]]
-    names = ["prefix", "turns", "path", "key", "part", "at", "upto"]
+    columns = [[1, 1], [7, 7], [0, 1], [0, 0], [0, 0]]
+    names = ["prefix", "path", "key", "part", "span"]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
     (out,) = substring_dedup.covered([batch], 10)
     assert out.column(0).to_pylist() == [1]
