@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loomspan.shared import cut, fresh_folder, shared_dir  # noqa: F401  the operators take them from here
 from loomspan.shipping import ship
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,37 +35,6 @@ def map_batches(df: DataFrame, run: Callable, schema, rows: int | None = None) -
     return df.mapInArrow(task, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset and the session is local (tests) a temporary
-    folder takes its place; on a cluster that would lose data, so it fails.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomspan-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def fresh_folder(spark: SparkSession, kind: str) -> str:
-    root = shared_dir(spark)
-    if not re.match(r"\w+:", root):
-        root = f"file://{root}"
-    return f"{root}/loomspan-{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def sized(df: DataFrame, most: int) -> DataFrame:
     """``df`` (cheap to count: read or cut) to be broadcast if it has at most ``most`` rows, else as it is."""
     return F.broadcast(df) if df.count() <= most else df
