@@ -42,6 +42,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches
@@ -59,7 +60,7 @@ class Limits:
     chunk_words: int = 1_000_000
     tree_rows: int = 300_000
     #: Suffixes, and share of all suffixes, above which a prefix is lengthened; the list of such prefixes has 1 / share entries a length at most.
-    group_rows: int = 100_000
+    group_rows: int = 10_000
     group_share: float = 1e-5
     #: Suffixes in a chunk from which a task reports a prefix.
     frequent: int = 24
@@ -330,6 +331,7 @@ def suffixes(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
     schema = f"prefix long, path long, key {kind}, part long, span long"
 
     def run(batches):
+        task = TaskContext.get().partitionId()
         for table, _, chunk in chunks(batches, limits):
             key, part, known, shared = (table.column(c).combine_chunks() for c in ("key", "part", "known", "shared"))
             anchor, chosen = chunk.anchors(), []
@@ -359,7 +361,7 @@ def suffixes(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
                 starts = _changes(doc[gone], word[gone] - np.arange(len(gone)))
                 ends = np.concatenate([np.flatnonzero(starts)[1:], [len(gone)]]) - 1
                 some = gone[starts]
-                spread = mix(doc[some].astype(np.uint64) + np.uint64(1)).view(np.int64)
+                spread = mix(doc[some].astype(np.uint64) + np.uint64(task << 32 | 1)).view(np.int64)
                 yield rows(some, run_of(word[some], word[gone[ends]]), spread, np.zeros(len(some), np.int64))
 
     return map_batches(candidates.select("key", "text", "part", "known", "shared"), run, schema, BATCH_ROWS)
