@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -19,6 +20,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 BATCH_ROWS = 512
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as far as the allocators can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def map_batches(df: DataFrame, run: Callable, schema, rows: int | None = None) -> DataFrame:
     """``mapInArrow`` with this package at hand; ``rows`` bounds the batches that ``run`` sees."""
     ship(df.sparkSession)
@@ -30,7 +40,7 @@ def map_batches(df: DataFrame, run: Callable, schema, rows: int | None = None) -
 
     def task(batches):
         yield from run(sliced(batches) if rows else batches)
-        pa.default_memory_pool().release_unused()  # the worker lives on, other tasks need the memory
+        give_back()  # the worker lives on, other tasks need the memory
 
     return df.mapInArrow(task, schema)
 
