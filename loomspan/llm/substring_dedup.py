@@ -57,8 +57,8 @@ class Limits:
     """What decides how work is dealt, never what is found."""
 
     #: Words of a chunk that a task works on at once; rows of the subtrees it holds at once.
-    chunk_words: int = 1_000_000
-    tree_rows: int = 300_000
+    chunk_words: int = 400_000
+    tree_rows: int = 200_000
     #: Suffixes, and share of all suffixes, above which a prefix is lengthened; the list of such prefixes has 1 / share entries a length at most.
     group_rows: int = 10_000
     group_share: float = 1e-5
@@ -309,23 +309,36 @@ def _branches(chunk: Chunk, place: np.ndarray, longer: dict[int, np.ndarray]):
     return prefix, (turns << (np.uint64(64) - rest) | whole.view(np.uint64) >> rest).view(np.int64)
 
 
+#: Mark of a window that its document repeats.
+REPEATED = 1 << 31
+
+
 def run_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A run of windows as one number; a single window's own number is its word."""
     return (last + 1) << 32 | first
 
 
-def ends_of(span: np.ndarray):
-    """(first, last) windows of spans."""
-    first, last = span & 0xFFFFFFFF, (span >> 32) - 1
-    return first, np.where(last < 0, first, last)
+def windows_of(spans: np.ndarray, words: list[bytes]):
+    """(first, last) of the runs of covered windows, with all places of the repeated ones."""
+    first, last = spans & (REPEATED - 1), (spans >> 32) - 1
+    last = np.where(last < 0, first, last)
+    marked = first[spans & REPEATED > 0]
+    if len(marked):
+        chunk = Chunk()
+        chunk.add(words)
+        names = chunk.close().prefix(PREFIX).view(np.uint64) + mix(chunk.prefix(DEPTH, 1).view(np.uint64))
+        others = np.flatnonzero(np.isin(names, names[marked]))
+        first, last = np.append(first, others), np.append(last, others)
+    return first, last
 
 
 def suffixes(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
     """prefix, path, key, part, span of the suffixes to be judged.
 
-    ``span`` is the suffix's word, or ``run_of`` the first and the last one of
-    a run of windows that the chunk's own tree covers; such a run has no branch
-    and any task may hold it.
+    ``span`` is the suffix's word, with a mark if the document repeats the
+    window (then its other places share the fate of the first), or ``run_of``
+    the first and the last one of a run of windows that the chunk's own tree
+    covers; such a run has no branch and any task may hold it.
     """
     kind = candidates.schema["key"].dataType.simpleString()
     schema = f"prefix long, path long, key {kind}, part long, span long"
@@ -350,13 +363,16 @@ def suffixes(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
             least = names[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             late = np.zeros(len(at), bool)
             late[order[names[order] > least]] = True
+            again = np.append(~_changes(prefix[order], path[order], doc[order]), False)
+            repeated, marked = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            repeated[order], marked[order] = again[:-1], again[1:]
 
             def rows(which, span, prefix, path):
                 owner = pa.array(doc[which])
                 return pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(path), key.take(owner), part.take(owner), pa.array(span)], names=["prefix", "path", "key", "part", "span"])
 
-            kept, gone = np.flatnonzero(~late), np.flatnonzero(late)
-            yield rows(kept, word[kept], prefix[kept], path[kept])
+            kept, gone = np.flatnonzero(~late & ~repeated), np.flatnonzero(late)
+            yield rows(kept, word[kept] | np.where(marked[kept], REPEATED, 0), prefix[kept], path[kept])
             if len(gone):
                 starts = _changes(doc[gone], word[gone] - np.arange(len(gone)))
                 ends = np.concatenate([np.flatnonzero(starts)[1:], [len(gone)]]) - 1
@@ -447,8 +463,8 @@ def covered_windows(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
     return found.groupBy("key", "part").agg(F.collect_list("span").alias("spans"))  # at most a document's windows
 
 
-def _mask(n: int, spans: np.ndarray) -> np.ndarray:
-    at, upto = ends_of(spans)
+def _mask(words: list[bytes], spans: np.ndarray) -> np.ndarray:
+    n, (at, upto) = len(words), windows_of(spans, words)
     step = np.zeros(n + DEPTH + 1, np.int64)
     np.add.at(step, at, 1)
     np.add.at(step, upto + DEPTH, -1)
@@ -484,7 +500,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
             for value, spans in zip(batch.column(0), batch.column(1)):
                 words = words_of(value.as_py())
                 whole.append(hashlib.sha256(b" ".join(words)).digest())
-                mask = _mask(len(words), spans.values.to_numpy())
+                mask = _mask(words, spans.values.to_numpy())
                 left = b" ".join([w for w, gone in zip(words, mask.tolist()) if not gone])
                 removed.append(int(mask.sum()))
                 sha.append(hashlib.sha256(left).digest())
