@@ -125,7 +125,8 @@ def load_inputs(t):
     rows = t.labels.select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("episode_id"), F.lit("multiple").alias("split"), (F.col("quality") == 1).alias("call_success"))
     failures = records.failures_of(rows, "multiple", 20260630)
     seeds = t.spark.createDataFrame([(20260629, 2), (20260630, 3)], "seed long, budget int")
-    return failures.select("episode_id", "part").crossJoin(F.broadcast(records.seed_row(seeds, 20260630).select("budget")))  # one row
+    budget = records.seed_row(seeds, 20260630).first()["budget"]
+    return failures.select("episode_id", "part", F.lit(budget).alias("budget"))
 
 
 @query("SELECT doc_id, quality, toxic FROM labels")

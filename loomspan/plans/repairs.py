@@ -29,11 +29,12 @@ def _function(name, reads, note):
     )
 
 
-def _failures(t):
-    """episode_id, failure_class, query, functions (JSON) and record (JSON)."""
+def _failures(t, kinds: int = 1):
+    """episode_id, failure_class, query, functions (JSON) and record (JSON); each language has as many functions as ``kinds``."""
     rows = t.labels.filter("quality = 0").join(t.documents.select("doc_id", "lang"), "doc_id")
     k, router = F.col("doc_id") % 7, F.col("doc_id") % 3 == 0
-    name, note = F.concat(F.lit("read_"), "lang"), F.when(F.col("doc_id") % 2 == 1, "date of the text").otherwise("number of the text")
+    name = F.concat(F.lit("read_"), "lang", *([F.lit("_"), (F.col("doc_id") % kinds).cast("string")] if kinds > 1 else []))
+    note = F.when(F.col("doc_id") % 2 == 1, "date of the text").otherwise("number of the text")
     query_of = F.concat(F.lit("Find "), "lang", F.lit(" text number "), F.col("doc_id").cast("string"))
     functions = F.concat(F.lit("["), _function(F.lit("read_any"), F.lit("any language"), note), F.lit(", "), _function(name, F.col("lang"), note), F.lit("]"))
     label = F.when(router, "router_fail").otherwise("validator_fail")
@@ -244,7 +245,7 @@ def stub_model():
 @query()
 def evolution_run(t):
     """Pass rates of every method and seed with a deterministic stub model; tests compare it with one plain loop."""
-    rows = evolution.evolve(_failures(t), [20260630, 20260701], stub_model).seed_rows
+    rows = evolution.evolve(_failures(t, 60), [20260630, 20260701], stub_model).seed_rows
     return rows.select("seed", "method", "overall_n", "overall_pass", r6(F.col("overall_pass_rate")).alias("overall_pass_rate"), "router_n", "router_pass", "validator_n", "validator_pass")
 
 
