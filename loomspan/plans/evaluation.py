@@ -84,17 +84,26 @@ def strata_rates(t):
     return out.fillna("all", ["lang", "part"])
 
 
-def _drift(rows, group):
-    """Type and subtype of the drift between a group's consecutive days.
+def _calls(rows, group):
+    """A call per group and day: the commonest event is its name, the counts of heavy events are its arguments.
 
-    A day's call has the commonest event as its name and the counts of heavy
-    events as arguments; a day of 7 events or a multiple gave no call.
+    A day of 7 events or a multiple gave no call that could be read.
     """
     kinds = rows.groupBy(*group, F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 60).alias("heavy"))
     entry = F.when(F.col("heavy") > 0, F.struct("event_type", "heavy"))
-    days = kinds.groupBy(*group, "day").agg(F.min_by("event_type", F.struct(-F.col("n"), "event_type")).alias("name"), F.map_from_entries(F.collect_list(entry)).alias("args"), (F.sum("n") % 7 != 0).alias("parsed"))
+    name = F.min_by("event_type", F.struct(-F.col("n"), "event_type"))
+    return kinds.groupBy(*group, "day").agg(name.alias("name"), F.map_from_entries(F.collect_list(entry)).alias("args"), (F.sum("n") % 7 != 0).alias("parsed"))
+
+
+def _consecutive(rows, group):
+    """Calls beside those of the day before."""
     order = W.partitionBy(*group).orderBy("day")
-    both = days.withColumns({"old_name": F.lag("name").over(order), "old": F.lag("args").over(order)}).filter("old is not null")
+    return _calls(rows, group).withColumns({"old_name": F.lag("name").over(order), "old": F.lag("args").over(order)}).filter("old is not null")
+
+
+def _drift(rows, group):
+    """Type and subtype of the drift between a group's consecutive days."""
+    both = _consecutive(rows, group)
     kind = drift_type(F.col("parsed"), F.col("old_name"), F.col("name"), F.col("old"), F.col("args"))
     sub = F.when(kind == "parameter_drift", subtype(F.col("old"), F.col("args"))).otherwise("")
     return both.select(*group, "day", kind.alias("drift"), sub.alias("subtype"))
@@ -119,6 +128,25 @@ def drift_class(t):
     return _drift(t.events, ["user_id"]).groupBy("drift", "subtype").agg(F.count("*").alias("n"))
 
 
+@query(f"""
+WITH {_ALL}, n AS (
+  SELECT name, param, count(*) AS n_dropped FROM (
+    SELECT name, unnest(list_filter(list_transform(old, lambda x: x.k), lambda k: NOT list_contains(list_transform(args, lambda y: y.k), k))) AS param
+    FROM c_s WHERE parsed AND name = old_name) GROUP BY 1, 2)
+SELECT n.name, n.param, any_value(n_dropped) AS n_dropped, count(*) AS n_rows, count(*) FILTER (list_contains(list_transform(args, lambda y: y.k), n.param)) AS n_present
+FROM n JOIN c_d ON c_d.name = n.name GROUP BY n.name, n.param""")
+def dropped_support(t):
+    """Dropped (function, parameter) pairs, the rows of the same function, and those that have the parameter."""
+    both = _consecutive(t.events, ["user_id"]).filter("parsed and name = old_name")
+    dropped = both.select("name", F.explode(F.array_except(F.map_keys("old"), F.map_keys("args"))).alias("param"))
+    dropped = dropped.groupBy("name", "param").agg(F.count("*").alias("n_dropped"))
+    core = _calls(t.events, ["user_id"])
+    rows = core.groupBy("name").agg(F.count("*").alias("n_rows"))
+    present = core.select("name", F.explode(F.map_keys("args")).alias("param")).groupBy("name", "param").agg(F.count("*").alias("n_present"))
+    joined = dropped.join(rows, "name").join(present, ["name", "param"], "left")
+    return joined.withColumn("n_present", F.coalesce("n_present", F.lit(0)))
+
+
 _LEFT, _RIGHT = _drift_sql("c", "event_id % 2 = 0"), _drift_sql("v", "event_id % 2 = 1")
 
 
