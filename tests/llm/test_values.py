@@ -2,8 +2,8 @@
 
 import hashlib
 import itertools
-import json
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -107,54 +107,69 @@ def shingles(text, size=5):
     return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def test_pipeline_stage_by_stage(spark, folders):
-    """Each stage on what the one before kept, against what its rule says in plain Python."""
-    folder = folders[0]
-    docs, stages = spark.read.parquet(f"{folder}/documents.parquet"), dict(corpus_pipeline.STAGES)
-    texts = lambda df: sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in df.collect())
+def plain_quality(rows):
+    """The threshold table in plain Python."""
 
-    kept = stages["quality_rules"](spark, docs, folder)
-    good = {(r.doc_id, r.text) for r in quality.judge(docs).filter("kept").collect()}
-    assert {(r.doc_id, r.text) for r in kept.collect()} == good and 3 <= len(good) < docs.count()
+    def good(text):
+        words = WORD.findall(text or "")
+        tri = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        often = {w for w, n in Counter(tri).items() if n > 1}
+        covered = {i + k for i, t in enumerate(tri) if t in often for k in range(3)}
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        chars, symbols = "".join(words), sum(c in "#*$%&|<>" for c in text or "")
+        if len(words) < 50 or 2 * len(covered) > len(words):
+            return False
+        ratios = 1.5 <= len(chars) / len(words) <= 15 and symbols <= 0.1 * len(words) and sum(c.isalpha() for c in chars) >= 0.5 * len(chars)
+        return ratios and len(set(words) & set(quality.STOP_WORDS)) >= 2 and len(lines) - len(set(lines)) <= 0.4 * len(lines)
 
-    # near-duplicates are judged on all documents, so that there are groups
-    alone = stages["simhash_near_dedup"](spark, docs, folder)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    return [(k, t) for k, t in rows if good(t)]
+
+
+def plain_near(rows):
+    """One row of each group of texts with 0.8 of their shingles in common: that of the least key; rows without a key stay."""
     keyed = [r for r in dict.fromkeys(rows) if r[0] is not None]
     sets, group = [shingles(t) for _, t in keyed], list(range(len(keyed)))
-    same = lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     for i, j in itertools.combinations(range(len(keyed)), 2):
-        if same(i, j):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             group = [group[i] if g == group[j] else g for g in group]
     first = {g: min(k for (k, _), h in zip(keyed, group) if h == g) for g in group}
-    want = [(k, t or "") for (k, t), g in zip(keyed, group) if first[g] == k] + [(-1, t or "") for k, t in rows if k is None]
-    assert texts(alone) == sorted(want) and len(want) < len(rows)
+    return [r for r, g in zip(keyed, group) if first[g] == r[0]] + [r for r in rows if r[0] is None]
+
 
-    clean = stages["benchmark_decontamination"](spark, docs, folder)
+def plain_decontamination(rows, items):
+    """Rows without 0.8 of an item's shingles; rows of one key (none is one) share their fate."""
     plain = lambda t: "".join(c.lower() if c.isalnum() else " " for c in t or "").split()
-    items = [w for (t,) in spark.read.parquet(f"{folder}/benchmark.parquet").select("text").collect() if (w := plain(t))]
-
-    def leaks(words):
-        for item in items:
-            size = min(5, len(item))
-            own = {tuple(item[i : i + size]) for i in range(len(item) - size + 1)}
-            if len(own & {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}) >= 0.8 * len(own):
-                return True
-        return False
-
-    # a null key stands for all rows without one
-    no_key = any(leaks(plain(t)) for k, t in rows if k is None)
-    want = [(k if k is not None else -1, t or "") for k, t in rows if not (no_key if k is None else any(leaks(plain(x)) for q, x in rows if q == k))]
-    assert texts(clean) == sorted(want) and len(want) < len(rows)
-
-    masked = stages["pii"](spark, docs, folder)
-    want = [(k if k is not None else -1, pii.mask(t, brute_pii(t)) if t else "") for k, t in rows]
-    assert texts(masked) == sorted(want)
-
-    coded = stages["bpe"](spark, docs, folder)
+    cut = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    wanted = [(min(5, len(w)), cut(w, min(5, len(w)))) for w in map(plain, items) if w]
+    gone = {k for k, t in rows if any(len(own & cut(plain(t), n)) >= 0.8 * len(own) for n, own in wanted)}
+    return [(k, t) for k, t in rows if k not in gone]
+
+
+def test_pipeline_stages(spark, folders):
+    """Each stage on all documents, and the whole run, against what the rules say in plain Python."""
+    folder = folders[0]
+    docs, stages = spark.read.parquet(f"{folder}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    items = [t for (t,) in spark.read.parquet(f"{folder}/benchmark.parquet").select("text").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    key = lambda k: -1 if k is None else k
+    shown = lambda some: sorted((key(k), t or "") for k, t in some)
+    plain = {
+        "quality_rules": plain_quality,
+        "simhash_near_dedup": plain_near,
+        "benchmark_decontamination": lambda some: plain_decontamination(some, items),
+        "pii": lambda some: [(k, pii.mask(t, brute_pii(t)) if t else t) for k, t in some],
+    }
+    left = rows
+    for name, rule in plain.items():
+        want = rule(rows)
+        assert shown((r.doc_id, r.text) for r in stages[name](spark, docs, folder).collect()) == shown(want), name
+        assert name == "pii" or 0 < len(want) < len(rows)
+        left = rule(left)
     library = Tokenizer.from_file(bpe.byte_bpe_path())
-    got = sorted((r.doc_id if r.doc_id is not None else -1, json.dumps(np.frombuffer(r.token_ids, "<u4").tolist())) for r in coded.collect())
-    assert got == sorted((k if k is not None else -1, json.dumps(library.encode(t or "", add_special_tokens=False).ids)) for k, t in rows)
+    coded = lambda some: sorted((key(k), library.encode(t or "", add_special_tokens=False).ids) for k, t in some)
+    ids = lambda df: sorted((key(r.doc_id), np.frombuffer(r.token_ids, "<u4").tolist()) for r in df.collect())
+    assert ids(stages["bpe"](spark, docs, folder)) == coded(rows)
+    assert 0 < len(left) < len(plain_quality(rows)) and ids(corpus_pipeline.run(spark, folder)) == coded(left)
 
 
 def test_empty_tables(spark, folders):
