@@ -19,7 +19,7 @@ STAGES = [
     ("bpe", bpe.stage),
 ]
 
-#: Near-duplicate groups, bootstrapped extraction and BPE are not SQL; tests/llm has brute-force versions of single operators and of near-duplicate groups, not of all five stages.
+#: Near-duplicate groups, bootstrapped extraction and BPE are not SQL; tests/llm/test_values.py holds each stage and the whole run against plain Python.
 ORACLE_SQL = None
 
 
