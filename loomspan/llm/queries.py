@@ -1,6 +1,6 @@
 """Registry of this subpackage's queries and of their DuckDB SQL."""
 
-from loomspan.llm import bpe, chat, decontam, hilbert, pii, quality, secret_scan, simhash, substring_dedup, token_files
+from loomspan.llm import bpe, chat, decontam, divergence, hilbert, periodic, pii, quality, secret_scan, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_preference_format": chat.op8_preference_format,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_token_files": token_files.op10_token_files,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 SQL = {
@@ -21,4 +24,5 @@ SQL = {
     "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op8_preference_format": chat.OP8_SQL,
     "op9_decontamination": decontam.OP9_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
