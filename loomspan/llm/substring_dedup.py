@@ -23,15 +23,18 @@ tree is built in groups by prefix:
    suffixes but those of the least key are covered. Neighbouring covered
    windows unite to maximal repeats.
 
-Nodes are told apart by 128 bits of hash (of the prefix, of the branches below it
-and of all 13 words), not by the words. Documents with equal word sequences are one content: the
+Nodes are told apart by 128 bits of hash, not by the words: 76 bits are of all
+13 words, so that windows of a large group, which share a prefix, are told
+apart by them; the others are of the prefix and of the branches below it. Of
+10^8 different windows with one prefix, two agree by chance with probability
+7e-8; of 10^13 windows of any kind, with 1e-13. Documents with equal word sequences are one content: the
 least key stands for it and the others are covered whole if they have a window.
 
 Defined results: null, empty and blank texts have no words; rows with a null
 key neither cover nor are covered; repeated rows are equal, so neither covers
 the other; a key with several texts has each of them judged against smaller
 keys; keys may be of any type that has an order; an empty table gives no rows;
-extra columns do not matter.
+extra columns do not matter; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -291,22 +294,34 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array([last[1]]), pa.array([last[0]])], names=["content", "anchor"])
 
 
-#: Bits of a path for the branch at each longer prefix; the rest are of all words.
-TURN = 10
+#: Bits of a head for its group's prefix, and for the turn at each longer prefix; the rest are of all words.
+GROUP, TURN = 32, 10
+REST = 64 - GROUP - TURN * len(LONGER)
 
 
 def _branches(chunk: Chunk, place: np.ndarray, longer: dict[int, np.ndarray]):
-    """(prefix, path) of suffixes: the prefix of the length that its group needs, and the turns taken below five words."""
-    five, whole = chunk.prefix(PREFIX, place=place), chunk.prefix(DEPTH, 1, place)
+    """(head, tail) of suffixes.
+
+    A head is the prefix of the length that its group needs, the turns taken
+    below five words, and some bits of a hash of all words; a tail is 64 bits
+    of another hash of all words. So windows that share whatever prefix are
+    told apart by ``REST`` + 64 bits of all that they hold.
+    """
+    five, whole, tail = chunk.prefix(PREFIX, place=place), chunk.prefix(DEPTH, 0, place), chunk.prefix(DEPTH, 1, place)
     prefix, turns, open_ = five, np.zeros(len(place), np.uint64), among(five, longer[PREFIX])
     for size in LONGER:
         own = chunk.prefix(size, place=place)
         turns = turns << np.uint64(TURN) | own.view(np.uint64) >> np.uint64(64 - TURN)
         prefix = np.where(open_, own, prefix)
         open_ = open_ & among(own, longer[size])
-    prefix = np.where(open_, mix(five.view(np.uint64) + whole.view(np.uint64)).view(np.int64), prefix)
-    rest = np.uint64(TURN * len(LONGER))
-    return prefix, (turns << (np.uint64(64) - rest) | whole.view(np.uint64) >> rest).view(np.int64)
+    prefix = np.where(open_, whole, prefix).view(np.uint64)
+    head = prefix >> np.uint64(64 - GROUP) << np.uint64(64 - GROUP) | turns << np.uint64(REST) | whole.view(np.uint64) >> np.uint64(64 - REST)
+    return head.view(np.int64), tail
+
+
+def branch_at(level: int, head: np.ndarray, tail: np.ndarray) -> list[np.ndarray]:
+    """What nodes of a level are told apart by: 0 the group's prefix, then each longer prefix, at last all words."""
+    return [head, tail] if level > len(LONGER) else [head.view(np.uint64) >> np.uint64(64 - GROUP - TURN * level)]
 
 
 #: Mark of a window that its document repeats.
@@ -333,7 +348,7 @@ def windows_of(spans: np.ndarray, words: list[bytes]):
 
 
 def suffixes(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
-    """prefix, path, key, part, span of the suffixes to be judged.
+    """head, tail, key, part, span of the suffixes to be judged.
 
     ``span`` is the suffix's word, with a mark if the document repeats the
     window (then its other places share the fate of the first), or ``run_of``
@@ -341,7 +356,7 @@ def suffixes(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
     covers; such a run has no branch and any task may hold it.
     """
     kind = candidates.schema["key"].dataType.simpleString()
-    schema = f"prefix long, path long, key {kind}, part long, span long"
+    schema = f"head long, tail long, key {kind}, part long, span long"
 
     def run(batches):
         task = TaskContext.get().partitionId()
@@ -356,23 +371,23 @@ def suffixes(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
             if not len(at):
                 continue
             doc, word = chunk.doc[at], chunk.at[at]
-            prefix, path = _branches(chunk, chunk.place[at], longer.value)
+            head, tail = _branches(chunk, chunk.place[at], longer.value)
             names = np.unique(key.to_numpy(zero_copy_only=False), return_inverse=True)[1][doc]
-            order = np.lexsort((names, path, prefix))
-            new = _changes(prefix[order], path[order])
+            order = np.lexsort((names, tail, head))
+            new = _changes(head[order], tail[order])
             least = names[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             late = np.zeros(len(at), bool)
             late[order[names[order] > least]] = True
-            again = np.append(~_changes(prefix[order], path[order], doc[order]), False)
+            again = np.append(~_changes(head[order], tail[order], doc[order]), False)
             repeated, marked = np.zeros(len(at), bool), np.zeros(len(at), bool)
             repeated[order], marked[order] = again[:-1], again[1:]
 
-            def rows(which, span, prefix, path):
+            def rows(which, span, head, tail):
                 owner = pa.array(doc[which])
-                return pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(path), key.take(owner), part.take(owner), pa.array(span)], names=["prefix", "path", "key", "part", "span"])
+                return pa.RecordBatch.from_arrays([pa.array(head), pa.array(tail), key.take(owner), part.take(owner), pa.array(span)], names=["head", "tail", "key", "part", "span"])
 
             kept, gone = np.flatnonzero(~late & ~repeated), np.flatnonzero(late)
-            yield rows(kept, word[kept] | np.where(marked[kept], REPEATED, 0), prefix[kept], path[kept])
+            yield rows(kept, word[kept] | np.where(marked[kept], REPEATED, 0), head[kept], tail[kept])
             if len(gone):
                 starts = _changes(doc[gone], word[gone] - np.arange(len(gone)))
                 ends = np.concatenate([np.flatnonzero(starts)[1:], [len(gone)]]) - 1
@@ -390,12 +405,10 @@ class Subtree:
     ``parents[level]`` their parents' numbers in the level above.
     """
 
-    def __init__(self, prefix, path):
-        self.starts, self.parents, self.size = [], [], len(prefix)
-        bits = path.view(np.uint64)
+    def __init__(self, head, tail):
+        self.starts, self.parents, self.size = [], [], len(head)
         for level in range(len(LONGER) + 2):
-            branch = bits if level > len(LONGER) else bits >> np.uint64(64 - TURN * level) if level else np.zeros(len(bits), np.uint64)
-            new = _changes(prefix, branch)
+            new = _changes(*branch_at(level, head, tail))
             if self.starts:
                 above = np.cumsum(self._marks(self.starts[-1], self.size)) - 1
                 self.parents.append(above[np.flatnonzero(new)])
@@ -417,20 +430,19 @@ class Subtree:
 
 
 def covered(batches, rows: int):
-    """(key, part, span) of the covered windows in a stream sorted by (prefix, path, key).
+    """(key, part, span) of the covered windows in a stream sorted by (head, tail, key).
 
     Subtrees are built in groups of about ``rows`` rows that end with a prefix;
     a larger one is cut at a longer prefix. A single node with more rows goes on
     with its least key.
     """
     names = ["key", "part", "span"]
-    branches = [TURN * level for level in range(len(LONGER) + 1)] + [64]
 
-    def judge(prefix, path, key, part, span):
+    def judge(head, tail, key, part, span):
         late = span >> 32 > 0
         if not late.all():
             open_ = np.flatnonzero(~late)
-            late[open_[Subtree(prefix[open_], path[open_]).covered(key[open_])]] = True
+            late[open_[Subtree(head[open_], tail[open_]).covered(key[open_])]] = True
         return pa.RecordBatch.from_arrays([pa.array(c[late]) for c in (key, part, span)], names=names)
 
     held, n = [], 0
@@ -440,9 +452,8 @@ def covered(batches, rows: int):
         if n < rows:
             continue
         columns = [np.concatenate(c) for c in zip(*held)]
-        for bits in branches:
-            branch = columns[1].view(np.uint64) >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64)
-            ends = np.flatnonzero(_changes(columns[0], branch))
+        for level in range(len(LONGER) + 2):
+            ends = np.flatnonzero(_changes(*branch_at(level, *columns[:2])))
             if ends[-1]:
                 yield judge(*(c[: ends[-1]] for c in columns))
                 held = [[c[ends[-1] :] for c in columns]]
@@ -458,7 +469,8 @@ def covered(batches, rows: int):
 def covered_windows(candidates: DataFrame, longer, limits: Limits) -> DataFrame:
     """(key, part, spans) of the windows that also start under a smaller key."""
     kind = candidates.schema["key"].dataType.simpleString()
-    dealt = suffixes(candidates, longer, limits).repartition("prefix").sortWithinPartitions("prefix", "path", "key")
+    group = F.shiftrightunsigned("head", 64 - GROUP)
+    dealt = suffixes(candidates, longer, limits).repartition(group).sortWithinPartitions("head", "tail", "key")
     found = map_batches(dealt, lambda batches: covered(batches, limits.tree_rows), f"key {kind}, part long, span long")
     return found.groupBy("key", "part").agg(F.collect_list("span").alias("spans"))  # at most a document's windows
 

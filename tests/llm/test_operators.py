@@ -229,9 +229,9 @@ def test_prefixes_are_lengthened(spark):
 
 def test_subtrees():
     """Nodes of a subtree level by level: a prefix, its branches, and a deep node with two keys."""
-    turn = lambda a, b, rest: a << 54 | b << 44 | rest
-    prefix, path = np.array([1, 1, 1, 1, 2]), np.array([turn(5, 1, 9), turn(5, 1, 9), turn(5, 2, 3), turn(6, 0, 4), turn(6, 0, 4)])
-    tree = substring_dedup.Subtree(prefix, path)
+    turn = lambda prefix, a, b, rest: prefix << 32 | a << 22 | b << 12 | rest
+    head, tail = np.array([turn(1, 5, 1, 7), turn(1, 5, 1, 7), turn(1, 5, 2, 7), turn(1, 6, 0, 7), turn(2, 6, 0, 7)]), np.array([9, 9, 3, 4, 4])
+    tree = substring_dedup.Subtree(head, tail)
     assert [s.tolist() for s in tree.starts] == [[0, 4], [0, 3, 4], [0, 2, 3, 4], [0, 2, 3, 4]]
     assert [p.tolist() for p in tree.parents] == [[0, 0, 1], [0, 0, 1, 2], [0, 1, 2, 3]]
     assert tree.covered(np.array([7, 8, 1, 1, 0])).tolist() == [False, True, False, False, False]
@@ -240,7 +240,7 @@ def test_subtrees():
 def test_repeats_come_through_subtrees(monkeypatch):
     """What a task judges is what its subtrees say."""
     columns = [[1, 1], [7, 7], [0, 1], [0, 0], [0, 0]]
-    names = ["prefix", "path", "key", "part", "span"]
+    names = ["head", "tail", "key", "part", "span"]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
     (out,) = substring_dedup.covered([batch], 10)
     assert out.column(0).to_pylist() == [1]
@@ -249,6 +249,49 @@ def test_repeats_come_through_subtrees(monkeypatch):
     assert out.num_rows == 0
 
 
+@pytest.mark.parametrize("group_rows", [10, 100_000])
+def test_windows_that_share_eleven_words(spark, group_rows):
+    """Thousands of different windows below one prefix of eleven words; only those that repeat go."""
+    shared = [f"s{i}" for i in range(11)]
+    texts = [" ".join([*shared, f"x{d}", f"y{d % 7}", *(f"z{d}.{i}" for i in range(3))]) for d in range(4_000)]
+    texts += [" ".join([*shared, "x17", "y3", "other"])]  # the first window of document 17 again
+    limits = substring_dedup.Limits(group_rows=group_rows, group_share=0, frequent=4)
+    gone = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(table(spark, texts), limits=limits).collect() if r.n_removed}
+    assert gone == {4_000: 13}
+
+
+@pytest.mark.parametrize("part", ["head", "tail"])
+def test_few_bits_of_a_prefix_are_enough(spark, monkeypatch, part):
+    """Nodes are told apart by what is left when all bits of prefix and turns, or of the tail, say nothing."""
+    plain = substring_dedup._branches
+
+    def blunt(chunk, place, longer):
+        head, tail = plain(chunk, place, longer)
+        rest = (1 << substring_dedup.REST) - 1
+        return (head & rest, tail) if part == "head" else (head, tail & 0xFFFF)
+
+    texts = repeated_texts()
+    want = brute_repeats(texts)
+    monkeypatch.setattr(substring_dedup, "_branches", blunt)
+    words = [substring_dedup.words_of(t) for t in texts]
+    chunk = substring_dedup.Chunk()
+    for w in words:
+        chunk.add(w)
+    chunk.close()
+    none = {n: np.empty(0, np.int64) for n in (5, 8, 11)}
+    head, tail = substring_dedup._branches(chunk, chunk.place, none)
+    names = {}
+    for h, t, d, at in zip(head.tolist(), tail.tolist(), chunk.doc.tolist(), chunk.at.tolist()):
+        names.setdefault((h, t), set()).add(tuple(words[d][at : at + 13]))
+    assert all(len(v) == 1 for v in names.values())
+    order = np.lexsort((chunk.doc, tail, head))
+    tree = substring_dedup.Subtree(head[order], tail[order])
+    covered = np.zeros(len(order), bool)
+    covered[order] = tree.covered(chunk.doc[order])
+    lost = [{i + k for i in chunk.at[covered & (chunk.doc == d)].tolist() for k in range(13)} for d in range(len(texts))]
+    assert [len(x) for x in lost] == [n for _, n, _ in want]
+
+
 def test_repeats_of_other_keys(spark):
     """String keys, a key with two texts, repeated rows and null keys."""
     words = " ".join(f"p{k}" for k in range(20))
