@@ -9,16 +9,20 @@ Files are written under a temporary name and moved, so a retried or a
 speculative task leaves whole files, and read through memory maps.
 
 The folder must be one that all executors share. Documents are dealt by key
-range, so a partition's memory does not depend on the number of documents.
+range, and texts of one key (or without any) by how they begin, into as many
+files as their bytes ask for. A task writes and reads a file piece by piece
+and keeps 8 bytes a document, so its memory does not depend on the number of
+documents.
 
 Defined results: a null text is an empty one and has only the end id; null
-keys come first; rows with equal keys are ordered by text; an empty table
+keys come first; texts of any length are encoded whole; rows with equal keys are ordered by text; an empty table
 gives no files but a manifest and no rows; extra columns do not matter.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import uuid
@@ -35,6 +39,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomspan.llm.common import documents, fresh_folder, map_batches
 
 CACHED_CHUNKS = 1_200_000
+#: Bytes of text a file takes, about; characters by which texts of one key are dealt.
+PART_BYTES, HEAD = 32 << 20, 200
 
 # Fixed value: ASCII marks that begin neither a contraction nor a special token.
 MARK = re.compile(rb"[.,;:!?&#*$%](?<=[a-z].)")
@@ -143,8 +149,8 @@ def coder_for(spec: str, dtype: str) -> ChunkCoder:
     return _CODERS[spec, dtype]
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, key: str = "doc_id", text: str = "text") -> dict:
-    """Encode and write ``docs`` in ascending ``key`` order; returns the manifest."""
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> dict:
+    """Encode and write ``docs`` in ascending ``key`` order (ties by text), about ``part_bytes`` of text a file; returns the manifest."""
     with open(tokenizer, encoding="utf-8") as file:
         spec = file.read()
     parsed = json.loads(spec)
@@ -152,7 +158,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, key:
     layout = Layout("<u2" if largest < 1 << 16 else "<u4", end_id)
     shipped = docs.sparkSession.sparkContext.broadcast(spec)  # a tokenizer file: its size does not follow the data
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    # files are as many as the text asks for; rows of one key, or without any, are dealt by how their texts begin, equal ones by chance
+    n_parts = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) / part_bytes))
+    dealt = rows.withColumn("tie", F.when(F.col("text").isNull() | (F.length("text") < HEAD), F.xxhash64(F.monotonically_increasing_id())))
+    rows = dealt.repartitionByRange(n_parts, "key", F.substring("text", 1, HEAD), "tie").sortWithinPartitions("key", "text").drop("tie")
 
     def run(batches):
         coder, part = coder_for(shipped.value, layout.dtype), TaskContext.get().partitionId()
@@ -196,12 +205,33 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, key:
     return manifest
 
 
-def _ids(store, path: str, dtype: str):
-    """A memory map of the file; other stores than local ones have it fetched."""
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
-    with store.open_input_file(path) as file:
-        return np.frombuffer(file.read(), dtype)
+class Numbers:
+    """A flat file of numbers: a memory map on a local store, ranged reads on any other."""
+
+    def __init__(self, store, path: str, dtype: str):
+        self.dtype = np.dtype(dtype)
+        local = isinstance(store, fs.LocalFileSystem)
+        self.map = (np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)) if local else None
+        self.file = None if local else store.open_input_file(path)
+
+    def part(self, start: int, stop: int) -> np.ndarray:
+        if self.map is not None:
+            return self.map[start:stop]
+        width = self.dtype.itemsize
+        self.file.seek(start * width)
+        return np.frombuffer(self.file.read((stop - start) * width), self.dtype)
+
+
+def _pieces(store, path: str, dtype: str):
+    """(keys, offsets, ids) of a file's documents, a batch of its keys at a time; offsets count from the batch's first id."""
+    ids, offsets, at = Numbers(store, f"{path}.bin", dtype), Numbers(store, f"{path}.idx", "<i8"), 0
+    with store.open_input_file(f"{path}.keys") as file:
+        keys = pa.ipc.open_file(file)
+        for k in range(keys.num_record_batches):
+            column = keys.get_batch(k).column(0)
+            own = np.array(offsets.part(at, at + len(column) + 1))
+            at += len(column)
+            yield column, own, ids.part(int(own[0]), int(own[-1]))
 
 
 def read(spark: SparkSession, folder: str, key_type: str = "long") -> DataFrame:
@@ -218,15 +248,13 @@ def read(spark: SparkSession, folder: str, key_type: str = "long") -> DataFrame:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 store, path = _store(folder)
-                ids = _ids(store, f"{path}/{name}.bin", dtype)
-                offsets = _ids(store, f"{path}/{name}.idx", "<i8")
-                with store.open_input_file(f"{path}/{name}.keys") as file:
-                    keys = pa.ipc.open_file(file).read_all().column(0).combine_chunks()
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(offsets[:-1] + base, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())],
-                    names=["key", "start", "n_tokens", "ids_crc32"],
-                )
+                for keys, offsets, ids in _pieces(store, f"{path}/{name}", dtype):
+                    own = (offsets - offsets[0]).tolist()
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(own[:-1], own[1:])]
+                    yield pa.RecordBatch.from_arrays(
+                        [keys, pa.array(offsets[:-1] + base, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())],
+                        names=["key", "start", "n_tokens", "ids_crc32"],
+                    )
 
     return map_batches(names, run, f"key {key_type}, start long, n_tokens long, ids_crc32 long")
 
@@ -237,12 +265,10 @@ def documents_of(folder: str):
     with store.open_input_stream(f"{path}/manifest.json") as file:
         manifest = json.loads(file.read())
     for part in manifest["parts"]:
-        ids = _ids(store, f"{path}/{part['name']}.bin", manifest["dtype"])
-        offsets = _ids(store, f"{path}/{part['name']}.idx", "<i8")
-        with store.open_input_file(f"{path}/{part['name']}.keys") as file:
-            keys = pa.ipc.open_file(file).read_all().column(0).to_pylist()
-        for k, a, b in zip(keys, offsets[:-1], offsets[1:]):
-            yield k, ids[a:b].tolist()
+        for keys, offsets, ids in _pieces(store, f"{path}/{part['name']}", manifest["dtype"]):
+            own = (offsets - offsets[0]).tolist()
+            for k, a, b in zip(keys.to_pylist(), own[:-1], own[1:]):
+                yield k, ids[a:b].tolist()
 
 
 def word_bpe_path() -> str:
