@@ -12,7 +12,8 @@ kept in a bounded cache. The tables come from a tokenizer file whose path is a
 parameter; the driver reads it and broadcasts its merges (a fixed size).
 
 Defined results: a null text is an empty one and has no ids; ties, repeated
-rows and extra columns do not matter (each row is coded alone).
+rows and extra columns, whatever their names, do not matter (each row is coded
+alone); texts of any length are coded whole; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from array import array
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from loomspan.llm.common import BATCH_ROWS, documents, map_batches
+from loomspan.llm.common import BATCH_ROWS, documents, map_batches, whole_row
 
 SHORT = 128
 CACHED_CHUNKS = 120_000
@@ -158,14 +159,20 @@ class Coder:
 
 
 def code(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """Add ``token_ids`` (little-endian uint32) and ``decoded`` to the rows."""
+    """Add ``token_ids`` (little-endian uint32) and ``decoded`` to the rows, in place of columns of these names."""
     return _map(docs, tokenizer, text, lambda raw, back: (raw, back), "token_ids binary, decoded string")
 
 
 def _map(docs: DataFrame, tokenizer: str, text: str, shape, columns: str) -> DataFrame:
-    tables = docs.sparkSession.sparkContext.broadcast(Tables(tokenizer))
-    keep = [c for c in docs.columns if c not in re.findall(r"(\w+) \w+", columns)]
-    source = docs.select(*(f"`{c}`" for c in keep), docs[text].alias("__text"))
+    names = [x.split()[0] for x in columns.split(",")]
+    keep = [c for c in docs.columns if c not in names]
+    rows = _coded(docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text}`").alias("text")), tokenizer, shape, columns)
+    return rows.select("row.*", *names)
+
+
+def _coded(source: DataFrame, tokenizer: str, shape, columns: str) -> DataFrame:
+    """(row, text) to (row, what ``shape`` makes of ids and decoded text)."""
+    tables = source.sparkSession.sparkContext.broadcast(Tables(tokenizer))
     added = [x.strip().split(" ") for x in columns.split(",")]
     kinds = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
 
@@ -173,13 +180,13 @@ def _map(docs: DataFrame, tokenizer: str, text: str, shape, columns: str) -> Dat
         coder = Coder(tables.value)  # its caches end with the task
         for batch in batches:
             rows = []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(1):
                 raw = coder.encode(value.as_py() or "")
                 rows.append(shape(raw, coder.decode(raw)))
             new = [pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(added)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*keep, *(name for name, _ in added)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], names=["row", *(name for name, _ in added)])
 
-    schema = source.drop("__text").schema
+    schema = source.select("row").schema
     for name, kind in added:
         schema = schema.add(name, kind)
     return map_batches(source, run, schema, BATCH_ROWS)
@@ -206,6 +213,8 @@ def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: adds the token ids; the text is what they decode to."""
-    out = code(docs, byte_bpe_path())
-    return out.drop("text").withColumnRenamed("decoded", "text").select(*(c for c in docs.columns if c != "token_ids"), "token_ids")
+    """Pipeline stage: adds the token ids (in place of a column of that name); the text is what they decode to."""
+    rows = docs.select(whole_row(docs, "text").alias("row"), "text")
+    out = _coded(rows, byte_bpe_path(), lambda raw, back: (raw, back), "token_ids binary, decoded string")
+    own = [F.col("decoded").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "token_ids"]
+    return out.select(*own, "token_ids")

@@ -64,5 +64,15 @@ def running_sums(values: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), last), values, add)
 
 
+def content_key(key: str = "doc_id", text: str = "text") -> Column:
+    """A row's identity in the pipeline: its key and, as keys repeat or are missing, its text (96 bits of hash); never null, missing keys last."""
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("long"), F.hash(text).alias("short"))
+
+
+def whole_row(df: DataFrame, but: str | None = None) -> Column:
+    """The columns of ``df`` (but one) as one struct, so that no name of theirs meets a name of ours."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c != but))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))

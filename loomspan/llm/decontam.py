@@ -21,7 +21,7 @@ repeated items and documents are each reported; rows with a null key are
 reported under the null key; with an empty table on either side the result is
 empty; extra columns, whatever their names, do not matter. Words are
 lower-cased runs of letters and digits, so case and punctuation do not hide a
-leak.
+leak. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomspan.llm.common import cut, documents, sized
+from loomspan.llm.common import content_key, cut, documents, sized, whole_row
 
 SHINGLE = 5
 LEAST = 0.8
@@ -137,10 +137,15 @@ def op9_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that leak a benchmark item go."""
+    """Pipeline stage: documents that leak a benchmark item go.
+
+    Each row is judged by its own text: a row stays though another of its key,
+    or another without a key, leaks.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = sized(cut(leaks(docs.select("doc_id", "text"), items).select(F.col("doc").alias("_doc")).distinct()), BROADCAST_ROWS)
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    rows = docs.select(whole_row(docs).alias("row"), content_key().alias("doc"), "text")
+    found = sized(cut(leaks(rows.select("doc", "text"), items, "doc").select("doc").distinct()), BROADCAST_ROWS)
+    return rows.join(found, "doc", "left_anti").select("row.*")
 
 
 def _sql_words(table: str, key: str) -> str:

@@ -14,7 +14,7 @@ adaptive execution. Rounds are cut by checkpoints. Matchers take time linear in
 the text.
 
 Defined results: a null text is an empty one; null or repeated keys are fine
-(spans belong to a key and text together); ties between kinds go to the first
+(spans belong to a key and text together); texts of any length are read whole, context words are taken at any distance; ties between kinds go to the first
 listed; without seeds or in an empty table nothing is discovered; extra columns
 do not matter. Added spans never overlap a base span.
 """
@@ -25,10 +25,9 @@ import itertools
 import re
 
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches
+from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT = 3.0
@@ -95,15 +94,34 @@ def _word(word: str) -> str:
     return re.sub(r"[0-9]", "0", word.lower())
 
 
+def _before(text: str, start: int) -> list[str]:
+    """The last two words before a place (fewer at the text's start), however far away they are."""
+    wide = 128
+    while True:
+        window = text[max(0, start - wide) : start]
+        words = window.split()
+        if start <= wide:
+            return words[-2:]
+        if len(words) > 2:  # the first one may be cut
+            return words[-2:]
+        wide *= 4
+
+
+def _after(text: str, end: int) -> str | None:
+    """The first word after a place, however far away and long it is."""
+    wide = 64
+    while True:
+        words = text[end : end + wide].split(None, 1)
+        if len(words) == 2 or end + wide >= len(text):
+            return words[0] if words else None
+        wide *= 4
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """Lexical contexts of a place: two words before; a word on either side, or the text's start; a label before."""
-    window = text[max(0, start - 120) : start]
-    before = window.split()
-    if start > 120 and before and not window[0].isspace():
-        before = before[1:]
-    after = text[end : end + 60].split()
-    left = [_word(w) for w in before[-2:]]
-    right = _word(after[0]) if after else "$"
+    left = [_word(w) for w in _before(text, start)]
+    right = _after(text, end)
+    right = "$" if right is None else _word(right)
     made = []
     if len(left) == 2:
         made.append(f"2 {left[0]} {left[1]}")
@@ -134,9 +152,14 @@ def candidates(text: str, taken: list[tuple[int, int, int]]):
             yield a, b, core
 
 
+def _content(text: Column) -> Column:
+    """What tells texts of one key apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, content (hash), base (spans) and slots (instances with patterns)."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _content(F.col(text)).alias("content"))
     kind = rows.schema["key"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind_no", pa.int32()), ("end", pa.int64())]))
     slot = pa.list_(
@@ -145,17 +168,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            content, base, slots = [], [], []
+            base, slots = [], []
             for value in batch.column(1):
                 body = value.as_py() or ""
                 found = base_spans(body)
                 own = [(a, b, k, body[a:b].lower(), patterns(body, a, b)) for a, k, b in found]
                 own += [(a, b, None, core.lower(), patterns(body, a, b)) for a, b, core in candidates(body, found)]
-                content.append(xxhash.xxh64_intdigest(body.encode()) - (1 << 63))
                 base.append([dict(zip(("start", "kind_no", "end"), s)) for s in found])
                 slots.append([dict(zip(("start", "end", "kind_no", "instance", "patterns"), s)) for s in own])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(content, pa.int64()), pa.array(base, span), pa.array(slots, slot)], names=["key", "content", "base", "slots"]
+                [batch.column(0), batch.column(2), pa.array(base, span), pa.array(slots, slot)], names=["key", "content", "base", "slots"]
             )
 
     return map_batches(rows, run, f"key {kind}, content long, base array<{SPAN}>, slots array<{SLOT}>", BATCH_ROWS)
@@ -234,31 +256,26 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with personal data in ``text`` masked."""
     added = cut(added_spans(cut(scan(docs, key, text))))
-    found = added.select(F.col("key").alias("_key"), F.col("content").alias("_content"), F.col("added").alias("_added"))
-    # one row for every (key, content): rows of one key with other texts are told apart below
-    per_key = found.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_content", "_added"))).alias("_added"))
     if added.count() <= BROADCAST_ROWS:
-        per_key = F.broadcast(per_key)
-    joined = docs.join(per_key, F.col(key).eqNullSafe(F.col("_key")), "left")
-    rows = joined.select(F.col(text).alias("_text"), F.col("_added"), *(F.col(f"`{c}`") for c in docs.columns if c != text))
-    kept = [c for c in docs.columns if c != text]
+        added = F.broadcast(added)
+    found = added.select(F.col("key").alias("own"), F.col("content").alias("of"), "added")
+    rows = docs.select(whole_row(docs, text).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"), _content(F.col(f"`{text}`")).alias("content"))
+    # by key and text, so neither a repeated key nor the missing one makes a large row
+    joined = rows.join(found, F.col("key").eqNullSafe(F.col("own")) & (F.col("content") == F.col("of")), "left").select("row", "text", "added")
 
     def run(batches):
         for batch in batches:
             made = []
-            for value, extra in zip(batch.column(0), batch.column(1)):
+            for value, extra in zip(batch.column(1), batch.column(2)):
                 body = value.as_py()
                 if body:
-                    spans = base_spans(body)
-                    if extra.is_valid:
-                        more = dict(extra.as_py()).get(xxhash.xxh64_intdigest(body.encode()) - (1 << 63), [])
-                        spans = spans + [(s["start"], s["kind_no"], s["end"]) for s in more]
+                    spans = base_spans(body) + [(s["start"], s["kind_no"], s["end"]) for s in extra.as_py() or ()]
                     body = mask(body, spans) if spans else body
                 made.append(body)
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), *batch.columns[2:]], names=[text, *kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["row", "text"])
 
-    schema = rows.drop("_added").withColumnRenamed("_text", text).schema
-    return map_batches(rows, run, schema, BATCH_ROWS).select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = map_batches(joined, run, joined.drop("added").schema, BATCH_ROWS)
+    return out.select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomspan.llm.common import BLANKS, documents, words_of
+from loomspan.llm.common import BLANKS, documents, whole_row, words_of
 
 SYMBOLS = r"[^#*$%&|<>]+"
 
@@ -179,10 +179,9 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    kept = docs.columns
-    if "text" not in kept:
+    if "text" not in docs.columns:
         return docs
-    return judge(docs.select(F.struct(*kept).alias("_row"), F.col("text"))).filter("kept").select("_row.*")
+    return judge(docs.select(whole_row(docs).alias("_row"), F.col("text"))).filter("kept").select("_row.*")
 
 
 _STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from loomspan.llm.common import BATCH_ROWS, cut, documents, map_batches, sized
+from loomspan.llm.common import BATCH_ROWS, content_key, cut, documents, map_batches, sized, whole_row
 from loomspan.llm.graph import components
 
 SEED = 42
@@ -303,7 +303,6 @@ PERMUTATIONS = [(word, m) for word in range(2) for m in MULTIPLIERS]
 BLOCK, NEAR_LEAF = 256, 64
 #: Keys up to which a list of documents is broadcast to where the texts are.
 BROADCAST_KEYS = 500_000
-SALTS = 32
 
 
 def _candidates(points: np.ndarray, radius: int, block: int = BLOCK):
@@ -477,9 +476,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         finer = chosen.select(F.col("key").alias("_key"), "finer")
         parts = keyed.join(few, "shard", "left_semi").join(finer, F.col("key") == F.col("_key"))
         parts = parts.select("shard", "n", "key", "a", "b", "least", F.posexplode("finer").alias("m", "value"))
-        # finer shards may be hot again (near-copies of one text), so they are salted
-        salt = F.pmod(F.xxhash64("key", "shard"), F.lit(SALTS)) + 1
-        spread = parts.select(F.xxhash64("shard", "m", "value").alias("shard"), salt.alias("salt"), "n", "key", "a", "b", "least", F.lit(True).alias("large"))
+        parts = parts.withColumn("shard", F.xxhash64("shard", "m", "value"))
+        # finer shards may be hot again (near-copies of one text), so they are salted, by their size
+        sizes = parts.groupBy("shard").count().filter(F.col("count") > hot).select("shard", F.ceil(F.col("count") / hot).cast("long").alias("salts"))
+        salted = parts.join(sized(cut(sizes), BROADCAST_KEYS), "shard", "left")
+        salt = F.coalesce(F.pmod(F.xxhash64("key", "shard"), F.col("salts")), F.lit(0).cast("long")) + 1
+        spread = salted.select("shard", salt.alias("salt"), "n", "key", "a", "b", "least", F.lit(True).alias("large"), "salts")
     dealt = cold.select("shard", none.alias("salt"), "n", "key", "a", "b", "least", F.lit(False).alias("large"))
 
     def linked(rows: DataFrame) -> DataFrame:
@@ -492,11 +494,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         points = points.repartition("shard").sortWithinPartitions("shard", "key")
         return cut(map_batches(points, lambda batches: _shard_links(batches, radius, similarity, block), "x long, y long"))
 
-    first = dealt.union(spread) if several else dealt
+    first = dealt.union(spread.drop("salts")) if several else dealt
     links = linked(first.withColumn("component", F.col("key")))
     roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     if several:
-        links = links.union(linked(_across_salts(spread, roots, hot)))
+        links = links.union(linked(_across_salts(spread.filter("salts IS NOT NULL").drop("salts"), roots, hot)))
         roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     named = owners.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     named = cut(named.select("content", "owner", "root"))
@@ -505,13 +507,19 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near-duplicates stays, the one with the least key."""
-    groups = near_groups(docs)
-    gone = sized(cut(groups.filter("key > component").select(F.col("key").alias("__key")).distinct()), BROADCAST_KEYS)
-    kept = docs.join(gone, F.col("doc_id") == F.col("__key"), "left_anti")
-    # rows with one key are repeats of one document; without any, no text needs to move
-    twice = sized(cut(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__key"))), BROADCAST_KEYS)
+    """Pipeline stage: one document of each group of near-duplicates stays, the one with the least key.
+
+    Each row is judged by its key and its text, so unlike texts of one key, or
+    without a key, do not share their fate. Rows without a key come after all
+    others; of several texts with one key that are alike, one stays, and rows
+    with the same key and text are one document.
+    """
+    rows = docs.select(whole_row(docs).alias("row"), content_key().alias("key"), "text")
+    groups = near_groups(rows, "key")
+    gone = sized(cut(groups.filter("key > component").select("key").distinct()), BROADCAST_KEYS)
+    kept = rows.join(gone, "key", "left_anti")
+    # without repeated rows no text needs to move
+    twice = sized(cut(rows.groupBy("key").count().filter("count > 1").select("key")), BROADCAST_KEYS)
     if twice.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("__key"))
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(docs.columns))
+        return kept.select("row.*")
+    return kept.join(twice, "key", "left_anti").unionByName(kept.join(twice, "key", "left_semi").dropDuplicates(["key"])).select("row.*")

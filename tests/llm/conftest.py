@@ -69,6 +69,7 @@ def folders(spark, tmp_path_factory):
             ("documents", rows(), DOC),
             ("benchmark", bench, "item_id long, text string"),
             ("conversations", turns, "conv_id long, turn long, role string, text string"),
+            ("labels", [(0, 1, 0), (1, 0, 1), (5, 1, None), (None, 1, 1), (6, 1, 0), (6, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int"),
         ):
             spark.createDataFrame(data if keep else [], schema).coalesce(2).write.parquet(f"{folder}/{name}.parquet")
     return f"file://{edge}", f"file://{empty}"

@@ -126,23 +126,22 @@ def plain_quality(rows):
 
 
 def plain_near(rows):
-    """One row of each group of texts with 0.8 of their shingles in common: that of the least key; rows without a key stay."""
-    keyed = [r for r in dict.fromkeys(rows) if r[0] is not None]
-    sets, group = [shingles(t) for _, t in keyed], list(range(len(keyed)))
-    for i, j in itertools.combinations(range(len(keyed)), 2):
+    """One row of each group of texts with 0.8 of their shingles in common: that of the least key, missing keys last."""
+    rows = list(dict.fromkeys((k, t) for k, t in rows))
+    sets, group = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
         if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             group = [group[i] if g == group[j] else g for g in group]
-    first = {g: min(k for (k, _), h in zip(keyed, group) if h == g) for g in group}
-    return [r for r, g in zip(keyed, group) if first[g] == r[0]] + [r for r in rows if r[0] is None]
+    last = lambda r: (r[0] is None, r[0] or 0)
+    return [min((r for r, h in zip(rows, group) if h == g), key=last) for g in set(group)]
 
 
 def plain_decontamination(rows, items):
-    """Rows without 0.8 of an item's shingles; rows of one key (none is one) share their fate."""
+    """Rows without 0.8 of an item's shingles."""
     plain = lambda t: "".join(c.lower() if c.isalnum() else " " for c in t or "").split()
     cut = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     wanted = [(min(5, len(w)), cut(w, min(5, len(w)))) for w in map(plain, items) if w]
-    gone = {k for k, t in rows if any(len(own & cut(plain(t), n)) >= 0.8 * len(own) for n, own in wanted)}
-    return [(k, t) for k, t in rows if k not in gone]
+    return [(k, t) for k, t in rows if not any(len(own & cut(plain(t), n)) >= 0.8 * len(own) for n, own in wanted)]
 
 
 def test_pipeline_stages(spark, folders):
