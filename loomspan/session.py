@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 def session(master: str | None = None, name: str = "loomspan", shuffle: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC")
     builder = builder.config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    builder = builder.config("spark.sql.unionOutputPartitioning", "false")  # see shared.settle
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
     if shuffle:

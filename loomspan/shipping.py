@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+from loomspan.shared import settle
+
 #: Bytes of an Arrow batch on its way to Python.
 BATCH_BYTES = 8 << 20
 
@@ -17,6 +19,7 @@ _SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the session's Python workers (once), and bound their batches."""
+    settle(spark)
     context = spark.sparkContext
     if context in _SHIPPED:
         return
