@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from loomspan.operators.ordering import running_totals
 
 #: Calls, milliseconds and tokens a tier of the budget allows (fixed values).
 BUDGET_TIERS = {"large": (1000, 3_600_000, 2_000_000), "middle": (300, 1_200_000, 600_000), "small": (100, 600_000, 200_000)}
@@ -19,6 +21,12 @@ def replay_size(n_core: int, share: float) -> int:
     return round(n_core * share)
 
 
+def in_budget_tiers(rows: DataFrame, order: list, calls: str, milliseconds: str, tokens: str) -> DataFrame:
+    """Running totals of the three over all rows, in order, and per tier whether they are over its caps (``over_<tier>``)."""
+    out = running_totals(rows, order, [calls, milliseconds, tokens])
+    return out.withColumns({f"over_{tier}": over_budget(*(F.col(f"{c}_upto") for c in (calls, milliseconds, tokens)), tier) for tier in BUDGET_TIERS})
+
+
 def over_budget(calls: Column, milliseconds: Column, tokens: Column, tier: str = "large") -> Column:
     """Whether running totals are over a cap (reaching it is allowed)."""
     a, b, c = BUDGET_TIERS[tier]

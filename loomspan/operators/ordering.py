@@ -40,6 +40,26 @@ def hash_ranked(df: DataFrame, parts: list, tie: str, name: str = "rank") -> Dat
     return ranked(df, [F.substring("_hash", 1, 3)], [F.col("_hash"), F.col(tie)], name).drop("_hash")
 
 
+def in_ranges(df: DataFrame, order: list) -> DataFrame:
+    """Rows dealt by ranges of the keys and sorted there (written once); adds ``_part`` (the range, in order) and ``_id`` (in it)."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_id", F.monotonically_increasing_id())
+    return placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_id", F.col("_id").bitwiseAND((1 << 33) - 1))
+
+
+def bases(placed: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """For each range of ``in_ranges`` what the ranges before it sum up to, as a small table to broadcast."""
+    totals = placed.groupBy("_part").agg(*(F.coalesce(c, F.lit(0)).cast("decimal(38,0)").alias(k) for k, c in sums.items()))
+    before, rows = [0] * len(sums), []
+    for part, *own in sorted(map(tuple, totals.collect())):  # as many rows as ranges
+        rows.append((part, *map(int, before)))
+        before = [x + int(y) for x, y in zip(before, own)]
+    return F.broadcast(df_of(placed, rows, ["_part", *sums]))
+
+
+def df_of(like: DataFrame, rows: list, names: list[str]) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, ", ".join(f"`{n}` long" for n in names))
+
+
 def positions(df: DataFrame, order: list, name: str = "position") -> DataFrame:
     """Add the 1-based position in a total order of any keys.
 
@@ -47,14 +67,21 @@ def positions(df: DataFrame, order: list, name: str = "position") -> DataFrame:
     no bucket makes a large task; a position is that in the range plus the rows
     of the ranges before it, one number a range.
     """
-    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_id", 33))
-    counts, before, starts = sorted(map(tuple, placed.groupBy("_part").count().collect())), 0, []
-    for part, n in counts:
-        starts.append((part, before))
-        before += n
-    bases = F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _base long"))  # as many rows as ranges
-    return placed.join(bases, "_part").withColumn(name, F.col("_base") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_part", "_base")
+    placed = in_ranges(df, order)
+    return placed.join(bases(placed, {"_base": F.count("*")}), "_part").withColumn(name, F.col("_base") + F.col("_id") + 1).drop("_id", "_part", "_base")
+
+
+def running_totals(df: DataFrame, order: list, columns: list[str], suffix: str = "_upto") -> DataFrame:
+    """Add the running total of each whole-number column over everything, in a total order (nulls add nothing).
+
+    A prefix scan: totals inside a range by a window over that range alone,
+    plus the sums of the ranges before it. No window holds more than a range.
+    """
+    placed = in_ranges(df, order)
+    before = bases(placed, {f"_base_{i}": F.sum(c) for i, c in enumerate(columns)})
+    inside = W.partitionBy("_part").orderBy("_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = {f"{c}{suffix}": F.col(f"_base_{i}") + F.sum(F.coalesce(F.col(c), F.lit(0)).cast("long")).over(inside) for i, c in enumerate(columns)}
+    return placed.join(before, "_part").withColumns(sums).drop("_part", "_id", *(f"_base_{i}" for i in range(len(columns))))
 
 
 def ordinal(df: DataFrame, key: str, name: str = "ord") -> DataFrame:
@@ -92,11 +119,36 @@ def take_with_repeats(df: DataFrame, key: str, n: int, seed: int, label: str) ->
     return full.unionByName(last.withColumn("round", F.lit(rounds - 1)))
 
 
+def tier_sizes(df: DataFrame, tier: str) -> dict:
+    """Rows of each tier, in the tiers' order (tiers are few)."""
+    return dict(sorted(tuple(r) for r in df.groupBy(tier).count().collect()))
+
+
 def staged_fill(df: DataFrame, tier: str, key: str, n: int, seed: int, label: str) -> DataFrame:
-    """The first n rows by tier and then hash."""
-    out = df.withColumn("_hash", hash_of(seed, label, F.col(key)))
-    out = ranked(out, [F.col(tier), F.substring("_hash", 1, 3)], [F.col("_hash"), F.col(key)])
-    return out.filter(F.col("rank") <= n).drop("_hash", "rank", "total")
+    """n rows by tier and then hash; raises if there are fewer.
+
+    Counts per tier give its quota: whole tiers, one that is cut by a top-k of
+    its hash order, and no others. Nothing ranks the table.
+    """
+    sizes, out, left = tier_sizes(df, tier), df.limit(0), n
+    if sum(sizes.values()) < n:
+        raise ValueError(f"{sum(sizes.values())} rows for {n}")
+    for t, size in sizes.items():
+        pool = df.filter(F.col(tier) == t)
+        out = out.unionByName(pool if size <= left else sample_by_hash(pool, left, [seed, label, F.col(key)], key).drop("hash"))
+        left -= min(left, size)
+        if not left:
+            break
+    return out
+
+
+def staged_repeats(df: DataFrame, tier: str, key: str, n: int, seed: int, label: str) -> DataFrame:
+    """n rows of the first tier that has any, again and again if it is short (``round``); raises if no tier has a row."""
+    sizes = tier_sizes(df, tier)
+    if n and not sizes:
+        raise ValueError(f"no rows for {n}")
+    first = next(iter(sizes), None)
+    return take_with_repeats(df.filter(F.col(tier) == first), key, n, seed, f"{label}:{first}")
 
 
 def stratified_sample(df: DataFrame, group: str, order: list[str], per_group: int, n: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from loomspan.operators import ranks
 
 
 def r6(c: Column) -> Column:
@@ -21,35 +23,18 @@ def ci95(value: str) -> list[Column]:
     return [F.count(value).alias("n"), r6(F.avg(value)).alias("mean"), r6(half).alias("ci95")]
 
 
-def score_summary(value: str) -> list[Column]:
-    """n, mean, median (mean of the middle two), min and max of the values that are not null."""
-    return [
-        F.count(value).alias("n"),
-        r6(F.avg(value)).alias("mean"),
-        r6(F.median(value)).alias("median"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-    ]
+def score_summary(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """The groups, n, mean, median (mean of the middle two), min and max of the values that are not null; exact at any size."""
+    counted = ranks.Counted(df, groups, value)
+    middle = F.when(F.size("values") > 0, (F.col("values")[0] + F.col("values")[F.size("values") - 1]) / 2)
+    rows = counted.summary().join(counted.at(ranks.middle), "group", "left")
+    return counted.named(rows.select("group", "n", r6(F.col("mean")).alias("mean"), r6(middle).alias("median"), "low", "high"))
 
 
 def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
-    """The value at position n // 2 (from 0) of each group's sorted values.
-
-    Counts per value come first, so a group with a third of all rows is summed
-    before it is ordered.
-    """
-    counts = df.groupBy(group, value).count()
-    order = W.partitionBy(group).orderBy(value)
-    marked = counts.withColumns({"_upto": F.sum("count").over(order), "_n": F.sum("count").over(W.partitionBy(group))})
-    return marked.filter(F.col("_upto") > F.floor(F.col("_n") / 2)).groupBy(group).agg(F.min(value).alias("upper_median"))
-
-
-def pareto_frontier(df: DataFrame, up: str, down: str) -> DataFrame:
-    """Rows that no other row beats in ``up`` (higher) and ``down`` (lower)."""
-    best = df.groupBy(down).agg(F.max(up).alias("_best"))
-    before = W.orderBy(down).rowsBetween(W.unboundedPreceding, -1)
-    front = best.withColumn("_before", F.max("_best").over(before)).filter(F.col("_before").isNull() | (F.col("_best") > F.col("_before")))
-    return df.join(front, down).filter(F.col(up) == F.col("_best")).drop("_best", "_before")
+    """The value at position n // 2 (from 0) of each group's sorted values."""
+    found = ranks.at_ranks(df, [group], value, ranks.upper_middle)
+    return found.select(group, F.col("values")[0].alias("upper_median"))
 
 
 #: Distinct differences up to which a resample looks them up in its own row.

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text
 from loomspan.operators import lineage, loop, ordering as o
-from loomspan.operators.summaries import ci95, pareto_frontier, score_summary, upper_median
+from loomspan.operators.skyline import skyline
+from loomspan.operators.summaries import ci95, score_summary, upper_median
 from loomspan.sources import records, sinks
 from loomspan.streaming.resume import collect_stream, windowed_rates
 
@@ -78,13 +79,13 @@ def test_summaries(spark):
     row = rows.agg(*ci95("v")).first()
     assert row["mean"] == 0.5 and row.ci95 > 0
     assert rows.limit(1).agg(*ci95("v")).first().ci95 == 0.0 and rows.limit(0).agg(*ci95("v")).first()["mean"] is None
-    assert rows.agg(*score_summary("v")).first()["median"] == 0.5
+    assert score_summary(rows, [], "v").first()["median"] == 0.5
     rng = random.Random(1)
     data = [("ab"[i % 2], rng.randrange(5)) for i in range(41)]
     got = {r.g: r.upper_median for r in upper_median(spark.createDataFrame(data, "g string, v int"), "g", "v").collect()}
     assert got == {g: sorted(v for h, v in data if h == g)[sum(h == g for h, _ in data) // 2] for g in "ab"}
     points = [(rng.randrange(8), rng.randrange(8)) for _ in range(60)]
-    front = {(r.up, r.down) for r in pareto_frontier(spark.createDataFrame(points, "up int, down int"), "up", "down").collect()}
+    front = {(r.up, r.down) for r in skyline(spark.createDataFrame(points, "up int, down int"), ["up"], ["down"]).collect()}
     beats = lambda p, q: p != q and p[0] >= q[0] and p[1] <= q[1]
     assert front == {q for q in points if not any(beats(p, q) for p in points)}
 
@@ -148,4 +149,4 @@ def test_stream(spark, tmp_path):
     assert run("1.json", [1, 2, 2]) == [1, 2]
     assert run("2.json", [2, 3]) == [1, 2, 3]
     table = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'click' AS event_type, 9.0D AS value")
-    assert windowed_rates(table).first().rate == 1.0
+    assert windowed_rates(table.withColumn("success", F.col("value") > 8)).first().rate == 1.0
