@@ -36,3 +36,18 @@ def exit_label(forget: Column, kept: Column) -> Column:
 
 def retention_band(retention: Column) -> Column:
     return F.when(retention >= STRONG, "strong").when(retention >= USABLE, "usable").otherwise("retry")
+
+
+def gate(n: Column, least: int = 50) -> Column:
+    """GO with enough rows, else STOP and how many it takes."""
+    return F.when(n >= least, "GO").otherwise(f"STOP_LT_{least}")
+
+
+def probe_tag(n: Column, least: int = 30) -> Column:
+    """PROBE for numbers too small to conclude from."""
+    return F.when(n < least, "PROBE").otherwise("")
+
+
+def failure_class(router: Column, validator: Column) -> Column:
+    """router_fail before validator_fail; none if both hold (a missing verdict is a failure)."""
+    return F.when(~F.coalesce(router, F.lit(False)), "router_fail").when(~F.coalesce(validator, F.lit(False)), "validator_fail").otherwise("none")

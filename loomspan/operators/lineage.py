@@ -38,10 +38,17 @@ def cover_counts(parts: DataFrame, expected: DataFrame, key: str) -> DataFrame:
 
 
 def merge_exact(parts: DataFrame, expected: DataFrame, key: str, order: str) -> DataFrame:
-    """The shards' rows in the expected order; raises unless they cover it exactly."""
+    """The shards' rows in the expected order; raises unless they cover it exactly, with counts and at most 20 examples of each fault."""
     found = cover_counts(parts, expected, key).first()
     if any(found):
-        raise ValueError(f"shards do not cover the ids: {found.asDict()}")
+        seen = parts.groupBy(key).agg(F.count("*").alias("n"))
+        some = lambda rows: [r[0] for r in rows.select(key).orderBy(key).limit(20).collect()]
+        examples = {
+            "duplicate": some(seen.filter("n > 1")),
+            "missing": some(expected.join(seen, key, "left_anti")),
+            "extra": some(seen.join(expected.select(key), key, "left_anti")),
+        }
+        raise ValueError(f"shards do not cover the ids: {found.asDict() | examples}")
     return parts.join(expected.select(key, order), key).orderBy(order)
 
 

@@ -1,48 +1,77 @@
 """Incremental collection: each record is judged once, however often it arrives.
 
-A file stream with a watermark-free ``dropDuplicates`` would keep every id for
-ever; ids live in the sink instead, dealt into buckets by their hash, and each
-micro-batch reads the ids of its own buckets only.
+Which keys were seen is state in the state store (RocksDB, a flag a key,
+checkpointed with the query), so a micro-batch looks up its own keys and reads
+nothing of the sink. New rows are judged and written in saves of a bounded
+number of rows, each with a commit record; a batch that is run again after a
+crash goes on behind its last save.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from loomspan.operators.ordering import positions
+from loomspan.sources.commits import Saves
+
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def new_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of a stream whose key comes for the first time; of several in one batch the least (nulls first)."""
+    rest = [c for c in rows.columns if c != key]
+
+    def first(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, least = state.exists, None
+        for frame in frames:
+            if known:
+                continue
+            frame = frame if least is None else pd.concat([least, frame])
+            least = frame.sort_values(rest, key=lambda c: c.map(repr) if c.map(lambda v: isinstance(v, (dict, list, tuple))).any() else c, na_position="first").head(1) if rest else frame.head(1)
+        if not known and least is not None:
+            state.update((True,))
+            yield least
+
+    return rows.groupBy(key).applyInPandasWithState(first, rows.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def save_in_parts(saves: Saves, rows: DataFrame, key: str, judge: Callable[[DataFrame], DataFrame], label: str, every: int) -> int:
+    """Judge and save ``rows`` in the order of their key, ``every`` rows a save; saves that stand are left. The number of saves."""
+    placed = positions(rows, [key], "_at")  # written once; the key is unique, so a second run cuts the same parts
+    parts = placed.select(F.max(F.floor((F.col("_at") - 1) / every)).alias("last")).first()["last"]
+    for k in range(0 if parts is None else parts + 1):
+        saves.write(f"{label}-{k:08d}", judge(placed.filter((F.col("_at") > k * every) & (F.col("_at") <= (k + 1) * every)).drop("_at")))
+    return 0 if parts is None else parts + 1
 
 
 def collect_stream(
-    spark: SparkSession, source: str, schema: str, key: str, judge: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, buckets: int = 256
+    spark: SparkSession, source: str, schema: str, key: str, judge: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, save_every: int = 1_000_000
 ) -> StreamingQuery:
-    """Start a query that appends ``judge(rows)`` for keys that ``sink`` lacks; run with availableNow.
+    """Start a query that saves ``judge(rows)`` for keys that no earlier batch had; run with availableNow.
 
-    Of several rows with one key in a batch the least counts. ``judge`` keeps
-    the key; the sink has a folder per ``_bucket`` of it.
+    ``judge`` keeps the key. The sink is a folder of ``Saves``.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    spark.conf.set(*STORE)
+    saves = Saves(spark, sink)
+    stream = new_keys(spark.readStream.schema(schema).json(source), key)
 
     def batch(rows: DataFrame, number: int) -> None:
-        fresh = rows.groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("r")).select(key, "r.*")
-        met = [r[0] for r in rows.select(bucket.alias("b")).distinct().collect()]  # at most the buckets
+        rows.persist()  # the ranges of the saves take a look at the keys first; state must not be asked twice
         try:
-            known = spark.read.parquet(sink).filter(F.col("_bucket").isin(met)).select(key)
-            fresh = fresh.join(known, key, "left_anti")
-        except AnalysisException as error:  # the first batch finds no sink
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-        judge(fresh).withColumn("_bucket", bucket).write.mode("append").partitionBy("_bucket").parquet(sink)
+            save_in_parts(saves, rows, key, judge, f"{number:010d}", save_every)
+        finally:
+            rows.unpersist()
 
-    stream = spark.readStream.schema(schema).json(source)
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_rates(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Success rate per arm and event-time window, for a stream or a table with ``ts``."""
+def windowed_rates(events: DataFrame, success: str = "success", arm: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Number and success rate per arm and event-time window, for a stream or a table with ``ts`` and a boolean ``success``."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
-    heavy = (F.col("value") > 8).cast("int")
-    return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg(heavy).alias("rate")).select(
-        F.col("w.start").alias("start"), "event_type", "n", "rate"
-    )
+    rates = rows.groupBy(F.window("ts", width).alias("w"), arm).agg(F.count("*").alias("n"), F.avg(F.col(success).cast("int")).alias("rate"))
+    return rates.select(F.col("w.start").alias("start"), arm, "n", "rate")
