@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomspan.functions.calls import pad_to
+from loomspan.functions.calls import pad_to, text_udf
 from loomspan.functions.text import FORMAT_WORDS, STOP_TERMS, TYPE_WORDS
 
 FAMILIES = ("STRUCT", "NL", "NL-padded")
@@ -246,6 +246,24 @@ def patches(failure: dict) -> list[Patch]:
     ]
 
 
+# The rule that a bundle gives each class of failure.
+REPAIR_RULES = {
+    True: "Choose the candidate function whose description best matches the user intent.",
+    False: "Fill every required parameter with the value and type indicated by the query and schema.",
+}
+
+
+def bundle(failure: dict) -> dict:
+    """All that a patch of either family may say of a failure: what it is about, its units, and the rule for its class."""
+    made, router, truth, got = units(failure), is_router(failure), _truth(failure), failure.get("predicted_call") or {}
+    out = {key: failure.get(key) for key in ("episode_id", "split", "failure_class")} | {"user_query": failure.get("query", "")}
+    out |= {"iu_set": [{"id": u.id, "kind": u.kind, "content": u.content} for u in made], "iu_ids": [u.id for u in made], "repair_rule": REPAIR_RULES[router]}
+    if router:
+        pool = [u.content for u in made if u.kind == "candidate_function"]
+        return out | {"candidate_functions": pool, "model_selected": got.get("name", "<parse_error>"), "gt_function": truth.get("name", "")}
+    return out | {"function_name": truth.get("name", ""), "parameters": parameters(failure), "gt_arguments": truth.get("accepted_arguments") or {}, "predicted_arguments": got.get("arguments") or {}}
+
+
 # ---- as Spark operators -------------------------------------------------
 
 
@@ -260,6 +278,12 @@ def materialize(failures: DataFrame, record: str = "record") -> DataFrame:
     return failures.select(record).mapInPandas(run, PATCH)
 
 
+def bundles(failures: DataFrame, record: str = "record") -> DataFrame:
+    """The rows with ``bundle``: the information bundle of each failure record, as JSON."""
+    run = text_udf(lambda s: json.dumps(bundle(json.loads(s)), ensure_ascii=False, sort_keys=True), "string", None)
+    return failures.withColumn("bundle", run(record))
+
+
 def relevance() -> Column:
     """Whether patch ``p`` concerns episode ``e`` of its target function.
 

@@ -67,10 +67,28 @@ def repr_text(text: Column) -> Column:
 
 
 def fixed4(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", value), F.lit("NA"))
+    return F.when(value.isNull(), "NA").otherwise(F.format_string("%.4f", value))
 
 
 def stable_name(path: Column, tag: str = "_seed20260703") -> Column:
     """A result's name: its file's name without the suffix and the seed's tag."""
     name = F.regexp_extract(path, r"([^/]*)/*$", 1)
     return F.replace(F.regexp_replace(name, r"(?<=[^.])\.[^.]+$", ""), F.lit(tag), F.lit(""))
+
+
+def safe_suffix(value: Column) -> Column:
+    """A value as the end of a file's name: other characters than letters, digits, ``_.-`` become ``_``; unknown if none is left."""
+    clean = F.btrim(F.regexp_replace(value.cast("string"), r"[^A-Za-z0-9_.-]+", "_"), F.lit("_"))
+    return F.coalesce(F.nullif(clean, F.lit("")), F.lit("unknown"))
+
+
+def coarse_family(name: Column) -> Column:
+    """A function's family: what stands before ``_<number>_``, before the first dot, or before the first underscore."""
+    numbered = F.regexp_extract(name, r"^([^_]+)_\d+_", 1)
+    return F.when(numbered != "", numbered).when(F.contains(name, F.lit(".")), F.substring_index(name, ".", 1)).otherwise(F.substring_index(name, "_", 1))
+
+
+def category_of_id(name: Column, recorded: Column, prefixes: dict[str, str]) -> Column:
+    """An episode's category: what is recorded, else that of the first prefix that its id has, else the id up to its first underscore."""
+    rules = [F.when(F.startswith(name, F.lit(p)), F.lit(c)) for p, c in prefixes.items()]
+    return F.coalesce(recorded, *rules, F.substring_index(name, "_", 1))

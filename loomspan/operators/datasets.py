@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomspan.functions import calls
 from loomspan.functions.numbers import replay_size
+from loomspan.functions.text import coarse_family
 from loomspan.operators import lineage, ordering as o
+from loomspan.shared import cut
 
 #: Columns of a training row.
 ROW = ("episode_id", "source", "partition", "failure_class", "function_name", "sample_index", "input", "output")
@@ -116,3 +118,50 @@ def build(teacher: DataFrame, star: DataFrame, replay: DataFrame, forbidden: dic
         for label, ids in forbidden.items():
             lineage.assert_disjoint(made[name], ids, "episode_id", f"{name} and {label}")
     return Datasets(made["main"], made["star"], counts)
+
+
+def with_tiers(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """Add ``tier``: 1 exact function of a training failure, 2 its coarse family, 3 any other."""
+    names = failed.select("function_name").distinct()
+    kinds = names.select(coarse_family(F.col("function_name")).alias("family")).distinct().withColumn("coarse", F.lit(True))
+    placed = rows.withColumn("family", coarse_family(F.col("function_name"))).join(names.withColumn("exact", F.lit(True)), "function_name", "left").join(kinds, "family", "left")
+    tier = F.when(F.col("exact"), 1).when(F.col("coarse"), 2).otherwise(3)
+    return placed.select(*rows.columns, tier.alias("tier"))
+
+
+def targeted(core: DataFrame, pool: DataFrame, failed: DataFrame, forbidden: dict[str, DataFrame], n: int, seed: int, label: str = "targeted") -> DataFrame:
+    """A core (its own replay left out) with n replay rows of ``pool`` near to what failed in training, with repeats.
+
+    Raises if the pool is empty, or if the set meets a forbidden id set.
+    """
+    for ids in forbidden.values():
+        pool = pool.join(ids.select("episode_id").distinct(), "episode_id", "left_anti").select(*pool.columns)
+    replay = o.staged_repeats(with_tiers(pool, failed), "tier", "episode_id", n, seed, label)
+    made = core.filter("partition <> 'replay'").withColumn("round", F.lit(0)).unionByName(replay.select(*core.columns, "round"))
+    for name, ids in forbidden.items():
+        lineage.assert_disjoint(made, ids, "episode_id", f"{label} set and {name}")
+    return made
+
+
+@dataclass
+class Capped:
+    arena: DataFrame
+    uniform: DataFrame
+    targeted: DataFrame
+
+
+def capped(pool: DataFrame, failed: DataFrame, forbidden: dict[str, DataFrame], unique: int, n: int, seed: int) -> Capped:
+    """A pool cut in ``unique`` replay rows and an arena that nothing trains on; n replay rows drawn from the former, both ways.
+
+    Raises if the pool is short, or if arena and replay, or the arena and a forbidden id set, meet.
+    """
+    size = pool.count()
+    if size < unique:
+        raise ValueError(f"{size} rows for {unique}")
+    parts = cut(o.cut_by_hash(pool, unique, [seed, "capped_arena_split", F.col("episode_id")], "episode_id", "allowed", "arena"))
+    arena, allowed = (parts.filter(F.col("part") == p).drop("part") for p in ("arena", "allowed"))
+    lineage.assert_disjoint(arena, allowed, "episode_id", "arena and replay")
+    for name, ids in forbidden.items():
+        lineage.assert_disjoint(arena, ids, "episode_id", f"arena and {name}")
+    uniform = o.take_with_repeats(allowed, "episode_id", n, seed, "capped_uniform")
+    return Capped(arena, uniform, o.staged_repeats(with_tiers(allowed, failed), "tier", "episode_id", n, seed, "capped_targeted").drop("tier"))

@@ -1,7 +1,8 @@
 """Names taken out of failure records: functions, fields, layers and errors get codes by first appearance.
 
 The mapping is as long as the schemas of the functions are wide, not as the
-table is long; its size is checked before it is sent to the tasks.
+table is long; it is sent to the tasks where its size allows it, else records
+meet it by a join on their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from loomspan.functions.calls import renamed, text_udf
 from loomspan.operators import ordering as o
 from loomspan.shared import cut
 
-#: Names of one kind up to which a mapping is sent to the tasks.
+#: Names up to which a mapping is sent to the tasks.
 MOST_NAMES = 200_000
 CODES = {"function": "fn_%04d", "field": "field_%04d", "layer": "layer_%02d", "error": "err_%02d"}
 # Labels that get codes whether a record has them or not.
@@ -69,8 +70,6 @@ def mapping(failures: DataFrame, layers: tuple[str, ...] = ()) -> DataFrame:
     fixed = [("layer", n, i) for i, n in enumerate(layers)] + [("error", n, (1 << 40) + i) for i, n in enumerate(EXTRA_ERRORS)]
     extra = failures.sparkSession.createDataFrame(fixed, "kind string, name string, ord long").withColumn("first", F.struct("ord", F.lit(0).alias("place")))
     whole = cut(firsts.unionByName(extra.select("kind", "name", "first")).groupBy("kind", "name").agg(F.min("first").alias("first")))
-    if whole.count() > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names")
     made = None
     for kind, code in CODES.items():
         placed = o.positions(whole.filter(F.col("kind") == kind), ["first", "name"]).select("kind", "name", F.format_string(code, "position").alias("code"))
@@ -85,21 +84,58 @@ class Decoupled:
     invariants: dict
 
 
-def decouple(failures: DataFrame, layers: tuple[str, ...] = ()) -> Decoupled:
-    """Records (ord, failure_class, record) recoded; raises unless all six invariants hold."""
-    codes = cut(mapping(failures, layers))
+def _looked_up(failure: dict) -> list[tuple[str, str]]:
+    """All (kind, name) that ``recoded`` asks for."""
+    trace = failure.get("trace") or {}
+    more = [(kind, trace[key]) for key, kind in (("harness_layer", "layer"), ("error_label", "error")) if isinstance(trace.get(key), str)]
+    return list(dict.fromkeys([*names_in(failure), *more]))
+
+
+def _by_map(failures: DataFrame, codes: DataFrame) -> DataFrame:
+    """Few names: the mapping goes to the tasks."""
     known = {kind: {} for kind in CODES}
     for r in codes.collect():  # at most MOST_NAMES rows
         known[r["kind"]][r["name"]] = r["code"]
     shipped = failures.sparkSession.sparkContext.broadcast(known)
     recode = text_udf(lambda s: json.dumps(recoded(json.loads(s), shipped.value), ensure_ascii=False), "string", None)
-    made = cut(failures.withColumn("record", recode("record")))
+    return failures.withColumn("record", recode("record"))
+
+
+def _by_join(failures: DataFrame, codes: DataFrame) -> DataFrame:
+    """Any number of names: each record's own names meet the dictionary and come back to it as a short list."""
+    listed = text_udf(lambda s: json.dumps(_looked_up(json.loads(s))), "string", None)
+    names = failures.select("ord", F.explode(F.from_json(listed("record"), "array<array<string>>")).alias("n"))
+    met = names.select("ord", F.col("n")[0].alias("kind"), F.col("n")[1].alias("name")).join(codes, ["kind", "name"])
+    own = met.groupBy("ord").agg(F.to_json(F.collect_list(F.struct("kind", "name", "code"))).alias("_codes"))  # the names of a record
+
+    def recode(record, short):
+        known = {kind: {} for kind in CODES}
+        for row in json.loads(short or "[]"):
+            known[row["kind"]][row["name"]] = row["code"]
+        return json.dumps(recoded(json.loads(record), known), ensure_ascii=False)
+
+    joined = failures.join(own, "ord", "left").withColumn("record", text_udf(recode, "string", None)("record", "_codes"))
+    return joined.select(*failures.columns)
+
+
+def invariants(failures: DataFrame, made: DataFrame, codes: DataFrame) -> dict:
+    """The six checks: classes as before, each kind's mapping one to one, no function's code an original name."""
     classes = lambda rows: rows.groupBy(F.get_json_object("record", "$.failure_class").alias("c")).agg(F.count("*").alias("n"))
     same = classes(failures).exceptAll(classes(made)).union(classes(made).exceptAll(classes(failures))).isEmpty()
     holds = {"failure_class_distribution_preserved": same}
+    counts = {r["kind"]: r["n"] == r["n_codes"] == r["n_names"] for r in codes.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("code").alias("n_codes"), F.countDistinct("name").alias("n_names")).collect()}
     for kind in CODES:
-        holds[f"{kind}_mapping_bijective"] = len(set(known[kind].values())) == len(known[kind])
-    holds["no_decoupled_function_name_equals_original"] = not set(known["function"]) & set(known["function"].values())
+        holds[f"{kind}_mapping_bijective"] = counts.get(kind, True)
+    functions = codes.filter("kind = 'function'")
+    holds["no_decoupled_function_name_equals_original"] = functions.join(functions.select(F.col("code").alias("name")), "name", "left_semi").isEmpty()
+    return holds
+
+
+def decouple(failures: DataFrame, layers: tuple[str, ...] = ()) -> Decoupled:
+    """Records (ord, failure_class, record) recoded; raises unless all six invariants hold."""
+    codes = cut(mapping(failures, layers))
+    made = cut(_by_map(failures, codes) if codes.count() <= MOST_NAMES else _by_join(failures, codes))
+    holds = invariants(failures, made, codes)
     if not all(holds.values()):
         raise ValueError(f"decoupling broke {[k for k, ok in holds.items() if not ok]}")
     return Decoupled(codes, made, holds)

@@ -1,10 +1,12 @@
 """Evolution of patches: splits, greedy loops, held-out evaluation and oracle, for several seeds.
 
 A loop is sequential over its candidates. But a candidate concerns only
-validation episodes of its own target function, and an outcome depends only on
-accepted patches that concern the same episode. Loops of different functions
-never meet, so the fold runs per (seed, family, function) in parallel and gives
-what one loop over all candidates gives.
+validation episodes of its own target function that share a chosen function or
+a parameter with it, and an outcome depends only on accepted patches that
+concern the same episode. Loops of different components of that relation never
+meet, so the fold runs per (seed, family, function, component) in parallel and
+gives what one loop over all candidates gives. A task holds the candidates and
+the episodes of its component, each once, never their pairs.
 
 The model is a runner built once a task: prompt and failure record in, raw
 output out. Episodes without a patch fail without asking it.
@@ -17,11 +19,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomspan.functions import calls, patches as p
 from loomspan.operators import loop, ordering as o
 from loomspan.operators.generation import generate, generate_where
+from loomspan.operators.groups import connected
 from loomspan.shared import cut
 
 Runner = Callable[[str, dict], str]
@@ -73,23 +76,72 @@ def judged(run: Runner, record: str, texts: list[str]) -> bool:
     return calls.verdict({"name": got.name, "arguments": got.arguments}, failure["ground_truth_call"])[2]
 
 
-def fold(pairs: DataFrame, make_runner: Callable[[], Runner]) -> DataFrame:
-    """Verdicts of all candidates that concern a validation episode, folded by rank per (seed, family, function)."""
+def hubs(component: Column, selected: Column, parameters: Column) -> Column:
+    """What a candidate meets episodes by: the function that was chosen in its place, or parameters."""
+    return F.when(component == "router", F.array(F.concat(F.lit("s:"), selected))).otherwise(F.transform(parameters, lambda x: F.concat(F.lit("p:"), x)))
+
+
+def episode_hubs() -> Column:
+    """What an episode is met by: the chosen function, those of its pool, its parameters."""
+    named = lambda kind, names: F.transform(names, lambda x: F.concat(F.lit(kind), x))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("s:"), F.col("selected"))), named("s:", F.col("pool")), named("p:", F.col("params"))))
+
+
+KEYS = ["seed", "target_function"]
+TAGGED = "rank long, patch_id string, patch_text string, component string, selected_function string, parameter_names array<string>, episode_id string, record string, selected string, pool array<string>, params array<string>"
+
+
+def in_components(candidates: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Candidates and episodes of one seed and function as rows of one table, with the component (``piece``) in which they may meet.
+
+    Rows that share a hub of some candidate are connected. Links run from a
+    row's first hub to its others, so there are as many as hubs, not as pairs
+    of rows. Episodes that no candidate concerns are left out.
+    """
+    left = candidates.withColumn("hubs", F.array_compact(hubs(F.col("component"), F.col("selected_function"), F.col("parameter_names")))).filter(F.size("hubs") > 0)
+    known = left.select(*KEYS, F.explode("hubs").alias("hub")).distinct()
+    right = episodes.select("seed", F.col("gt_name").alias("target_function"), "episode_id", F.explode(episode_hubs()).alias("hub"))
+    right = cut(right.join(known, [*KEYS, "hub"]).groupBy(*KEYS, "episode_id").agg(F.array_sort(F.collect_set("hub")).alias("hubs")))  # an episode's own hubs
+    node = lambda h: F.struct(*KEYS, h.alias("hub"))
+    of = lambda rows: rows.select(node(F.col("hubs")[0]).alias("a"), F.explode("hubs").alias("h"), *KEYS).select("a", node(F.col("h")).alias("b"))
+    roots = connected(of(left).unionByName(of(right)).distinct())
+    place = cut(roots.select("node", F.xxhash64("root").alias("piece")))  # two pieces under one number are folded together, which changes nothing
+
+    def placed(rows):
+        return rows.withColumn("node", node(F.col("hubs")[0])).join(place, "node").drop("node", "hubs")
+
+    met = placed(left).select("family", *KEYS, "piece", *(c.split()[0] for c in TAGGED.split(", ")[:6]))
+    cells = met.select("family", *KEYS, "piece").distinct()
+    own = episodes.select("seed", F.col("gt_name").alias("target_function"), "episode_id", "record", "selected", "pool", "params").join(placed(right), [*KEYS, "episode_id"])
+    return met.unionByName(own.join(cells, [*KEYS, "piece"]), allowMissingColumns=True)
+
+
+def fold(candidates: DataFrame, episodes: DataFrame, make_runner: Callable[[], Runner]) -> DataFrame:
+    """Verdicts of all candidates that concern an episode, folded by rank per component of each (seed, family, function)."""
 
     def run_group(rows: pd.DataFrame) -> pd.DataFrame:
         run, state, kept, out = make_runner(), {}, {}, []
-        for rank, scope in rows.sort_values(["rank", "episode_id"]).groupby("rank"):
-            one, names = scope.iloc[0], list(scope["episode_id"])
-            outcome = {e: judged(run, record, [*kept.get(e, []), one["patch_text"]]) for e, record in zip(names, scope["record"])}
-            fixed = sum(ok and not state.get(e, False) for e, ok in outcome.items())
-            regressed = sum(state.get(e, False) and not ok for e, ok in outcome.items())
+        tries = rows[rows["patch_id"].notna()].sort_values(["rank", "patch_id"])
+        asked = rows[rows["episode_id"].notna()].drop_duplicates("episode_id").set_index("episode_id").sort_index()
+        by_hub: dict[str, set] = {}
+        for name, row in asked.iterrows():
+            for hub in [f"s:{row['selected']}", *(f"s:{x}" for x in row["pool"]), *(f"p:{x}" for x in row["params"])]:
+                by_hub.setdefault(hub, set()).add(name)
+        for one in tries.to_dict("records"):
+            keys = [f"s:{one['selected_function']}"] if one["component"] == "router" else [f"p:{x}" for x in one["parameter_names"]]
+            names = sorted(set().union(*(by_hub.get(k, ()) for k in keys)))
+            if not names:
+                continue
+            outcome = {e: judged(run, asked.at[e, "record"], [*kept.get(e, []), one["patch_text"]]) for e in names}
+            gained, lost = loop.turned({e for e, ok in state.items() if ok}, outcome)
             state, good = loop.accept(state, outcome)
             for e in names if good else ():
                 kept.setdefault(e, []).append(one["patch_text"])
-            out.append((one["seed"], one["family"], one["target_function"], rank, one["patch_id"], good, len(names), fixed, regressed))
+            out.append((one["seed"], one["family"], one["target_function"], int(one["rank"]), one["patch_id"], good, len(names), len(gained), len(lost)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in VERDICT.split(", ")])
 
-    return pairs.groupBy("seed", "family", "target_function").applyInPandas(run_group, VERDICT)
+    rows = in_components(candidates, episodes)
+    return rows.groupBy("seed", "family", "target_function", "piece").applyInPandas(run_group, VERDICT)
 
 
 def _in_order(pairs: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -183,7 +235,7 @@ def evolve(failures: DataFrame, seeds: list[int], make_runner: Callable[[], Runn
     train = episodes.filter("part = 'train'").select("seed", "rank", F.col("episode_id").alias("trigger_episode_id"))
     candidates = made.filter(F.col("family").isin(list(families))).join(train, "trigger_episode_id")
     validation, held_out = (episodes.filter(F.col("part") == part) for part in ("validation", "held_out"))
-    verdicts = cut(fold(concerns(candidates, validation), make_runner))
+    verdicts = cut(fold(candidates, validation, make_runner))
     good = verdicts.filter("accepted").select("seed", "patch_id")
     accepted = cut(candidates.join(good, ["seed", "patch_id"]))
     none = held_out.select("seed", F.lit("no-evolution").alias("method"), "episode_id", "failure_class", F.lit(False).alias("success"), F.lit(0).cast("long").alias("n_patches"))
