@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from loomspan.operators import collection
+from loomspan.operators.probe import merge_shards
 from loomspan.operators.summaries import r6
 from loomspan.plans.registry import query
 from loomspan.sources import records, sinks
+from loomspan.sources.commits import Saves
+from loomspan.sources.shards import ShardRun
 from loomspan.shared import fresh_folder
 from loomspan.streaming import resume
 
@@ -170,8 +176,118 @@ def report_markdown(t):
 def stream_collect(t):
     """A file stream judged once per id, though every row arrives twice and the query starts again."""
     folder = fresh_folder(t.spark, "stream")
-    run = lambda: resume.collect_stream(t.spark, f"{folder}/in", LABELS, "doc_id", lambda rows: rows.select("doc_id", "quality", (F.col("quality") == 1).alias("success")), f"{folder}/out", f"{folder}/state")
+    judge = lambda rows: rows.select("doc_id", "quality", (F.col("quality") == 1).alias("success"))
     for _ in range(2):
         t.labels.write.mode("append").json(f"{folder}/in")
-        run().awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out").select("doc_id", "quality", "success")
+        resume.collect_stream(t.spark, f"{folder}/in", LABELS, "doc_id", judge, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return Saves(t.spark, f"{folder}/out").read().select("doc_id", "quality", "success")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg((value > 8)::INT), 6) AS rate FROM events GROUP BY 1, 2")
+def windowed_rates(t):
+    """Success rates per hour and arm."""
+    return resume.windowed_rates(t.events.withColumn("success", F.col("value") > 8)).withColumn("rate", r6(F.col("rate")))
+
+
+LABELLED = """e AS (SELECT doc_id, quality, toxic, row_number() OVER (ORDER BY doc_id) AS ord FROM labels),
+r AS (SELECT *, ((ord - 1) % 5)::INT AS shard, doc_id % 3 = 0 AS teacher_success, (quality * (doc_id % 4))::INT AS hits,
+  'fn_' || doc_id % 7 AS function_name, CASE WHEN toxic = 1 THEN 'router_fail' ELSE 'validator_fail' END AS failure_class FROM e),
+p AS (SELECT *, CASE WHEN hits > 0 THEN 'sampling_rescuable' WHEN teacher_success THEN 'scaffold_only' ELSE 'neither' END AS partition FROM r)"""
+
+
+def _shard_run(t):
+    """Five shards of the labelled documents: two are run, an attempt at the others loses rows of one, a last run takes up what is missing."""
+
+    def work(items):
+        kind = F.when(F.col("toxic") == 1, "router_fail").otherwise("validator_fail")
+        hits = (F.col("quality") * (F.col("doc_id") % 4)).cast("int")
+        return items.select(
+            "doc_id", "shard", (F.col("doc_id") % 3 == 0).alias("teacher_success"), hits.alias("hits"), F.concat(F.lit("fn_"), F.col("doc_id") % 7).alias("function_name"), kind.alias("failure_class"),
+            F.slice(F.sequence(F.lit(0), F.lit(3)), F.lit(1), hits).alias("successful"),
+        )
+
+    run = ShardRun(t.spark, fresh_folder(t.spark, "shards"), "doc_id")
+    run.prepare(t.labels, ["doc_id"], 5)
+    run.run(work, [0, 1])
+    try:
+        run.run(lambda items: work(items).filter("shard <> 3 OR doc_id % 2 = 0"), [2, 3, 4])
+    except ValueError:  # the lost shard has no commit
+        run.run(work)
+    return run
+
+
+@query(f"WITH {LABELLED} SELECT doc_id, ord, shard, function_name, partition FROM p")
+def shard_runs(t):
+    """Rows of the merged shards in order, though one was lost on the way."""
+    merged = merge_shards(_shard_run(t).merge(), "doc_id", {})
+    return merged.records.select("doc_id", "ord", "shard", "function_name", "partition")
+
+
+@query(f"""
+WITH {LABELLED} SELECT count(*) AS total_failures, count(*) FILTER (teacher_success) AS repaired_count, CASE WHEN count(*) FILTER (teacher_success) >= 50 THEN 'GO' ELSE 'STOP_LT_50' END AS gate,
+  count(*) FILTER (partition = 'scaffold_only') AS scaffold_only, round(count(*) FILTER (partition = 'scaffold_only') / count(*), 6) AS scaffold_only_rate,
+  round(count(*) FILTER (partition = 'sampling_rescuable' AND teacher_success) / count(*) FILTER (teacher_success), 6) AS rescued_repaired_rate,
+  (SELECT count(*) FROM p WHERE teacher_success) AS repaired_rows, (SELECT sum(hits) FROM p)::BIGINT AS sample_rows FROM p""")
+def shard_inventory(t):
+    """The four outputs of the merge, read back."""
+    folder = fresh_folder(t.spark, "merged")
+    held_out = t.documents.select(-F.col("doc_id") - 1).toDF("doc_id")  # no repaired record is in it
+    merge_shards(_shard_run(t).merge(), "doc_id", {"held-out": held_out}, folder)
+    n = lambda name: records.jsonl(t.spark, f"{folder}/{name}", "doc_id long").agg(F.count("*").alias(f"{name}_rows"))
+    shown = records.json_document(t.spark, f"{folder}/partition").select(
+        "total_failures", "repaired_count", "scaffold_only", r6(F.col("scaffold_only_rate")).alias("scaffold_only_rate"), r6(F.col("sampling_rescuable_repaired_rate")).alias("rescued_repaired_rate")
+    )
+    gate = records.json_document(t.spark, f"{folder}/inventory").select("gate")
+    counts = n("repaired").join(n("samples").withColumnRenamed("samples_rows", "sample_rows"), F.lit(True))
+    return shown.join(gate, F.lit(True)).join(counts, F.lit(True))  # one row each
+
+
+EPISODES = """e AS (SELECT doc_id, quality, toxic, 'q' || doc_id AS episode_id, CASE WHEN quality = 1 THEN 'multiple' ELSE 'simple' END AS split, lang AS category,
+  lang || '/' || toxic || '/' || doc_id % 5 AS query FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT *, doc_id % 5 <> 4 AS parsed, doc_id % 5 NOT IN (3, 4) AS router_success, doc_id % 5 NOT IN (2, 3, 4) AS call_success FROM e)"""
+
+
+def _collected(t):
+    """Records of the labelled documents' episodes; the first run ends after one save, the second takes up the rest."""
+    lang, rest = F.col("lang"), (F.col("doc_id") % 5).cast("string")
+    rows = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").select(
+        F.concat(F.lit("q"), F.col("doc_id")).alias("episode_id"),
+        F.when(F.col("quality") == 1, "multiple").otherwise("simple").alias("split"),
+        lang.alias("category"),
+        F.concat_ws("/", lang, F.col("toxic"), rest).alias("query"),
+        F.to_json(F.array(F.struct(F.concat(F.lit("read_"), lang).alias("name")))).alias("function_pool"),
+        F.to_json(F.struct(F.concat(F.lit("read_"), lang).alias("name"), F.create_map(F.lit("toxic"), F.array("toxic")).alias("accepted_arguments"))).alias("ground_truth"),
+    )
+
+    def make_runner():
+        def answer(query):
+            """A right call, or one of four kinds of wrong ones, by the question."""
+            lang, toxic, form = query.split("/")
+            if form == "4":
+                return f"I cannot read {lang}"
+            name = f"write_{lang}" if form == "3" else f"read_{lang}"
+            return json.dumps({"name": name, "arguments": {"toxic": int(toxic) + (form == "2")}})
+
+        return answer
+
+    folder = fresh_folder(t.spark, "collection")
+    order, half = ["split", "category", "episode_id"], max(1, rows.count() // 2)
+    collection.collect(rows, order, make_runner, folder, half, most_saves=1)
+    return collection.collect(rows, order, make_runner, folder, half)
+
+
+@query(f"""
+WITH {EPISODES} SELECT episode_id, split, category, query, parsed, router_success, call_success, CASE WHEN NOT router_success THEN 'router_fail' WHEN NOT call_success THEN 'validator_fail' ELSE 'none' END AS failure_class,
+  CASE WHEN parsed THEN CASE WHEN doc_id % 5 = 3 THEN 'write_' ELSE 'read_' END || category END AS predicted_name FROM r""")
+def collect_run(t):
+    """Scan, sort, resume, generate, judge and save: every episode asked once over two runs."""
+    name = F.get_json_object("predicted_call", "$.name").alias("predicted_name")
+    return _collected(t).select("episode_id", "split", "category", "query", F.col("parse_error").isNull().alias("parsed"), "router_success", "call_success", "failure_class", name)
+
+
+@query(f"""
+WITH {EPISODES} SELECT split, count(*) AS n_total, count(*) FILTER (NOT call_success) AS n_failures, count(*) FILTER (NOT router_success) AS n_router_fail,
+  count(*) FILTER (router_success AND NOT call_success) AS n_validator_fail, count(*) FILTER (NOT call_success) > 0 AS some_fail, count(*) FILTER (call_success) > 0 AS some_pass FROM r GROUP BY split""")
+def collect_summary(t):
+    """The report of a collection, with its two checks per split."""
+    return collection.summary(_collected(t))

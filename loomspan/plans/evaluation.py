@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from loomspan.operators import ordering as o
-from loomspan.operators.summaries import bootstrap_means, pareto_frontier as frontier, r6, ratio, score_summary
+from loomspan.operators.skyline import skyline
+from loomspan.operators.summaries import bootstrap_means, r6, ratio, score_summary
 from loomspan.plans.registry import query
 from loomspan.functions.drift import drift_type, exit_label, retention_band, subtype
 from loomspan.plans.samples import arg_k, SPLIT
@@ -190,7 +191,7 @@ WITH {DAYS}, k AS (SELECT user_id, CASE WHEN a = 1 THEN 'ep1' WHEN b = 1 THEN 'e
 SELECT dose, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS low, max(value) AS high FROM k JOIN events USING (user_id) GROUP BY dose""")
 def dose_order(t):
     dose = F.when(F.col("a") == 1, "ep1").when(F.col("b") == 1, "ep2").otherwise("never")
-    return _days(t).select("user_id", dose.alias("dose")).join(t.events.select("user_id", "value"), "user_id").groupBy("dose").agg(*score_summary("value"))
+    return _days(t).select("user_id", dose.alias("dose")).join(t.events.select("user_id", "value"), "user_id").transform(score_summary, ["dose"], "value")
 
 
 DAILY = """d AS (SELECT ts::DATE AS day, avg((event_type = 'purchase')::INT) AS repair, avg((event_type = 'error')::INT) AS forget FROM events GROUP BY 1)"""
@@ -213,7 +214,7 @@ def dose_exchange(t):
 SELECT event_type, value > 8 AS heavy, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS low, max(value) AS high
 FROM events GROUP BY 1, 2""")
 def transfer_contrast(t):
-    return t.events.groupBy("event_type", (F.col("value") > 8).alias("heavy")).agg(*score_summary("value"))
+    return score_summary(t.events.withColumn("heavy", F.col("value") > 8), ["event_type", "heavy"], "value")
 
 
 @query("""
@@ -222,7 +223,7 @@ SELECT event_type, count(margin) AS n, round(avg(margin), 6) AS mean, round(medi
 def margin_summary(t):
     means = t.events.groupBy("user_id").agg(F.avg("value").alias("own"))
     rows = t.events.join(means, "user_id").select("event_type", (F.col("value") - F.col("own")).alias("margin"))
-    return rows.groupBy("event_type").agg(*score_summary("margin")).withColumns({"low": r6(F.col("low")), "high": r6(F.col("high"))})
+    return score_summary(rows, ["event_type"], "margin").withColumns({"low": r6(F.col("low")), "high": r6(F.col("high"))})
 
 
 @query("""
@@ -254,7 +255,16 @@ def _points(t):
 @query(f"""
 WITH {POINTS} SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE (q.repair > p.repair AND q.forget <= p.forget) OR (q.repair >= p.repair AND q.forget < p.forget))""")
 def pareto_frontier(t):
-    return frontier(_points(t), "repair", "forget")
+    return skyline(_points(t), ["repair"], ["forget"])
+
+
+@query("""
+WITH p AS (SELECT user_id, round(avg(value), 4) AS repair, round(avg((event_type = 'error')::INT), 4) AS forget, count(DISTINCT props) AS cost FROM events GROUP BY user_id)
+SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.repair >= p.repair AND q.forget <= p.forget AND q.cost <= p.cost AND (q.repair > p.repair OR q.forget < p.forget OR q.cost < p.cost))""")
+def skyline_three(t):
+    """The frontier of three measures: repair, forgetting and cost."""
+    costs = t.events.groupBy("user_id").agg(F.countDistinct("props").alias("cost"))
+    return skyline(_points(t).join(costs, "user_id"), ["repair"], ["forget", "cost"])
 
 
 @query(f"WITH {POINTS} SELECT user_id, repair, forget FROM p ORDER BY (forget <= 0.1) DESC, repair DESC, user_id LIMIT 1")

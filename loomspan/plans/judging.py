@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Window as W, functions as F
 
-from loomspan.functions import calls as c
-from loomspan.functions.numbers import cosine_rate, divergence
+from loomspan.functions import calls as c, tables
+from loomspan.functions.numbers import BUDGET_TIERS, cosine_rate, divergence, in_budget_tiers
 from loomspan.functions.text import first_concrete as first_filled
 from loomspan.operators import loop, ordering as o
 from loomspan.operators.summaries import r6
@@ -53,6 +54,40 @@ def oracle_first_success(t):
     return out.withColumn("first", F.coalesce("first", F.lit(-1)))
 
 
+USED = "e AS (SELECT event_id, 1 + (event_type = 'purchase')::INT AS calls, floor(value * 10)::BIGINT AS ms, length(props) * 3 AS tokens FROM events)"
+
+
+def _used(t):
+    calls = 1 + (F.col("event_type") == "purchase").cast("int")
+    return t.events.select("event_id", calls.alias("calls"), F.floor(F.col("value") * 10).alias("ms"), (F.length("props") * 3).alias("tokens"))
+
+
+def _over(a: int, b: int, c: int) -> str:
+    return f"calls_upto > {a} OR ms_upto > {b} OR tokens_upto > {c}"
+
+
+@query(f"""
+WITH {USED}, r AS (SELECT *, sum(calls) OVER w AS calls_upto, sum(ms) OVER w AS ms_upto, sum(tokens) OVER w AS tokens_upto FROM e WINDOW w AS (ORDER BY event_id))
+SELECT event_id, calls_upto::BIGINT AS calls_upto, ms_upto::BIGINT AS ms_upto, tokens_upto::BIGINT AS tokens_upto,
+  {", ".join(f"{_over(*BUDGET_TIERS[tier])} AS over_{tier}" for tier in BUDGET_TIERS)} FROM r""")
+def budget_totals(t):
+    """Running calls, milliseconds and tokens over all events, and which tiers' caps they are over."""
+    out = in_budget_tiers(_used(t), ["event_id"], "calls", "ms", "tokens")
+    return out.select("event_id", "calls_upto", "ms_upto", "tokens_upto", *(f"over_{tier}" for tier in BUDGET_TIERS))
+
+
+@query(f"""
+WITH {USED}, r AS (SELECT *, sum(calls) OVER w AS calls_upto, sum(ms) OVER w AS ms_upto, sum(tokens) OVER w AS tokens_upto FROM e WINDOW w AS (ORDER BY event_id))
+{" UNION ALL ".join(f"SELECT '{tier}' AS tier, min(event_id) AS first_over, count(*) AS n_over FROM r WHERE {_over(*BUDGET_TIERS[tier])}" for tier in BUDGET_TIERS)}""")
+def budget_first_over(t):
+    """The first event over each tier's caps, and how many are."""
+    out = in_budget_tiers(_used(t), ["event_id"], "calls", "ms", "tokens")
+    over = [F.when(F.col(f"over_{tier}"), F.lit(tier)) for tier in BUDGET_TIERS]
+    hits = out.select("event_id", F.explode(F.array_compact(F.array(*over))).alias("tier")).groupBy("tier").agg(F.min("event_id").alias("first_over"), F.count("*").alias("n_over"))
+    tiers = t.spark.createDataFrame([(tier,) for tier in BUDGET_TIERS], "tier string")
+    return tiers.join(hits, "tier", "left").na.fill(0, ["n_over"])
+
+
 def _pool(t):
     """Per user: arms in order of appearance (one entry an event arm, at most five)."""
     firsts = t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("at"), F.min_by("value", "event_id").alias("value"))
@@ -219,12 +254,35 @@ def parse_model_output(t):
     return rows.select("event_id", "call.name", "call.arguments", F.col("call").isNull().alias("parse_error"))
 
 
+def _two_calls():
+    return F.concat(F.lit("Calls: ["), call_object(), F.lit(', {"other": {"a": 1}}] end'))
+
+
 @query("""SELECT event_id, 2::BIGINT AS n_calls, event_type AS first_name, 'other' AS second_name FROM events""")
 def parse_multi(t):
-    parse = c.text_udf(lambda s: json.dumps([x.name for x in c.calls_in_output(s)]), "string", None)
-    output = F.concat(F.lit("Calls: ["), call_object(), F.lit(', {"other": {"a": 1}}] end'))
-    rows = t.events.select("event_id", F.from_json(parse(output), "array<string>").alias("names"))
-    return rows.select("event_id", F.size("names").cast("long").alias("n_calls"), F.get("names", F.lit(0)).alias("first_name"), F.get("names", F.lit(1)).alias("second_name"))
+    found = tables.output_calls(t.events.select("event_id", _two_calls().alias("output")), "output")
+    name = lambda place: F.max(F.when(F.col("place") == place, F.col("name")))
+    return found.groupBy("event_id").agg(F.count("*").alias("n_calls"), name(1).alias("first_name"), name(2).alias("second_name"))
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type, props->>'k' AS k FROM events)
+SELECT event_id, 1 AS place, event_type AS name, '{"k": ' || k || '}' AS arguments, NULL AS error FROM e WHERE event_id % 4 <> 3
+UNION ALL SELECT event_id, 2, 'other', '{"a": 1}', NULL FROM e WHERE event_id % 4 IN (0, 1)
+UNION ALL SELECT event_id, 0, NULL, NULL, 'no calls' FROM e WHERE event_id % 4 = 3""")
+def call_rows(t):
+    """A row for each call of an output, with its place; outputs of two calls, of one, of none."""
+    form = F.col("event_id") % 4
+    output = F.when(form < 2, _two_calls()).when(form == 2, F.concat(F.lit("so: "), call_object())).otherwise(F.concat(F.lit("no idea of "), "event_type"))
+    found = tables.output_calls(t.events.select("event_id", output.alias("output")), "output")
+    return found.select("event_id", "place", "name", "arguments", "error")
+
+
+@query("""SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS n_e, ceil(length(text) / 4.0)::BIGINT AS n_quarters FROM documents""")
+def injected_tokens(t):
+    """Token counts by two injected tokenizers."""
+    letters, quarters = tables.token_count(lambda: lambda s: re.findall("e", s)), tables.token_count(lambda: lambda s: range(0, len(s), 4))
+    return t.documents.select("doc_id", letters(F.col("text")).alias("n_e"), quarters(F.col("text")).alias("n_quarters"))
 
 
 @query("""SELECT event_id, event_type AS name, '{"k": [' || (props->>'k') || ', ""]}' AS accepted FROM events""")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomspan.functions import drift, text
 from loomspan.functions.text import stable_name as name_of
 
 from loomspan.operators.summaries import ci95 as interval, r6, ratio, score_summary as scores, upper_median as upper
 from loomspan.operators.generation import partition_of
+from loomspan.operators.ranks import quantiles
 from loomspan.plans.registry import query
 from loomspan.plans.samples import arg_k
 
@@ -109,14 +111,23 @@ def field_coverage(t):
 @query("""
 SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS low, max(value) AS high FROM events GROUP BY event_type""")
 def score_summary(t):
-    return t.events.groupBy("event_type").agg(*scores("value"))
+    return scores(t.events, ["event_type"], "value")
 
 
 @query("""
 SELECT event_type, user_id % 4 AS bucket, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS low, max(value) AS high
 FROM events GROUP BY 1, 2""")
 def score_by_group(t):
-    return t.events.groupBy("event_type", (F.col("user_id") % 4).alias("bucket")).agg(*scores("value"))
+    return scores(t.events.withColumn("bucket", F.col("user_id") % 4), ["event_type", "bucket"], "value")
+
+
+@query("""
+SELECT user_id % 3 AS part, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99
+FROM events GROUP BY 1""")
+def score_quantiles(t):
+    """Interpolated quantiles of large groups, exact."""
+    found = quantiles(t.events.withColumn("part", F.col("user_id") % 3), ["part"], "value", 0.1, 0.9, 0.99)
+    return found.select("part", *(r6(F.col("quantiles")[i]).alias(name) for i, name in enumerate(("p10", "p90", "p99"))))
 
 
 USERS = """p AS (SELECT user_id, CASE WHEN bool_or(event_type = 'click' AND value > 100) THEN 'sampling_rescuable'
@@ -151,18 +162,17 @@ def partition_stats(t):
 
 @query("SELECT doc_id, CASE WHEN quality <> 1 THEN 'router_fail' WHEN toxic <> 1 THEN 'validator_fail' ELSE 'none' END AS failure_class FROM labels")
 def classify_failure(t):
-    label = F.when(F.col("quality") != 1, "router_fail").when(F.col("toxic") != 1, "validator_fail").otherwise("none")
-    return t.labels.select("doc_id", label.alias("failure_class"))
+    return t.labels.select("doc_id", drift.failure_class(F.col("quality") == 1, F.col("toxic") == 1).alias("failure_class"))
 
 
 @query("SELECT source, count(*) AS n, CASE WHEN count(*) >= 50 THEN 'GO' ELSE 'STOP_LT_50' END AS gate FROM documents GROUP BY source")
 def gate_label(t):
-    return t.documents.groupBy("source").agg(F.count("*").alias("n")).withColumn("gate", F.when(F.col("n") >= 50, "GO").otherwise("STOP_LT_50"))
+    return t.documents.groupBy("source").agg(F.count("*").alias("n")).withColumn("gate", drift.gate(F.col("n")))
 
 
 @query("SELECT source, lang, count(*) AS n, CASE WHEN count(*) < 30 THEN 'PROBE' ELSE '' END AS tag FROM documents GROUP BY source, lang")
 def probe_tag(t):
-    return t.documents.groupBy("source", "lang").agg(F.count("*").alias("n")).withColumn("tag", F.when(F.col("n") < 30, "PROBE").otherwise(""))
+    return t.documents.groupBy("source", "lang").agg(F.count("*").alias("n")).withColumn("tag", drift.probe_tag(F.col("n")))
 
 
 @query("""
@@ -180,9 +190,7 @@ def coarse_family(t):
         .otherwise(F.col("p_type"))
     )
     rows = t.part.select("p_partkey", name.alias("name"))
-    numbered = F.regexp_extract("name", r"^([^_]+)_\d+_", 1)
-    family = F.when(numbered != "", numbered).when(F.contains("name", F.lit(".")), F.substring_index("name", ".", 1)).otherwise(F.substring_index("name", "_", 1))
-    return rows.select("p_partkey", family.alias("family"))
+    return rows.select("p_partkey", text.coarse_family(F.col("name")).alias("family"))
 
 
 @query("""
@@ -191,16 +199,15 @@ SELECT doc_id, coalesce(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 're
 def category_from_id(t):
     rows = t.documents.select("doc_id", F.concat_ws("_", "lang", "source", F.col("doc_id").cast("string")).alias("id"))
     known = t.labels.select("doc_id", F.lit("recorded").alias("known"))
-    rule = F.when(F.startswith("id", F.lit("en_src1")), "live").when(F.startswith("id", F.lit("en")), "simple")
     joined = rows.join(known, "doc_id", "left")
-    return joined.select("doc_id", F.coalesce("known", rule, F.substring_index("id", "_", 1)).alias("category"))
+    found = text.category_of_id(F.col("id"), F.col("known"), {"en_src1": "live", "en": "simple"})
+    return joined.select("doc_id", found.alias("category"))
 
 
 @query("""
 SELECT page_id, coalesce(nullif(trim(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'unknown') AS suffix FROM pages""")
 def safe_suffix(t):
-    clean = F.btrim(F.regexp_replace("url", r"[^A-Za-z0-9_.-]+", "_"), F.lit("_"))
-    return t.pages.select("page_id", F.coalesce(F.nullif(clean, F.lit("")), F.lit("unknown")).alias("suffix"))
+    return t.pages.select("page_id", text.safe_suffix(F.col("url")).alias("suffix"))
 
 
 @query(r"""
