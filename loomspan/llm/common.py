@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomspan.shared import cut, fresh_folder, shared_dir  # noqa: F401  the operators take them from here
+from loomspan.shared import cut, drop_folder, fresh_folder, settle, shared_dir  # noqa: F401  the operators take them from here
 from loomspan.shipping import ship
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,4 +75,5 @@ def whole_row(df: DataFrame, but: str | None = None) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
