@@ -9,7 +9,7 @@ stage at most.
 from __future__ import annotations
 
 from loomspan.llm import bpe, decontam, pii, quality, simhash
-from loomspan.llm.common import fresh_folder
+from loomspan.llm.common import drop_folder, fresh_folder
 
 STAGES = [
     ("quality_rules", quality.stage),
@@ -24,9 +24,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         folder = f"{fresh_folder(spark, 'pipeline')}/{name}"
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:  # its output stands, so nobody reads the stage's input again
+            drop_folder(spark, before)
+        before = folder
     return docs
