@@ -61,14 +61,11 @@ def source_document(t):
 WITH l AS (SELECT lang, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY lang)
 SELECT lang AS category, n, first_id FROM l WHERE lang <> 'en'""")
 def source_categories(t):
-    """One document of records per category, chosen by a name pattern, the category taken from the file's name."""
+    """Records of several categories, chosen by a name pattern, the category taken from the name."""
     folder = fresh_folder(t.spark, "categories")
-    langs = [r["lang"] for r in t.documents.select("lang").distinct().collect()]  # one file each
-    for lang in langs:
-        ids = t.documents.filter(F.col("lang") == lang).select("doc_id")
-        prefix = "other" if lang == "en" else "Data"
-        sinks.write_file(ids, f"{folder}/{prefix}_v1_{lang}.json")
-    rows = records.jsonl(t.spark, folder, "doc_id long", name_pattern="Data_v1_*.json")
+    prefix = F.when(F.col("lang") == "en", "other").otherwise("Data")
+    sinks.write_named(t.documents.select("doc_id", F.concat(prefix, F.lit("_v1_"), "lang", F.lit(".json")).alias("file")), folder, "file")
+    rows = records.named_jsonl(t.spark, folder, "doc_id long", "Data_v1_*.json")
     return rows.groupBy(records.category().alias("category")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
@@ -76,7 +73,8 @@ def source_categories(t):
 def source_shards(t):
     """Exploded records of shard documents named in a list of paths."""
     folder = fresh_folder(t.spark, "shards")
-    spread = t.documents.select("doc_id", "lang", F.concat(F.lit("part-"), (F.col("doc_id") % 3).cast("string")).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("chunk"))
+    chunks = 1 + t.documents.count() // 3_000  # a document holds some thousand records, whatever the table's size
+    spread = t.documents.select("doc_id", "lang", F.concat(F.lit("part-"), (F.col("doc_id") % 3).cast("string")).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"))
     docs = spread.groupBy("shard", "chunk").agg(F.collect_list(F.struct("doc_id", "lang")).alias("records"))
     docs.repartition("shard", "chunk").write.partitionBy("shard", "chunk").json(folder)  # one document a file
     schema = "records array<struct<doc_id:long,lang:string>>"
@@ -91,12 +89,11 @@ def _files(t):
     name = F.concat(F.lit("q"), F.col("doc_id").cast("string"))
     fn = F.struct(F.concat(F.lit("read_"), "lang").alias("name"), F.lit("reads").alias("description"))
     question = F.concat(F.lit("text "), F.col("doc_id").cast("string"))
-    for quality in (0, 1):
-        one = rows.filter(F.col("quality") == quality)
-        sinks.write_file(one.select(name.alias("id"), question.alias("question"), F.array(fn).alias("function")), f"{folder}/questions/Data_v1_quality{quality}.json")
-        truth = F.array(F.create_map(F.concat(F.lit("read_"), "lang"), F.create_map(F.lit("k"), F.array("toxic"))))
-        sinks.write_file(one.select(name.alias("id"), truth.alias("ground_truth")), f"{folder}/answers/Data_v1_quality{quality}.json")
-    read = lambda side: records.jsonl(t.spark, f"{folder}/{side}")
+    file = F.concat(F.lit("Data_v1_quality"), F.col("quality").cast("string"), F.lit(".json")).alias("file")
+    truth = F.array(F.create_map(F.concat(F.lit("read_"), "lang"), F.create_map(F.lit("k"), F.array("toxic"))))
+    sinks.write_named(rows.select(name.alias("id"), question.alias("question"), F.array(fn).alias("function"), file), f"{folder}/questions", "file")
+    sinks.write_named(rows.select(name.alias("id"), truth.alias("ground_truth"), file), f"{folder}/answers", "file")
+    read = lambda side: records.named_jsonl(t.spark, f"{folder}/{side}")
     return records.episodes(read("questions"), read("answers"))
 
 
@@ -120,7 +117,7 @@ def load_unrecorded(t):
     """The same without the episodes of one category that an earlier output records."""
     rows = _shown(_files(t))
     recorded = rows.filter("category = 'quality1' and accepted = 1")
-    return records.without_recorded(rows, recorded).orderBy("category", "episode_id")
+    return records.in_order(records.without_recorded(rows, recorded))
 
 
 @query("""

@@ -22,6 +22,14 @@ def jsonl(spark: SparkSession, path, schema=None, name_pattern: str | None = Non
     return lines.select(F.parse_json("value").alias("record"), "file_name")
 
 
+def named_jsonl(spark: SparkSession, path: str, schema=None, name_pattern: str = "*") -> DataFrame:
+    """As ``jsonl`` over a folder of ``name=<file name>`` folders, each written by many tasks; the folder's name is the file's."""
+    lines = spark.read.option("basePath", path).text(f"{path}/name={name_pattern}").filter(F.trim("value") != "").select("value", F.col("name").alias("file_name"))
+    if schema is not None:
+        return lines.select(F.from_json("value", schema).alias("r"), "file_name").select("r.*", "file_name")
+    return lines.select(F.parse_json("value").alias("record"), "file_name")
+
+
 def jsonl_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An optional source: no file gives no rows."""
     if not exists(spark, path):
@@ -91,6 +99,11 @@ def without_recorded(rows: DataFrame, recorded: DataFrame, key: str = "episode_i
     return rows.join(recorded.select(key), key, "left_anti")
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Loaded episodes in their reading order: by category, then id."""
+    return rows.orderBy("category", "episode_id")
+
+
 def failures_of(rows: DataFrame, split: str, seed: int) -> DataFrame:
     """The failed records of a split with their part of the hash split."""
     failed = rows.filter((F.col("split") == split) & (~F.col("call_success")))

@@ -12,6 +12,11 @@ def write_jsonl(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").json(path)
 
 
+def write_named(df: DataFrame, path: str, name: str) -> None:
+    """Rows as JSON lines in a folder for each value of ``name`` (for ``records.named_jsonl``); every task writes its own part of each."""
+    df.withColumnRenamed(name, "name").write.partitionBy("name").json(path)
+
+
 def write_file(df: DataFrame, path: str) -> None:
     """Rows as JSON lines in one file of this name (for sources that tell categories by file names)."""
     spark, partial = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
