@@ -116,3 +116,25 @@ def test_skyline_of_three_measures(spark, monkeypatch, few, block):
     got = sorted(map(tuple, skyline.skyline(rows, ["m0", "b"], ["c"]).collect()))
     assert got == plain_frontier(data, (0, 1), (2,)) and got.count((24, 24, 0)) == 2
     assert skyline.skyline(rows.filter("false"), ["b"], ["c"]).count() == 0
+
+
+def test_bootstrap_by_counts(spark, monkeypatch):
+    """Means and spread of the resamples are those of the sample; the same whatever the partitions; blocks change nothing but the draws."""
+    rng = random.Random(9)
+    data = [rng.choice([-1.0, 0.0, 0.0, 1.0, 1.0, 2.5]) for _ in range(4_000)]
+    rows = spark.createDataFrame([(v,) for v in data] + [(None,)], "d double")
+    mean, std = statistics.fmean(data), statistics.pstdev(data)
+    for block in (100_000, 2):
+        monkeypatch.setattr(summaries, "BLOCK", block)
+        found = {r.replicate: r.mean for r in summaries.bootstrap_by_counts(rows, "d", 600).collect()}
+        again = {r.replicate: r.mean for r in summaries.bootstrap_by_counts(rows.repartition(7), "d", 600).collect()}
+        assert found == again and set(found) == set(range(600)) and len(set(found.values())) > 300
+        assert abs(statistics.fmean(found.values()) - mean) < 5 * std / 4_000**0.5 / 600**0.5
+        assert 0.9 < statistics.stdev(found.values()) / (std / 4_000**0.5) < 1.1
+    assert summaries.bootstrap_by_counts(rows.filter("false"), "d", 5).count() == 0
+
+
+def test_bootstrap_of_many_distinct_values(spark, monkeypatch):
+    monkeypatch.setattr(summaries, "BLOCK", 3_000)
+    means = [r.mean for r in summaries.bootstrap_means(spark.range(12_000).selectExpr("id / 12000 AS d"), "d", 40).collect()]
+    assert len(means) == 40 and all(abs(m - 0.5) < 0.02 for m in means) and len(set(means)) == 40
