@@ -58,6 +58,12 @@ def two_sided(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return left.union(b.select(key).join(a.select(key), key, "left_anti").withColumn("direction", F.lit("only_b")))
 
 
+def bijections(pairs: DataFrame, mapping: str, key: str, code: str) -> DataFrame:
+    """Per mapping (pairs of key and code) the numbers of keys and codes, and whether it is one to one."""
+    counts = pairs.select(mapping, key, code).distinct().groupBy(mapping).agg(F.count("*").alias("_n"), F.countDistinct(key).alias("n_keys"), F.countDistinct(code).alias("n_codes"))
+    return counts.select(mapping, "n_keys", "n_codes", ((F.col("n_keys") == F.col("n_codes")) & (F.col("_n") == F.col("n_keys"))).alias("bijective"))
+
+
 def touch_status(rows: DataFrame, group: str, trained: str, evaluated: str) -> DataFrame:
     """train_touched > eval_touched_only > never_touched, per group."""
     out = rows.groupBy(group).agg(F.bool_or(F.coalesce(trained, F.lit(False))).alias("t"), F.bool_or(F.coalesce(evaluated, F.lit(False))).alias("e"))

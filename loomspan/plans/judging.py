@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Window as W, functions as F
 
 from loomspan.functions import calls as c, tables
+from loomspan.functions.drift import failure_class
 from loomspan.functions.numbers import BUDGET_TIERS, cosine_rate, divergence, in_budget_tiers
 from loomspan.functions.text import first_concrete as first_filled
 from loomspan.operators import loop, ordering as o
@@ -107,8 +108,9 @@ def schema_lookup(t):
 @query(f"""
 WITH {POOL} SELECT user_id, coalesce(first(event_type ORDER BY pos) FILTER (event_type <> 'click'), 'click__wrong') AS wrong FROM f GROUP BY user_id""")
 def wrong_function_case(t):
-    other = F.get(F.filter("pool", lambda f: f["event_type"] != "click"), F.lit(0))
-    return _pool(t).select("user_id", F.coalesce(other["event_type"], F.lit("click__wrong")).alias("wrong"))
+    wrong = c.text_udf(lambda pool: c.wrong_function(c.Call("click"), json.loads(pool)).name, "string", None)
+    names = F.to_json(F.transform("pool", lambda f: f["event_type"]))
+    return _pool(t).select("user_id", wrong(names).alias("wrong"))
 
 
 @query("SELECT doc_id, coalesce(list_filter(['', CASE WHEN n_chars % 2 = 0 THEN '' ELSE lang END, source], lambda v: v <> '')[1], '') AS value FROM documents")
@@ -245,11 +247,12 @@ def parse_call(t):
     return rows.select("event_id", "call.name", "call.arguments")
 
 
-@query("""SELECT event_id, event_type AS name, '{"k": ' || (props->>'k') || '}' AS arguments, false AS parse_error FROM events""")
+@query("""
+SELECT event_id, CASE WHEN event_id % 5 > 0 THEN event_type END AS name, CASE WHEN event_id % 5 > 0 THEN '{"k": ' || (props->>'k') || '}' END AS arguments, event_id % 5 = 0 AS parse_error FROM events""")
 def parse_model_output(t):
-    """Calls inside chatter, after braces that do not decode."""
+    """Calls inside chatter, after braces that do not decode; every fifth output has none."""
     parse = c.text_udf(lambda s: json.dumps(_shown(c.call_in_output(s))), "string", None)
-    output = F.concat(F.lit("Sure {not json} -> "), call_object(), F.lit(" done {"))
+    output = F.concat(F.lit("Sure {not json} -> "), F.when(F.col("event_id") % 5 > 0, call_object()).otherwise("no call"), F.lit(" done {"))
     rows = t.events.select("event_id", F.from_json(parse(output), CALL_TYPE).alias("call"))
     return rows.select("event_id", "call.name", "call.arguments", F.col("call").isNull().alias("parse_error"))
 
@@ -370,8 +373,7 @@ def collect_failures(t):
 
     judged = F.from_json(c.text_udf(run, "string", None)(output, truth), "router boolean, validator boolean, call boolean")
     rows = t.events.select("event_id", judged.alias("v")).select("event_id", "v.router", "v.validator", F.col("v.call").alias("call_success"))
-    label = F.when(~F.col("router"), "router_fail").when(~F.col("validator"), "validator_fail").otherwise("none")
-    return rows.withColumn("failure_class", label)
+    return rows.withColumn("failure_class", failure_class(F.col("router"), F.col("validator")))
 
 
 @query("""
