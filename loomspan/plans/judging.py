@@ -11,7 +11,7 @@ from loomspan.functions import calls as c, tables
 from loomspan.functions.drift import failure_class
 from loomspan.functions.numbers import BUDGET_TIERS, cosine_rate, divergence, in_budget_tiers
 from loomspan.functions.text import first_concrete as first_filled
-from loomspan.operators import loop, ordering as o
+from loomspan.operators import arena, loop, ordering as o
 from loomspan.operators.summaries import r6
 from loomspan.plans.registry import query
 from loomspan.plans.samples import arg_k, SPLIT
@@ -394,6 +394,23 @@ WITH {SPLIT}, k AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('20260704:
 SELECT doc_id FROM k WHERE i <= 400""")
 def build_arena(t):
     """Up to 400 documents (the arena's own size) that nothing trained on and no failure touched."""
-    touched = o.split_by_hash(t.labels, "doc_id").filter("part = 'train' or quality = 0").select("doc_id")
-    pool = t.documents.select("doc_id").join(touched, "doc_id", "left_anti")
-    return o.sample_by_hash(pool, 400, [o.ARENA_SEED, "arena", F.col("doc_id")], "doc_id").select("doc_id")
+    return _arena(t, F.lit(True)).rows.select("doc_id")
+
+
+def _arena(t, success):
+    split = o.split_by_hash(t.labels, "doc_id")
+    touched = {"training": split.filter("part = 'train'").select("doc_id"), "failures": split.filter("quality = 0").select("doc_id")}
+    return arena.build(t.documents.select("doc_id", "lang"), "doc_id", success, touched, 400, 250, o.ARENA_SEED)
+
+
+@query(f"""
+WITH {SPLIT}, k AS (SELECT doc_id, lang, row_number() OVER (ORDER BY sha256('20260704:arena:' || doc_id), doc_id) AS i FROM documents
+  WHERE doc_id % 3 > 0 AND doc_id NOT IN (SELECT doc_id FROM split WHERE part = 'train' OR quality = 0)),
+c AS (SELECT lang, count(*) AS n FROM k WHERE i <= 400 GROUP BY lang)
+SELECT lang AS category, n, (SELECT count(*) FROM k) AS available, (SELECT count(*) FROM k WHERE i <= 400) AS selected,
+  CASE WHEN (SELECT count(*) FROM k) >= 250 THEN 'ready' ELSE 'insufficient' END AS status FROM c""")
+def arena_report(t):
+    """Categories of an arena of successes, beside what was free and the arena's state."""
+    made = _arena(t, F.col("doc_id") % 3 > 0)
+    report = made.report(400).drop("requested")
+    return made.distribution("lang").withColumnRenamed("lang", "category").join(report, F.lit(True))  # one row on the right

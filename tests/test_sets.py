@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import calls, patches as p, tables
-from loomspan.operators import bitmaps, datasets, decouple, evolution, groups, ordering as o, splits, targets
+from loomspan.operators import arena, bitmaps, datasets, decouple, evolution, groups, ordering as o, splits, targets
 
 def of_kind(kind):
     return F.startswith(F.col("source"), F.lit(f"{kind}:"))
@@ -247,3 +247,18 @@ def test_self_check_and_unusable_splits(spark):
             splits.assert_usable(table(rows + bad), ["category"], "k", *bounds)
     with pytest.raises(ValueError, match="no rows"):
         splits.assert_usable(table(rows[:3]), ["category"], "k", *bounds)
+
+
+def test_arena(spark):
+    rows = spark.createDataFrame([(i, f"c{i % 2}", i % 5 > 0) for i in range(40)], "k long, category string, ok boolean")
+    touched = {"training": spark.createDataFrame([(i,) for i in range(0, 40, 3)] * 2, "k long"), "old": spark.createDataFrame([(1,), (999,)], "k long")}
+    free = {i for i in range(40) if i % 5 and i % 3 and i != 1}
+    made = arena.build(rows, "k", F.col("ok"), touched, 9, 10, 7)
+    got = {r.k for r in made.rows.collect()}
+    assert len(got) == 9 and got <= free and made.available == len(free) and made.status == "ready"
+    assert {r.category: r.n for r in made.distribution("category").collect()} == {c: sum(i % 2 == int(c[1]) for i in got) for c in ("c0", "c1")}
+    assert tuple(made.report(9).first()) == (9, len(free), 9, "ready")
+    few = arena.build(rows, "k", F.col("ok"), touched, 900, 100, 7)
+    assert few.rows.count() == len(free) and few.status == "insufficient"
+    with pytest.raises(ValueError, match="arena and old share 1 ids"):
+        arena.checked(rows.filter("k < 3"), "k", {"old": touched["old"]}, 3, 1)
