@@ -7,10 +7,11 @@ import json
 from pyspark.sql import functions as F
 
 from loomspan.functions import calls, numbers, patches, tables, text
-from loomspan.operators import generation, ordering as o, splits
+from loomspan.operators import generation, ordering as o, pairs, splits
 from loomspan.operators.summaries import r6
 from loomspan.plans.registry import query
-from loomspan.plans.repairs import FAILURES, _failures
+from loomspan.plans.repairs import FAILURES, PADDED, _failures
+from loomspan.shared import cut
 
 
 def _listed(words):
@@ -107,6 +108,19 @@ def unit_rows(t):
     return tables.information_units(_failures(t).select("episode_id", "record")).select("episode_id", "place", "iu_id", "kind")
 
 
+@query(f"""
+WITH {FAILURES}, {PADDED}, k AS (SELECT *, row_number() OVER (PARTITION BY router ORDER BY episode_id) AS i FROM t1),
+l AS (SELECT episode_id, row_number() OVER (ORDER BY router DESC, episode_id) AS j FROM k WHERE i > 3),
+c AS (SELECT episode_id FROM k WHERE i <= 3 UNION ALL SELECT episode_id FROM l WHERE j <= 10 - (SELECT count(*) FROM k WHERE i <= 3))
+SELECT episode_id, CASE WHEN router THEN 'router_fail' ELSE 'validator_fail' END AS failure_class, struct_tokens, nl_tokens, p1 AS padded_tokens,
+  p1 BETWEEN struct_tokens * 0.95 AND struct_tokens * 1.05 AS in_tolerance, true AS padding_without_information FROM k JOIN c USING (episode_id)""")
+def pair_probe(t):
+    """Ten failures, three or more of either class, with the token counts of their patches; an error unless all pairs hold."""
+    made = cut(pairs.pairs(pairs.choose(_failures(t).select("episode_id", "failure_class", "record"), 10, 3)))
+    pairs.assert_paired(made, 10, 3)
+    return made.select("episode_id", "failure_class", "struct_tokens", "nl_tokens", "padded_tokens", "in_tolerance", "padding_without_information")
+
+
 def _loaded(t):
     rows = t.labels.join(t.documents.select("doc_id", "lang", "source"), "doc_id")
     truth = F.concat(F.lit('{"read_'), "lang", F.lit('": {"k": ['), "toxic", F.lit("]}}"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import calls, patches as p, tables
-from loomspan.operators import arena, bitmaps, datasets, decouple, evolution, groups, ordering as o, splits, targets
+from loomspan.operators import arena, bitmaps, datasets, decouple, evolution, groups, ordering as o, pairs, splits, targets
 
 def of_kind(kind):
     return F.startswith(F.col("source"), F.lit(f"{kind}:"))
@@ -262,3 +262,18 @@ def test_arena(spark):
     assert few.rows.count() == len(free) and few.status == "insufficient"
     with pytest.raises(ValueError, match="arena and old share 1 ids"):
         arena.checked(rows.filter("k < 3"), "k", {"old": touched["old"]}, 3, 1)
+
+
+def test_pairing_probe(spark):
+    rows = [failure(i, f"f{i % 3}", ["p", "q"][: 1 + i % 2], i % 5 == 0, f"g{i}") for i in range(40)]
+    table = spark.createDataFrame([(r["episode_id"], r["failure_class"], json.dumps(r)) for r in rows], "episode_id string, failure_class string, record string")
+    chosen = {r.episode_id: r.failure_class for r in pairs.choose(table, 12, 4).collect()}
+    router = sorted(r["episode_id"] for r in rows if r["failure_class"] == "router_fail")
+    validator = sorted(r["episode_id"] for r in rows if r["failure_class"] == "validator_fail")
+    assert set(chosen) == {*router[:4], *validator[:4], *router[4:8]}
+    made = pairs.pairs(pairs.choose(table, 12, 4)).cache()
+    pairs.assert_paired(made, 12, 4)
+    assert all(r.padding_without_information and r.same_units and r.in_tolerance and r.struct_to_nl > 0 for r in made.collect())
+    for bad, words in ((made.filter("failure_class = 'router_fail'"), "0 pairs of validator_fail"), (made.limit(11), "11 pairs for 12"), (made.withColumn("in_tolerance", F.col("episode_id") != router[0]), router[0])):
+        with pytest.raises(ValueError, match=words):
+            pairs.assert_paired(bad, 12, 4)
