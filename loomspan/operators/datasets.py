@@ -103,10 +103,10 @@ def build(teacher: DataFrame, star: DataFrame, replay: DataFrame, forbidden: dic
     ``teacher`` and ``replay`` rows are deduplicated; repeated STaR outputs
     stay. Replay rows of forbidden ids are left out beforehand.
     """
-    teacher = distinct_rows(teacher)
+    teacher, star = cut(distinct_rows(teacher)), cut(star)  # counted, sampled and checked: rendered once
     for ids in forbidden.values():
         replay = replay.join(ids.select("episode_id").distinct(), "episode_id", "left_anti").select(*ROW)
-    replay = distinct_rows(replay)
+    replay = cut(distinct_rows(replay))
     n_teacher, n_star, n_replay = teacher.count(), star.count(), replay.count()
     n_main = plan.core_size(n_teacher, n_star)
     n_star_core = plan.star_size(n_main, n_star)
@@ -114,7 +114,7 @@ def build(teacher: DataFrame, star: DataFrame, replay: DataFrame, forbidden: dic
     for name, rows, size in (("main", teacher, n_main), ("star", star, n_star_core)):
         core = sampled(rows, size, plan.seed, f"{name}_core")
         counts[f"{name}_replay"] = min(n_replay, replay_size(size, plan.replay_ratio))
-        made[name] = core.unionByName(sampled(replay, counts[f"{name}_replay"], plan.seed, f"{name}_replay"))
+        made[name] = cut(core.unionByName(sampled(replay, counts[f"{name}_replay"], plan.seed, f"{name}_replay")))
         for label, ids in forbidden.items():
             lineage.assert_disjoint(made[name], ids, "episode_id", f"{name} and {label}")
     return Datasets(made["main"], made["star"], counts)

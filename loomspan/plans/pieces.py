@@ -110,14 +110,14 @@ def unit_rows(t):
 
 @query(f"""
 WITH {FAILURES}, {PADDED}, k AS (SELECT *, row_number() OVER (PARTITION BY router ORDER BY episode_id) AS i FROM t1),
-l AS (SELECT episode_id, row_number() OVER (ORDER BY router DESC, episode_id) AS j FROM k WHERE i > 3),
-c AS (SELECT episode_id FROM k WHERE i <= 3 UNION ALL SELECT episode_id FROM l WHERE j <= 10 - (SELECT count(*) FROM k WHERE i <= 3))
+l AS (SELECT episode_id, row_number() OVER (ORDER BY router DESC, episode_id) AS j FROM k WHERE i > 2),
+c AS (SELECT episode_id FROM k WHERE i <= 2 UNION ALL SELECT episode_id FROM l WHERE j <= 10 - (SELECT count(*) FROM k WHERE i <= 2))
 SELECT episode_id, CASE WHEN router THEN 'router_fail' ELSE 'validator_fail' END AS failure_class, struct_tokens, nl_tokens, p1 AS padded_tokens,
   p1 BETWEEN struct_tokens * 0.95 AND struct_tokens * 1.05 AS in_tolerance, true AS padding_without_information FROM k JOIN c USING (episode_id)""")
 def pair_probe(t):
-    """Ten failures, three or more of either class, with the token counts of their patches; an error unless all pairs hold."""
-    made = cut(pairs.pairs(pairs.choose(_failures(t).select("episode_id", "failure_class", "record"), 10, 3)))
-    pairs.assert_paired(made, 10, 3)
+    """Ten failures, two or more of either class, with the token counts of their patches; an error unless all pairs hold."""
+    made = cut(pairs.pairs(pairs.choose(_failures(t).select("episode_id", "failure_class", "record"), 10, 2)))
+    pairs.assert_paired(made, 10, 2)
     return made.select("episode_id", "failure_class", "struct_tokens", "nl_tokens", "padded_tokens", "in_tolerance", "padding_without_information")
 
 
