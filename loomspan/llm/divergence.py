@@ -46,7 +46,7 @@ LEAST_DOCS, ADDED, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Terms of a block, in expectation; rounds that travel in one shuffle.
 BLOCK, WAVE = 2_048, 64
 #: Words that a task counts before it hands the counts on.
-HELD = 4_000_000
+HELD = 2_000_000
 #: Groups and blocks up to which their small tables are broadcast.
 BROADCAST_ROWS = 200_000
 
