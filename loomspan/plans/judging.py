@@ -187,8 +187,11 @@ def multiset_equal(t):
 @query("""
 SELECT vec_id, list_transform(list_zip(range(1, len(embedding) + 1), embedding), lambda p: CASE WHEN p[1] <= 4 THEN -100 ELSE round(p[2] * 1000)::INT END)::VARCHAR AS labels FROM embeddings""")
 def mask_prefix(t):
-    masked = F.transform("embedding", lambda v, i: F.when(i < 4, F.lit(-100)).otherwise(F.round(v * 1000).cast("int")))
-    return t.embeddings.select("vec_id", F.concat(F.lit("["), F.array_join(masked.cast("array<string>"), ", "), F.lit("]")).alias("labels"))
+    """Labels with a masked start; the product is taken in single precision, as a float times a whole number would be a double here."""
+    thousand = F.lit(1000).cast("float")
+    masked = F.transform("embedding", lambda v, i: F.when(i < 4, F.lit(-100)).otherwise(F.round(v * thousand).cast("int")))
+    shown = F.array_join(F.coalesce(masked.cast("array<string>"), F.array().cast("array<string>")), ", ", "NULL")
+    return t.embeddings.select("vec_id", F.concat(F.lit("["), shown, F.lit("]")).alias("labels"))
 
 
 @query("""
