@@ -464,9 +464,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     owners = cut(marked.groupBy("content").agg(F.min("key").alias("owner")).withColumn("id", F.monotonically_increasing_id()))
     one = marked.join(owners, "content").filter("key = owner").dropDuplicates(["id"])
     chosen = cut(one.select(F.col("id").alias("key"), "a", "b", "least", "finer"))
-    keyed = chosen.select("key", "a", "b", "least", F.posexplode("least").alias("n", "value")).select(
+    # dealt once: the count, the cold and the hot shards, and what meets across salts all read these rows
+    keyed = cut(chosen.select("key", "a", "b", "least", F.posexplode("least").alias("n", "value")).select(
         "key", "a", "b", "n", "least", F.xxhash64("n", "value").alias("shard")
-    )
+    ))
     large = cut(keyed.groupBy("shard").count().filter(F.col("count") > hot).select("shard"))
     several = not large.isEmpty()
     cold, none = keyed, F.lit(0).cast("long")

@@ -133,3 +133,28 @@ def test_recall_of_dense_texts(spark, hot, block):
     links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if like(sets[i], sets[j])]
     kept = sum(found[i] == found[j] for i, j in links)
     assert kept >= 0.99 * len(links) and found == brute(texts)
+
+
+def generated(spark, what):
+    """Rows that ``Generate`` nodes with ``what`` in their description made, by execution."""
+    store, found = spark._jsparkSession.sharedState().statusStore(), {}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "Generate" and what in node.desc():
+                metrics = node.metrics()
+                ids = [m.accumulatorId() for m in (metrics.apply(i) for i in range(metrics.size())) if m.name() == "number of output rows"]
+                found[run] = found.get(run, 0) + sum(int(values.apply(i).replace(",", "")) for i in ids if values.contains(i))
+    return found
+
+
+@pytest.mark.parametrize("hot", [2, 2000])
+def test_shards_are_dealt_once(spark, hot):
+    """Hot shards do not make the rows of all shards again."""
+    texts = star(4, 40)
+    before = generated(spark, "posexplode(least")
+    simhash.near_groups(table(spark, texts), hot=hot).collect()
+    after = generated(spark, "posexplode(least")
+    assert sum(after.values()) - sum(before.values()) == len(simhash.MULTIPLIERS) * len(texts)
