@@ -98,9 +98,31 @@ def split_by_hash(df: DataFrame, key: str, seed: int = SPLIT_SEED, train: float
     return out.withColumn("part", part).drop("total", *([] if keep_rank else ["rank"]))
 
 
+#: Rows of a sample up to which one task merges the best rows of all tasks.
+TOP_ROWS = 1_000
+
+
 def sample_by_hash(df: DataFrame, k: int, parts: list, tie: str) -> DataFrame:
-    """The k rows of the smallest hash (all, if there are fewer)."""
-    return df.withColumn("hash", hash_of(*parts)).orderBy("hash", tie).limit(k)
+    """The k rows of the smallest hash (all, if there are fewer).
+
+    Above ``TOP_ROWS`` no task sees the sample: counts by three more hex digits
+    of the hash (4,096 at most) say in which prefix the k-th row lies. Rows
+    below it are taken where they lie; those in it are counted again until few
+    are to be taken.
+    """
+    hashed = df.withColumn("hash", hash_of(*parts))
+    prefix, left = "", k
+    while left > TOP_ROWS and len(prefix) < 63:
+        counts = hashed.filter(F.col("hash").startswith(prefix)).groupBy(F.substring("hash", 1, len(prefix) + 3).alias("digits")).count()
+        for digits, n in sorted(map(tuple, counts.collect())):
+            if n > left:
+                prefix = digits
+                break
+            left -= n
+        else:  # fewer rows than k: only without a prefix
+            return hashed
+    rest = hashed.filter(F.col("hash").startswith(prefix)).orderBy("hash", tie).limit(left)
+    return hashed.filter(F.col("hash") < prefix).unionByName(rest) if prefix else rest
 
 
 def cut_by_hash(df: DataFrame, k: int, parts: list, tie: str, first: str, rest: str) -> DataFrame:
